@@ -115,17 +115,19 @@ def in_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
 
 
 def key_tiles(classes: DataFrame) -> DataFrame:
-    """(tile, node, n) of the classes that share a prefix shingle."""
+    """(tile, node, n, guest) of the classes that share a prefix shingle."""
     rows = classes.select(F.explode("prefix").alias("key"), "node", "n")
     often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("key", "k")
     shared = cut(rows.join(often, F.col("key") == F.col("k")).select("key", "node", "n", "df"))
     cold = shared.where(F.col("df") <= COLD).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m"))
     cold = cold.select("m").distinct().select(F.xxhash64("m").alias("tile"), F.explode("m").alias("x")).select("tile", "x.node", "x.n")
     hot = shared.where(F.col("df") > COLD).withColumn("home", band(F.col("n")))
-    hot = hot.withColumn("group", F.explode(F.array(F.xxhash64("key", "home"), F.xxhash64("key", F.col("home") + 1))))
-    many = hot.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("group", "g")
-    hot = hot.join(many, F.col("group") == F.col("g"))
-    return cold.unionByName(in_blocks(hot, "group", "size").select("tile", "node", "n"))
+    # A guest meets the rows of the band above its own; guests meet one another at home.
+    place = lambda up: F.struct(F.xxhash64("key", F.col("home") + up).alias("group"), F.lit(bool(up)).alias("guest"))
+    hot = hot.withColumn("at", F.explode(F.array(place(0), place(1)))).select("at.*", "node", "n")
+    many = hot.groupBy("group").agg(F.count("*").alias("size"), F.min("guest").alias("empty")).where("size > 1 and not empty")
+    hot = hot.join(many.select(F.col("group").alias("g"), "size"), F.col("group") == F.col("g"))
+    return cold.withColumn("guest", F.lit(False)).unionByName(in_blocks(hot, "group", "size").select("tile", "node", "n", "guest"))
 
 
 def by_tile(df: DataFrame, work, schema: str) -> DataFrame:
@@ -146,8 +148,10 @@ def by_tile(df: DataFrame, work, schema: str) -> DataFrame:
     return df.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(run, schema)
 
 
-def possible(tile: np.ndarray, n: np.ndarray, bits: list[bytes]):
-    """Chunks (i, j) of row pairs of one tile whose sizes and bitmaps allow a link; rows ascend by (tile, n)."""
+def possible(tile: np.ndarray, n: np.ndarray, bits: list[bytes], guest: np.ndarray | None = None):
+    """Chunks (i, j) of row pairs of one tile whose sizes and bitmaps allow a link; rows ascend by (tile, n).
+
+    Pairs of two guests are left out; guests are smaller than the other rows of a tile."""
     width = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
     maps = {}
     for w in np.unique(width):
@@ -163,7 +167,8 @@ def possible(tile: np.ndarray, n: np.ndarray, bits: list[bytes]):
         alive = alive[tile[alive] == tile[alive + lag]]
         # Sizes ascend within a tile: once the ratio is too large it stays so.
         alive = alive[n[alive + lag] * SHARE[0] <= n[alive] * SHARE[1]]
-        i, j = alive, alive + lag
+        i = alive if guest is None else alive[~guest[alive + lag]]
+        j = i + lag
         found = np.zeros(len(i), bool)
         most = (n[i] + n[j]) * (SHARE[1] - SHARE[0]) // (SHARE[1] + SHARE[0])  # shingles that linked sets may differ in
         for wi, wj in {(int(a), int(b)) for a, b in np.unique(np.stack([width[i], width[j]], 1), axis=0)} if len(i) else ():
@@ -195,11 +200,11 @@ def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def candidate_links(tiles: DataFrame) -> DataFrame:
-    """(a, b): a forest for each tile (tile, node, n, bits) of the pairs that the bitmaps let pass."""
+    """(a, b): a forest for each tile (tile, node, n, bits, guest) of the pairs that the bitmaps let pass."""
 
     def work(tile, t):
         node, bits = t.column("node").to_numpy(), t.column("bits").to_pylist()
-        pairs = list(possible(tile, t.column("n").to_numpy(), bits))
+        pairs = list(possible(tile, t.column("n").to_numpy(), bits, t.column("guest").to_numpy()))
         if pairs:
             label = forest(len(node), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
             at = np.flatnonzero(label != np.arange(len(node)))
@@ -262,7 +267,7 @@ def linked(df: DataFrame) -> DataFrame:
     own = rows.where("node is not null").select("node", "n", "prefix", "bits", key.alias("k"))
     classes = own.join(named, (own.node == named.node) & (own.k == named.least)).select(own.node, "n", "prefix", "bits").dropDuplicates(["node"])
     classes = cut(classes)
-    tiles = key_tiles(classes).alias("t").join(classes.select(F.col("node").alias("c"), "bits"), F.col("node") == F.col("c")).select("tile", "node", "n", "bits")
+    tiles = key_tiles(classes).alias("t").join(classes.select(F.col("node").alias("c"), "bits"), F.col("node") == F.col("c")).select("tile", "node", "n", "bits", "guest")
     groups = cut(components(candidate_links(tiles)).withColumnRenamed("node", "g"))
     size = groups.groupBy("component").agg(F.count("*").alias("size")).withColumnRenamed("component", "gc")
     member = groups.join(size, F.col("component") == F.col("gc")).select("g", "component", "size")
