@@ -1,4 +1,276 @@
-"""The queries of the plan engine and their DuckDB SQL."""
+"""Named queries of the plan engine, on inputs derived from the driver's tables, and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A derived input is one SQL text for both engines; the operators on it are DataFrame functions here and
+windows, joins or recursion in the SQL."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, text
+from ..functions.geometry import rectangle
+from ..operators import documents, openings, projects, rooms, segments, validation
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents", "labels")
+
+
+def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A derived input over the tables that its text names in braces."""
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    return spark.sql(sql, **used)
+
+
+def duck(sql: str) -> str:
+    return sql.format(**{t: t for t in TABLES})
+
+
+SEGMENTS = """SELECT l_partkey AS plan_id, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orient,
+  CAST(50 * (l_orderkey % 6) + l_suppkey % 13 AS DOUBLE) AS perp, CAST((l_orderkey * 7 + l_linenumber * 113) % 900 AS DOUBLE) AS a0,
+  CAST((l_orderkey * 7 + l_linenumber * 113) % 900 AS DOUBLE) + l_quantity * 4 AS a1 FROM {lineitem}"""
+RAW = """SELECT l_orderkey AS plan_id, l_linenumber AS seg_id, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_linenumber AS DOUBLE) AS y1,
+  CAST(l_suppkey % 50 AS DOUBLE) AS x2, CAST(l_partkey % 40 AS DOUBLE) AS y2 FROM {lineitem}"""
+LEAVES = """SELECT l_partkey AS plan_id, CAST((l_orderkey * 3) % 900 AS DOUBLE) AS mx, CAST(50 * (l_suppkey % 6) + l_orderkey % 13 AS DOUBLE) AS my
+  FROM {lineitem} WHERE l_linenumber <= 3"""
+LABELS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS STRING) || ' ft' WHEN 1 THEN CAST(p_size AS STRING) || '''-6"'
+  WHEN 2 THEN CAST(p_size AS STRING) || '.5m' WHEN 3 THEN 'Master Bedroom ' || CAST(p_size AS STRING) WHEN 4 THEN 'Hallway' WHEN 5 THEN CAST(p_size AS STRING)
+  WHEN 6 THEN 'BATH ' || p_brand ELSE p_name END AS label FROM {part}"""
+EVENTS = "SELECT user_id, event_id, CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS DOUBLE) / 1000000 AS t FROM {events}"
+BOX = "CAST((s_suppkey * 37) % 200 AS DOUBLE) AS x0, CAST((s_suppkey * 53) % 200 AS DOUBLE) AS y0"
+ROOMS = f"SELECT s_nationkey AS plan_id, s_suppkey AS room_id, {BOX} FROM {{supplier}}"
+POINTS = """SELECT c_nationkey AS plan_id, c_custkey AS ord, c_name AS label, CAST((c_custkey * 29) % 260 AS DOUBLE) AS x, CAST((c_custkey * 31) % 260 AS DOUBLE) AS y,
+  CAST(c_custkey % 50 AS DOUBLE) AS width, CAST(c_custkey % 11 AS DOUBLE) / 16 AS confidence FROM {customer}"""
+PART_ROOMS = """SELECT p_partkey AS plan_id, p_partkey AS room_id, CAST((p_partkey * 17) % 300 AS DOUBLE) AS x0, CAST((p_size * 7) % 250 AS DOUBLE) AS y0,
+  CAST((p_partkey * 17) % 300 + 100 + p_size AS DOUBLE) AS x1, CAST((p_size * 7) % 250 + 80 AS DOUBLE) AS y1 FROM {part}"""
+DIMENSIONS = """SELECT l_partkey AS plan_id, CASE WHEN l_suppkey % 5 = 0 THEN 0.0 ELSE l_quantity END AS value, l_quantity * 20 + l_suppkey % 3 AS pixels,
+  l_orderkey % 23 = 0 AS matched FROM {lineitem}"""
+OPENINGS = """SELECT l_partkey AS wall_id, CAST((l_orderkey * 7) % 100 AS DOUBLE) / 100 AS position, l_linenumber % 2 = 0 AS swing FROM {lineitem}"""
+ELEMENTS = """SELECT CAST(l_orderkey AS STRING) AS project_id, l_linenumber AS ord, 'wall-' || CAST(l_linenumber AS STRING) AS id,
+  l_discount * 12 AS confidence, l_quantity - 3 AS thickness FROM {lineitem}"""
+PROJECTS = """SELECT CAST(o_orderkey AS STRING) AS project_id, CASE WHEN o_orderkey % 10 = 0 THEN 'cubits' ELSE 'feet' END AS units FROM {orders}"""
+
+
+def _segments(spark, sf_dir):
+    return read(spark, sf_dir, SEGMENTS)
+
+
+def _walls(spark, sf_dir):
+    return segments.walls(_segments(spark, sf_dir))
+
+
+def segment_geometry(spark, sf_dir):
+    x = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    a = geometry.angle(*x)
+    return read(spark, sf_dir, RAW).select("plan_id", "seg_id", F.round(geometry.length(*x), 6).alias("length"), F.round(a, 6).alias("angle"), geometry.orientation(a).alias("orientation"))
+
+
+def event_sessions(spark, sf_dir):
+    e = segments.cluster_1d(read(spark, sf_dir, EVENTS), ["user_id"], "t", 3600.0, ["event_id"])
+    return e.groupBy("user_id", "grp").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def cluster_1d(spark, sf_dir):
+    g = segments.cluster_1d(_segments(spark, sf_dir), ["plan_id", "orient"], "perp", segments.WALL_TOLERANCE, ["a0", "a1"])
+    return g.groupBy("plan_id", "orient", "grp").agg(F.count("*").alias("n"), F.avg("perp").alias("fixed"))
+
+
+def exterior_walls(spark, sf_dir):
+    return _walls(spark, sf_dir).select("plan_id", "orient", "grp", "run", "fixed", "s", "e", "confidence", "exterior")
+
+
+def openings_classified(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    return openings.classified(openings.opening_candidates(s), segments.walls(s), read(spark, sf_dir, LEAVES)).withColumn("position", F.round("position", 9))
+
+
+def opening_kinds(spark, sf_dir):
+    return openings_classified(spark, sf_dir).groupBy("kind", "swing").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
+
+
+def text_blocks(spark, sf_dir):
+    w = read(spark, sf_dir, "SELECT conv_id, turn, text FROM {conversations}").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
+    n = F.length("text")
+    w = w.select("conv_id", "turn", "word_idx", "text", (F.col("word_idx") * 60 + (n * 13) % 90).alias("left"), (F.lit(10) + n % 3).alias("top"), (n * 6).alias("width"), (F.lit(8) + n % 5).alias("height"), ((n * 7) % 120 - 10).alias("conf"))
+    long = {c: F.col(c).cast("long") for c in ("min_x", "min_y", "max_x", "max_y")}
+    return rooms.text_blocks(w, ["conv_id", "turn"]).withColumns({**long, "confidence": F.round("confidence", 9)})
+
+
+def dimension_parse(spark, sf_dir):
+    return read(spark, sf_dir, LABELS).select("id", text.dimension_value(F.col("label")).alias("value"))
+
+
+def room_type_classify(spark, sf_dir):
+    return read(spark, sf_dir, LABELS).select("id", text.kind(F.col("label")).alias("kind"), text.room_type(F.col("label")).alias("room_type"))
+
+
+def _boxes(spark, sf_dir, sql):
+    r = read(spark, sf_dir, sql)
+    x1, y1 = (F.col("x1"), F.col("y1")) if "x1" in r.columns else (F.col("x0") + 60, F.col("y0") + 40)
+    return r.select("plan_id", "room_id", rectangle(F.col("x0"), F.col("y0"), x1, y1).alias("polygon"))
+
+
+def label_in_room(spark, sf_dir):
+    return rooms.label_in_room(_boxes(spark, sf_dir, ROOMS), read(spark, sf_dir, POINTS))
+
+
+def room_measures(spark, sf_dir):
+    return _boxes(spark, sf_dir, PART_ROOMS).select("room_id", geometry.area(F.col("polygon")).alias("area"), geometry.perimeter(F.col("polygon")).alias("perimeter"))
+
+
+def nearest_line(spark, sf_dir):
+    lines = read(spark, sf_dir, ROOMS).select("plan_id", F.col("room_id").alias("line_id"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), (F.col("x0") + 80).alias("x2"), (F.col("y0") + F.col("room_id") % 7).alias("y2"))
+    return rooms.nearest_line(read(spark, sf_dir, POINTS), lines)
+
+
+def calibration(spark, sf_dir):
+    return rooms.calibration(read(spark, sf_dir, "SELECT p_partkey AS plan_id FROM {part}"), read(spark, sf_dir, DIMENSIONS), _walls(spark, sf_dir))
+
+
+def _named(spark, sf_dir):
+    return _walls(spark, sf_dir).withColumn("wall_id", F.concat_ws("-", "orient", F.col("grp").cast("string"), F.col("run").cast("string")))
+
+
+def room_boundary(spark, sf_dir):
+    return rooms.boundary(_boxes(spark, sf_dir, PART_ROOMS), _named(spark, sf_dir))
+
+
+def room_confidence(spark, sf_dir):
+    r, w = _boxes(spark, sf_dir, PART_ROOMS), _named(spark, sf_dir)
+    return rooms.room_confidence(r, rooms.boundary(r, w), w)
+
+
+def duplicate_ids(spark, sf_dir):
+    part = lambda k, m: read(spark, sf_dir, f"SELECT o_custkey AS plan_id, CAST(o_orderkey % {m} AS STRING) AS id, {k} AS collection, o_orderkey AS ord FROM {{orders}} WHERE o_orderkey % 2 = {k}")
+    return validation.duplicate_ids(part(0, 6), part(1, 9)).select("plan_id", "id", F.col("collection").cast("long").alias("collection"), "ord", F.col("nth").cast("long").alias("nth"))
+
+
+def dangling_refs(spark, sf_dir):
+    o, n = read(spark, sf_dir, "SELECT o_orderkey FROM {orders}"), read(spark, sf_dir, "SELECT l_orderkey FROM {lineitem}")
+    return validation.dangling(o, "o_orderkey", n, "l_orderkey")
+
+
+def project_page(spark, sf_dir):
+    rows = read(spark, sf_dir, "SELECT o_orderkey AS id, o_orderdate AS created_at, o_orderstatus AS status FROM {orders}")
+    return projects.page(rows, 100, 20).select("id", "status")
+
+
+def project_patch(spark, sf_dir):
+    rows = read(spark, sf_dir, "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS description FROM {customer}")
+    new = read(spark, sf_dir, "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'renamed' END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'changed' END AS description FROM {customer} WHERE c_custkey % 7 = 0")
+    gone = read(spark, sf_dir, "SELECT c_custkey AS id FROM {customer} WHERE c_custkey % 11 = 0")
+    return projects.remove(projects.patch(rows, new, ["name", "description"]), gone)
+
+
+def _documents(spark, sf_dir):
+    e = read(spark, sf_dir, ELEMENTS)
+    point = lambda k: F.struct((F.col("ord") * k).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    wall = F.struct("id", "confidence", F.lit("ai_detection").alias("source"), F.create_map().cast("map<string,string>").alias("metadata"), point(1).alias("start"), point(2).alias("end"), "thickness", F.lit(None).cast("double").alias("height"), F.lit("exterior").alias("wall_type"))
+    return documents.assemble(read(spark, sf_dir, PROJECTS), {"walls": e.select("project_id", "ord", wall.alias("element"))})
+
+
+def doc_roundtrip(spark, sf_dir):
+    back = documents.from_json(documents.as_json(_documents(spark, sf_dir)))
+    return documents.elements(back, "walls").select("project_id", "id", "confidence", "thickness")
+
+
+def doc_summary(spark, sf_dir):
+    return documents.summary(_documents(spark, sf_dir))
+
+
+def range_rules(spark, sf_dir):
+    return validation.validate(_documents(spark, sf_dir)).select("project_id", "is_valid", F.size("errors").cast("long").alias("n_errors"))
+
+
+QUERIES = {
+    "wall_runs": lambda spark, sf_dir: segments.wall_runs(_segments(spark, sf_dir)),
+    "opening_candidates": lambda spark, sf_dir: openings.opening_candidates(_segments(spark, sf_dir)),
+    "suppress_openings": lambda spark, sf_dir: openings.suppress(read(spark, sf_dir, OPENINGS), ["wall_id"]),
+    "stair_clusters": lambda spark, sf_dir: segments.stair_clusters(_segments(spark, sf_dir)),
+} | {
+    f.__name__: f
+    for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
+              nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules)
+}
+
+_G = f"""seg AS ({SEGMENTS}),
+g0 AS (SELECT *, lag(perp) OVER (PARTITION BY plan_id, orient ORDER BY perp, a0, a1) AS pp FROM seg),
+g AS (SELECT *, CAST(sum(CASE WHEN perp - pp > 8.0 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, orient ORDER BY perp, a0, a1 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM g0)"""
+_R = f"""{_G},
+r0 AS (SELECT *, max(a1) OVER (PARTITION BY plan_id, orient, grp ORDER BY a0, a1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g),
+r AS (SELECT *, CAST(sum(CASE WHEN a0 - pe > 160.0 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, orient, grp ORDER BY a0, a1 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM r0)"""
+_W = f"""{_R},
+runs AS (SELECT plan_id, orient, grp, run, min(a0) AS s, max(a1) AS e, sum(a1 - a0) AS votes FROM r GROUP BY ALL),
+fx AS (SELECT plan_id, orient, grp, avg(perp) AS fixed FROM g GROUP BY ALL),
+w0 AS (SELECT *, CASE WHEN e - s <= 0 THEN 0.5 ELSE round(0.5 + 0.5 * least(1.0::DOUBLE, votes / (e - s)), 3) END AS confidence,
+  CASE WHEN orient = 'h' THEN fixed ELSE s END AS ya, CASE WHEN orient = 'h' THEN fixed ELSE e END AS yb, CASE WHEN orient = 'h' THEN s ELSE fixed END AS xa, CASE WHEN orient = 'h' THEN e ELSE fixed END AS xb
+  FROM runs JOIN fx USING (plan_id, orient, grp)),
+w1 AS (SELECT *, CASE WHEN orient = 'h' THEN min(ya) OVER p ELSE min(xa) OVER p END AS lo, CASE WHEN orient = 'h' THEN max(yb) OVER p ELSE max(xb) OVER p END AS hi FROM w0 WINDOW p AS (PARTITION BY plan_id)),
+walls AS (SELECT plan_id, orient, grp, run, s, e, fixed, confidence, abs(fixed - lo) <= 12 OR abs(fixed - hi) <= 12 AS exterior, orient || '-' || grp || '-' || run AS wall_id FROM w1)"""
+_O = f"""{_W}, leaves AS ({LEAVES}),
+o AS (SELECT r.plan_id, r.orient, r.grp, r.run, pe AS gap_start, a0 AS gap_end, s, e, fixed, exterior FROM r JOIN walls USING (plan_id, orient, grp, run) WHERE a0 - pe > 6 AND a0 - pe <= 160 AND e > s),
+c AS (SELECT o.*, EXISTS (SELECT 1 FROM leaves l WHERE l.plan_id = o.plan_id AND least(pow(mx - CASE WHEN orient = 'h' THEN gap_start ELSE fixed END, 2) + pow(my - CASE WHEN orient = 'h' THEN fixed ELSE gap_start END, 2),
+  pow(mx - CASE WHEN orient = 'h' THEN gap_end ELSE fixed END, 2) + pow(my - CASE WHEN orient = 'h' THEN fixed ELSE gap_end END, 2)) <= 900) AS swing FROM o),
+opening AS (SELECT plan_id, orient, grp, run, gap_start, gap_end, gap_end - gap_start AS width, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((gap_start + gap_end) / 2 - s) / (e - s))), 9) AS position,
+  CASE WHEN swing THEN 'door' WHEN exterior THEN 'window' ELSE 'door' END AS kind, swing, CASE WHEN swing THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END AS confidence FROM c)"""
+_DIM = text.DIMENSION.replace("'", "''")
+_TYPE = "CASE " + " ".join(f"WHEN contains(lower(label), '{p}') THEN '{k}'" for p, k in text.ROOM_TYPES.items()) + " END"
+_VALUE = f"CASE WHEN regexp_matches(label, '{_DIM}') THEN CAST(regexp_extract(label, '{_DIM}', 1) AS DOUBLE) + coalesce(TRY_CAST(nullif(regexp_extract(label, '{_DIM}', 2), '') AS DOUBLE), 0.0::DOUBLE) / 12 END"
+_EDGES = f"""room AS ({PART_ROOMS}),
+edge AS (SELECT plan_id, room_id, 0 AS k, 'h' AS orient, y0 AS f FROM room UNION ALL SELECT plan_id, room_id, 1, 'v', x1 FROM room UNION ALL SELECT plan_id, room_id, 2, 'h', y1 FROM room UNION ALL SELECT plan_id, room_id, 3, 'v', x0 FROM room),
+met AS (SELECT edge.plan_id, room_id, k, wall_id, row_number() OVER (PARTITION BY edge.plan_id, room_id, k ORDER BY abs(fixed - f), wall_id) AS nth FROM edge JOIN walls w ON w.plan_id = edge.plan_id AND w.orient = edge.orient AND abs(fixed - f) < 12),
+bound AS (SELECT DISTINCT plan_id, room_id, wall_id FROM met WHERE nth = 1)"""
+
+ORACLES = {k: duck(v) for k, v in {
+    "wall_runs": f"WITH {_R} SELECT plan_id, orient, grp, run, min(a0) AS s, max(a1) AS e, sum(a1 - a0) AS votes, count(*) AS n, count(*) FILTER (a0 - pe > 6 AND a0 - pe <= 160) AS openings FROM r GROUP BY ALL",
+    "opening_candidates": f"WITH {_R} SELECT plan_id, orient, grp, run, pe AS gap_start, a0 AS gap_end FROM r WHERE a0 - pe > 6 AND a0 - pe <= 160",
+    "cluster_1d": f"WITH {_G} SELECT plan_id, orient, grp, count(*) AS n, avg(perp) AS fixed FROM g GROUP BY ALL",
+    "exterior_walls": f"WITH {_W} SELECT plan_id, orient, grp, run, fixed, s, e, confidence, exterior FROM walls",
+    "openings_classified": f"WITH {_O} SELECT * FROM opening",
+    "opening_kinds": f"WITH {_O} SELECT kind, swing, count(*) AS n, sum(width) AS width FROM opening GROUP BY ALL",
+    "segment_geometry": f"WITH a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a) "
+    "SELECT plan_id, seg_id, round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 6) AS length, round(d, 6) AS angle, CASE WHEN m <= 10 OR m >= 170 THEN 'horizontal' WHEN m BETWEEN 80 AND 100 THEN 'vertical' END AS orientation FROM b",
+    "event_sessions": "WITH e AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS t FROM events), l AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS step FROM e), g AS (SELECT *, CAST(sum(CASE WHEN step > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM l) "
+    "SELECT user_id, grp, count(*) AS n, min(event_id) AS first_event FROM g GROUP BY ALL",
+    "suppress_openings": f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY wall_id ORDER BY position, swing) AS i FROM ({OPENINGS})),
+f AS (SELECT wall_id, i, 1 AS slot, position, swing FROM o WHERE i = 1 UNION ALL
+SELECT o.wall_id, o.i, f.slot + CASE WHEN abs(o.position - f.position) < 0.05 THEN 0 ELSE 1 END, CASE WHEN abs(o.position - f.position) < 0.05 AND (f.swing OR NOT o.swing) THEN f.position ELSE o.position END,
+CASE WHEN abs(o.position - f.position) < 0.05 AND (f.swing OR NOT o.swing) THEN f.swing ELSE o.swing END FROM f JOIN o ON o.wall_id = f.wall_id AND o.i = f.i + 1)
+SELECT wall_id, arg_max(position, i) AS position, arg_max(swing, i) AS swing FROM f GROUP BY wall_id, slot""",
+    "stair_clusters": f"""WITH seg AS ({SEGMENTS}), s0 AS (SELECT *, lag(perp) OVER (PARTITION BY plan_id, orient ORDER BY perp, a0, a1) AS pp FROM seg WHERE a1 - a0 <= 90),
+s1 AS (SELECT *, sum(CASE WHEN perp - pp > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, orient ORDER BY perp, a0, a1 ROWS UNBOUNDED PRECEDING) AS frag FROM s0),
+t AS (SELECT plan_id, orient, frag, min(a0) AS a0, max(a1) AS a1, avg(perp) AS perp FROM s1 GROUP BY ALL),
+t1 AS (SELECT *, perp - lag(perp) OVER (PARTITION BY plan_id, orient ORDER BY perp, frag) AS step FROM t),
+t2 AS (SELECT *, CAST(sum(CASE WHEN step > 18 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, orient ORDER BY perp, frag ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flight FROM t1),
+t3 AS (SELECT *, perp - lag(perp) OVER (PARTITION BY plan_id, orient, flight ORDER BY perp, frag) AS gap FROM t2),
+f AS (SELECT plan_id, orient, flight, count(*) AS treads, min(a0) AS a0, max(a1) AS a1, min(perp) AS p0, max(perp) AS p1, max(a1 - a0) AS hi, min(a1 - a0) AS lo, median(gap) AS mid, stddev_pop(gap) AS sd FROM t3 GROUP BY plan_id, orient, flight)
+SELECT plan_id, orient, flight, treads, a0, a1, p0, p1 FROM f WHERE treads >= 3 AND hi <= 1.8 * greatest(lo, 1e-6) AND greatest(a1 - a0, p1 - p0) <= 220 AND mid > 0 AND sd <= 0.5 * mid + 1e-9""",
+    "text_blocks": """WITH w AS (SELECT conv_id, turn, generate_subscripts(string_split(text, ' '), 1) - 1 AS i, unnest(string_split(text, ' ')) AS t FROM conversations),
+d AS (SELECT conv_id, turn, i, t, i * 60 + (length(t) * 13) % 90 AS l, 10 + length(t) % 3 AS top, length(t) * 6 AS w, 8 + length(t) % 5 AS h, (length(t) * 7) % 120 - 10 AS conf FROM w WHERE trim(t) <> ''),
+s AS (SELECT *, l - lag(l + w) OVER (PARTITION BY conv_id, turn ORDER BY l, i) AS space, greatest(50.0::DOUBLE, 2.5 * median(h) OVER (PARTITION BY conv_id, turn)) AS cutoff FROM d),
+b AS (SELECT *, CAST(sum(CASE WHEN space > cutoff THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY l, i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM s)
+SELECT conv_id, turn, block, string_agg(trim(t), ' ' ORDER BY l, i) AS text, min(l) AS min_x, min(top) AS min_y, max(l + w) AS max_x, max(top + h) AS max_y, round(coalesce(avg(conf) FILTER (conf >= 0) / 100, 0.5::DOUBLE), 9) AS confidence,
+(min(l) + max(l + w)) / 2 AS cx, (min(top) + max(top + h)) / 2 AS cy FROM b GROUP BY conv_id, turn, block""",
+    "dimension_parse": f"SELECT id, {_VALUE} AS value FROM ({LABELS})",
+    "room_type_classify": f"SELECT id, CASE WHEN {_VALUE} IS NOT NULL THEN 'dimension' WHEN {_TYPE} IS NOT NULL THEN 'room_label' ELSE 'other' END AS kind, {_TYPE} AS room_type FROM ({LABELS})",
+    "label_in_room": f"SELECT r.plan_id, r.room_id, arg_min(p.label, p.ord) AS label FROM ({ROOMS}) r LEFT JOIN ({POINTS}) p ON p.plan_id = r.plan_id AND p.x > x0 AND p.x < x0 + 60 AND p.y > y0 AND p.y < y0 + 40 GROUP BY ALL",
+    "room_measures": f"SELECT room_id, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter FROM ({PART_ROOMS})",
+    "nearest_line": f"""WITH t AS ({POINTS}), l AS (SELECT plan_id, room_id AS line_id, x0 AS x1, y0 AS y1, x0 + 80 AS x2, y0 + room_id % 7 AS y2 FROM ({ROOMS})),
+m AS (SELECT t.plan_id, t.ord, l.*, row_number() OVER (PARTITION BY t.plan_id, t.ord ORDER BY pow((x1 + x2) / 2 - x, 2) + pow((y1 + y2) / 2 - y, 2), line_id) AS nth FROM t JOIN l ON l.plan_id = t.plan_id AND pow((x1 + x2) / 2 - x, 2) + pow((y1 + y2) / 2 - y, 2) < 1600)
+SELECT t.plan_id, t.ord, line_id, coalesce(x1, x - greatest(10, width / 2)) AS x1, coalesce(y1, y) AS y1, coalesce(x2, x + greatest(10, width / 2)) AS x2, coalesce(y2, y) AS y2,
+round(confidence * CASE WHEN line_id IS NULL THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END, 3) AS confidence, line_id IS NOT NULL AS matched FROM t LEFT JOIN m ON m.plan_id = t.plan_id AND m.ord = t.ord AND m.nth = 1""",
+    "calibration": f"""WITH {_W}, d AS (SELECT plan_id, median(pixels / value) AS m FROM ({DIMENSIONS}) WHERE matched AND value > 0 GROUP BY plan_id), x AS (SELECT plan_id, max(e - s) AS w FROM walls WHERE exterior GROUP BY plan_id)
+SELECT p_partkey AS plan_id, coalesce(m, CASE WHEN w > 0 THEN w / 30 END, 1.0::DOUBLE) AS pixels_per_unit, CASE WHEN m IS NOT NULL THEN 'ocr_dimension_match' WHEN w > 0 THEN 'longest_wall_fallback' ELSE 'uncalibrated' END AS source
+FROM part LEFT JOIN d ON d.plan_id = p_partkey LEFT JOIN x ON x.plan_id = p_partkey""",
+    "room_boundary": f"WITH {_W}, {_EDGES} SELECT * FROM bound",
+    "room_confidence": f"WITH {_W}, {_EDGES}, c AS (SELECT plan_id, room_id, floor((2 * sum(CAST(round(confidence * 1000) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000 AS c FROM bound JOIN walls USING (plan_id, wall_id) GROUP BY ALL) SELECT plan_id, room_id, coalesce(c, 0.7::DOUBLE) AS confidence FROM room LEFT JOIN c USING (plan_id, room_id)",
+    "duplicate_ids": "WITH u AS (SELECT o_custkey AS plan_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 6 ELSE o_orderkey % 9 END AS VARCHAR) AS id, o_orderkey % 2 AS collection, o_orderkey AS ord FROM orders) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, id ORDER BY collection, ord) AS nth FROM u) WHERE nth > 1",
+    "dangling_refs": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+    "project_page": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 20",
+    "project_patch": "SELECT c_custkey AS id, CASE WHEN c_custkey % 14 = 0 THEN 'renamed' ELSE c_name END AS name, CASE WHEN c_custkey % 21 = 0 THEN 'changed' ELSE c_mktsegment END AS description FROM customer WHERE c_custkey % 11 <> 0",
+    "doc_roundtrip": f"SELECT project_id, id, confidence, thickness FROM ({ELEMENTS})",
+    "doc_summary": "SELECT CAST(o_orderkey AS VARCHAR) AS project_id, 0::BIGINT AS rooms, count(l_orderkey) AS walls, 0::BIGINT AS doors, 0::BIGINT AS windows, 0::BIGINT AS stairs, 0::BIGINT AS dimensions FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
+    "range_rules": f"""WITH e AS (SELECT project_id, count(*) FILTER (NOT confidence BETWEEN 0 AND 1) + count(*) FILTER (thickness <= 0) AS bad, count(*) - count(DISTINCT id) AS again FROM ({ELEMENTS}) GROUP BY project_id),
+p AS (SELECT project_id, CASE WHEN units = 'cubits' THEN 1 ELSE 0 END + coalesce(bad, 0) AS bad, coalesce(again, 0) AS again FROM ({PROJECTS}) LEFT JOIN e USING (project_id))
+SELECT project_id, bad + again = 0 AS is_valid, CAST(CASE WHEN bad > 0 THEN bad ELSE again END AS BIGINT) AS n_errors FROM p""",
+}.items()}
