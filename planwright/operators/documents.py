@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.plans import DDL, FLOORPLAN
+from ..sources.plans import DDL, ELEMENTS
 from .validation import COLLECTIONS
 
 
@@ -15,10 +15,10 @@ def assemble(projects: DataFrame, elements: dict[str, DataFrame]) -> DataFrame:
     Elements of a kind stand in order of ord; kinds without rows are empty arrays."""
     out = projects.select("project_id", "units")
     for kind in COLLECTIONS:
-        none = F.array().cast(FLOORPLAN[kind].dataType)
+        none = F.array().cast(ELEMENTS[kind])
         if kind in elements:
             got = elements[kind].groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "element")), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda x: x["element"]).alias(kind))
-            out = out.join(got, "project_id", "left").withColumn(kind, F.coalesce(F.col(kind).cast(FLOORPLAN[kind].dataType), none))
+            out = out.join(got, "project_id", "left").withColumn(kind, F.coalesce(F.col(kind).cast(ELEMENTS[kind]), none))
         else:
             out = out.withColumn(kind, none)
     return out

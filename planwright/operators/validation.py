@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.plans import ELEMENTS
+
 UNITS = ("feet", "meters", "inches", "centimeters")
 SOURCES = ("ai_detection", "manual_correction")
 COLLECTIONS = ("rooms", "walls", "doors", "windows", "stairs", "dimensions", "furniture")
@@ -44,7 +46,7 @@ def field_errors() -> Column:
     head = failing({"project_id: blank": F.length(F.trim("project_id")) > 0, "units: unknown": F.coalesce("units", F.lit("feet")).isin(*UNITS)})
     parts = [head]
     for kind in COLLECTIONS:
-        parts.append(F.flatten(F.transform(F.coalesce(F.col(kind), F.array().cast(_type(kind))), _element_errors(kind))))
+        parts.append(F.flatten(F.transform(F.coalesce(F.col(kind), F.array().cast(ELEMENTS[kind])), _element_errors(kind))))
     return F.concat(*parts)
 
 
@@ -57,22 +59,16 @@ def _element_errors(kind: str):
     return errors
 
 
-def _type(kind: str) -> str:
-    from ..sources.plans import FLOORPLAN
-
-    return FLOORPLAN[kind].dataType.simpleString()
-
-
 def structural_errors() -> Column:
     """Repeated ids (each occurrence after the first, in the order of collections) and references to nothing."""
-    ids = lambda kind: F.transform(F.coalesce(F.col(kind), F.array().cast(_type(kind))), lambda e: F.struct(e["id"].alias("id"), F.lit(kind).alias("kind")))
+    ids = lambda kind: F.transform(F.coalesce(F.col(kind), F.array().cast(ELEMENTS[kind])), lambda e: F.struct(e["id"].alias("id"), F.lit(kind).alias("kind")))
     every = F.concat(*[ids(k) for k in COLLECTIONS])
     names = F.transform(every, lambda x: x["id"])
     again = F.filter(F.transform(every, lambda x, i: F.when(F.array_position(names, x["id"]) <= i, F.concat(F.lit("Duplicate element id '"), x["id"], F.lit("' found in '"), x["kind"], F.lit("'.")))), lambda s: s.isNotNull())
 
     def dangling(kind, label, ref, to):
-        known = F.transform(F.coalesce(F.col(to), F.array().cast(_type(to))), lambda e: e["id"])
-        bad = F.filter(F.coalesce(F.col(kind), F.array().cast(_type(kind))), lambda e: e[ref].isNotNull() & ~F.array_contains(known, e[ref]))
+        known = F.transform(F.coalesce(F.col(to), F.array().cast(ELEMENTS[to])), lambda e: e["id"])
+        bad = F.filter(F.coalesce(F.col(kind), F.array().cast(ELEMENTS[kind])), lambda e: e[ref].isNotNull() & ~F.array_contains(known, e[ref]))
         return F.transform(bad, lambda e: F.concat(F.lit(f"{label} '"), e["id"], F.lit(f"' references unknown {ref} '"), e[ref], F.lit("'.")))
 
     return F.concat(again, dangling("doors", "Door", "wall_id", "walls"), dangling("windows", "Window", "wall_id", "walls"), dangling("furniture", "Furniture", "room_id", "rooms"))

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 POINT = "struct<x:double,y:double>"
 BASE = "id:string,confidence:double,source:string,metadata:map<string,string>"
-DDL = (
-    "project_id string, units string, "
-    f"rooms array<struct<{BASE},name:string,polygon:array<{POINT}>,room_type:string>>, "
-    f"walls array<struct<{BASE},start:{POINT},`end`:{POINT},thickness:double,height:double,wall_type:string>>, "
-    f"doors array<struct<{BASE},wall_id:string,position:double,width:double,height:double,swing:string>>, "
-    f"windows array<struct<{BASE},wall_id:string,position:double,width:double,height:double,sill_height:double>>, "
-    f"stairs array<struct<{BASE},polygon:array<{POINT}>,step_count:int,direction:string>>, "
-    f"dimensions array<struct<{BASE},start:{POINT},`end`:{POINT},value:double,label:string>>, "
-    f"furniture array<struct<{BASE},furniture_type:string,position:{POINT},rotation:double,width:double,depth:double,height:double,room_id:string>>, "
-    "metadata struct<building_name:string,detection_version:string,source_image_reference:string,notes:string,extra:map<string,string>>"
-)
-FLOORPLAN = StructType.fromDDL(DDL) if hasattr(StructType, "fromDDL") else None
+ELEMENTS = {
+    "rooms": f"array<struct<{BASE},name:string,polygon:array<{POINT}>,room_type:string>>",
+    "walls": f"array<struct<{BASE},start:{POINT},`end`:{POINT},thickness:double,height:double,wall_type:string>>",
+    "doors": f"array<struct<{BASE},wall_id:string,position:double,width:double,height:double,swing:string>>",
+    "windows": f"array<struct<{BASE},wall_id:string,position:double,width:double,height:double,sill_height:double>>",
+    "stairs": f"array<struct<{BASE},polygon:array<{POINT}>,step_count:int,direction:string>>",
+    "dimensions": f"array<struct<{BASE},start:{POINT},`end`:{POINT},value:double,label:string>>",
+    "furniture": f"array<struct<{BASE},furniture_type:string,position:{POINT},rotation:double,width:double,depth:double,height:double,room_id:string>>",
+}
+METADATA = "struct<building_name:string,detection_version:string,source_image_reference:string,notes:string,extra:map<string,string>>"
+DDL = ", ".join(["project_id string", "units string", *(f"{k} {t}" for k, t in ELEMENTS.items()), f"metadata {METADATA}"])
 UPLOADS = (".png", ".jpg", ".jpeg", ".pdf")
 MOST_BYTES = 15 * 1024 * 1024
 
