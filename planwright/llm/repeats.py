@@ -1,11 +1,11 @@
 """Suffix-array dedup: removal of bytes covered by a 100-byte string that also starts earlier.
 
-1. Equal texts are one; all but the first of a text of 100 bytes or more go whole.
-2. Every 100-byte window has an anchor: the run of ``K`` bytes in it with the least hash, leftmost.  Equal
+1. Every 100-byte window has an anchor: the run of ``K`` bytes in it with the least hash, leftmost.  Equal
    windows have equal anchors at equal places.  A row is sent for each anchor, with a hash of its context:
    all bytes that its windows cover.  Anchors with one context each are settled at once: where the
-   context repeats, all windows of this anchor but the first's do.
-3. Anchors with several contexts are looked at by bytes.  The contexts of one anchor are set side by side,
+   context repeats, all windows of this anchor but the first's do.  What repeats within a batch is known
+   there and then, and is dealt out by its place, so that a text of one line over and over is no hot key.
+2. Anchors with several contexts are looked at by bytes.  The contexts of one anchor are set side by side,
    the bytes that all share around the anchor as one symbol, cut where they are like no other; their
    suffixes are sorted, and equal windows, now neighbours, are marked but for the first.  An anchor with
    more than ``COLD`` contexts is settled by hashes of its windows, aggregated over the cluster.
@@ -186,7 +186,9 @@ def settle(contexts: list[tuple[str, str, int, int]]) -> list[tuple[int, int, in
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(doc, tie, anchor, context, place, lo, hi, repeat): windows lo..hi have this anchor; repeat: an earlier row of the batch has the context."""
+    """(doc, tie, anchor, context, at, repeat): an anchor of each text; repeat: an earlier row of the batch has its context.
+
+    ``at`` packs the anchor's place, how far before it its first window starts, and how many more it has."""
 
     def run(batches):
         hashes = Hashes()
@@ -199,30 +201,39 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                     a, h, lo, hi = anchors(hashes, raw, sums)
                     start, stop = np.maximum(a + K - LENGTH, 0), np.minimum(a + LENGTH, len(raw))
                     c = hashes.ranges(sums, start, stop) ^ (a - start).astype(U) * U(0xD6E8FEB86659FD93)
-                    parts.append((np.full(len(a), d), np.full(len(a), t), h.view(np.int64), c.view(np.int64), a, lo, hi))
+                    parts.append((np.full(len(a), d), np.full(len(a), t), h.view(np.int64), c.view(np.int64), a << 16 | (a - lo) << 8 | (hi - lo)))
             if parts:
                 cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 by = np.lexsort((cols[4], cols[1], cols[0], cols[3], cols[2]))
                 cols = [c[by] for c in cols]
-                repeat = np.concatenate(([False], (cols[2][1:] == cols[2][:-1]) & (cols[3][1:] == cols[3][:-1])))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:]), pa.array(repeat)], names=NAMES)
+                new = np.concatenate(([True], (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])))
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                repeat = np.any([c != c[first] for c in (cols[0], cols[1], cols[4])], axis=0)  # a row that repeats id and text is the same document
+                apart = cols[2].view(U) ^ (cols[0].view(U) * U(BASE) + cols[4].astype(U)) * U(0xD6E8FEB86659FD93)
+                cols[2] = np.where(repeat, apart.view(np.int64), cols[2])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(repeat)], names=["doc", "tie", "anchor", "context", "at", "repeat"])
+
+    return texts.mapInArrow(run, "doc bigint, tie bigint, anchor bigint, context bigint, at bigint, repeat boolean")
+
 
-    names = "doc bigint, tie bigint, anchor bigint, context bigint, place int, lo int, hi int, repeat boolean"
-    NAMES = [x.split()[0] for x in names.split(", ")]
-    return texts.mapInArrow(run, names)
+def windows_of(at):
+    """(first, last) window of a packed anchor."""
+    lo = F.shiftright(at, 16) - F.shiftright(at, 8).bitwiseAND(F.lit(255))
+    return lo.cast("int").alias("lo"), (lo + at.bitwiseAND(F.lit(255))).cast("int").alias("hi")
 
 
 def with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, doc, tie, place, lo, hi, before, after): the bytes around the anchors asked for; before from the nearest on."""
-    per = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi", "many")).alias("at"))
+    per = wanted.groupBy("doc", "tie").agg(F.collect_set(F.struct("anchor", "at", "many")).alias("at"))
 
     def run(batches):
         for b in batches:
             rows = []
             for d, t, raw, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for x in at:
-                    p = x["place"]
-                    rows.append((x["anchor"], d, t, p, x["lo"], x["hi"], x["many"], raw[max(p + K - LENGTH, 0) : p][::-1], raw[p + K : p + LENGTH]))
+                    p = x["at"] >> 16
+                    lo = p - (x["at"] >> 8 & 255)
+                    rows.append((x["anchor"], d, t, p, lo, lo + (x["at"] & 255), x["many"], raw[max(p + K - LENGTH, 0) : p][::-1], raw[p + K : p + LENGTH]))
             for i in range(0, len(rows), 50_000):
                 cols = list(zip(*rows[i : i + 50_000], strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -252,8 +263,10 @@ def settled(contexts: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         out = []
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            group = [(cols[5][k].decode("latin-1"), cols[6][k].decode("latin-1"), cols[2][k] - cols[4][k], cols[2][k] - cols[3][k]) for k in range(s, e)]
-            out += [(cols[0][s + k], cols[1][s + k], cols[2][s + k] - hi, cols[2][s + k] - lo) for k, lo, hi in settle(group)]
+            # A row repeated in the table comes twice.
+            own = [k for k in range(s, e) if k == s or any(cols[c][k] != cols[c][k - 1] for c in range(3))]
+            group = [(cols[5][k].decode("latin-1"), cols[6][k].decode("latin-1"), cols[2][k] - cols[4][k], cols[2][k] - cols[3][k]) for k in own]
+            out += [(cols[0][own[k]], cols[1][own[k]], cols[2][own[k]] - hi, cols[2][own[k]] - lo) for k, lo, hi in settle(group)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc", "tie", "lo", "hi"])
 
@@ -282,33 +295,29 @@ def window_rows(contexts: DataFrame) -> DataFrame:
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(doc, tie, lo, hi): ranges of windows that start earlier elsewhere; ``texts`` (doc, tie, raw) has no equal texts."""
+    """(doc, tie, lo, hi): ranges of windows that start earlier elsewhere; ``texts`` has doc, tie, raw."""
     rows = anchor_rows(texts)
-    at = Window.partitionBy("anchor", "context").orderBy("doc", "tie", "place")
-    whole = Window.partitionBy("anchor")
-    many = rows.withColumn("nth", F.row_number().over(at)).withColumn("many", F.sum((F.col("nth") == 1).cast("long")).over(whole))
-    many = cut(many.where("nth > 1 or many > 1").select("anchor", "doc", "tie", "place", "lo", "hi", "many", "nth"))
-    contexts = cut(with_bytes(texts, many.where("nth = 1")))
+    at = Window.partitionBy("anchor", "context").orderBy("doc", "tie", "at")
+    by_context = Window.partitionBy("anchor").orderBy("context")
+    many = rows.withColumn("nth", F.dense_rank().over(at)).withColumn("_c", F.dense_rank().over(by_context)).withColumn("many", F.max("_c").over(Window.partitionBy("anchor")).cast("long"))
+    again = F.col("repeat") | (F.col("nth") > 1)
+    many = cut(many.where(again | (F.col("many") > 1)).select("anchor", "doc", "tie", "at", "many", again.alias("again")))
+    contexts = cut(with_bytes(texts, many.where("not again")))
     cold = settled(contexts.where(F.col("many") <= COLD))
     windows = window_rows(contexts.where(F.col("many") > COLD))
     me = F.struct("doc", "tie", "lo")
     first = windows.groupBy("window").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("window", "w")
     hot = windows.join(first, F.col("window") == F.col("w")).where(me != F.col("first")).select("doc", "tie", "lo", F.col("lo").alias("hi"))
-    return many.where("nth > 1").select("doc", "tie", "lo", "hi").unionByName(cold).unionByName(hot)
+    return many.where("again").select("doc", "tie", *windows_of(F.col("at"))).unionByName(cold).unionByName(hot)
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed spans as (start, end), kept bytes) of every row of ``df`` (doc_id, text)."""
     rows = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), text_or_empty().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    same = cut(rows.where(F.octet_length("text") >= LENGTH).groupBy(F.sha2("text", 256).alias("sha"), "tie").agg(F.min("doc").alias("doc")).select("doc", "tie"))
-    keys = [F.col("doc").alias("fd"), F.col("tie").alias("ft")]
-    first = same.select(*keys)
-    texts = rows.join(first, (F.col("doc") == F.col("fd")) & (F.col("tie") == F.col("ft"))).select("doc", "tie", F.encode("text", "UTF-8").alias("raw"))
-    texts = texts.dropDuplicates(["doc", "tie"])
-    spans = repeated(texts).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    known = first.join(spans, (F.col("fd") == F.col("doc")) & (F.col("ft") == F.col("tie")), "left").select("fd", "ft", F.coalesce("gone", F.array().cast("array<struct<lo:int,hi:int>>")).alias("gone"))
-    out = rows.join(known, (F.col("doc") == F.col("fd")) & (F.col("tie") == F.col("ft")), "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "gone")
+    texts = rows.where(F.octet_length("text") >= LENGTH).select("doc", "tie", F.encode("text", "UTF-8").alias("raw"))
+    spans = repeated(texts).groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    out = rows.join(spans, ["doc", "tie"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "gone")
 
     def run(batches):
         for b in batches:
@@ -316,15 +325,12 @@ def without_repeats(df: DataFrame) -> DataFrame:
                 part = b.slice(i, 500)
                 sizes, spans, kept = [], [], []
                 for raw, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    if gone is None:  # short, or not the first of its text
-                        own = [(0, len(raw))] if len(raw) >= LENGTH else []
-                    else:
-                        own = []
-                        for lo, hi in sorted((g["lo"], g["hi"] + LENGTH) for g in gone):
-                            if own and lo <= own[-1][1]:
-                                own[-1] = (own[-1][0], max(hi, own[-1][1]))
-                            else:
-                                own.append((lo, hi))
+                    own = []
+                    for lo, hi in sorted((g["lo"], g["hi"] + LENGTH) for g in gone or ()):
+                        if own and lo <= own[-1][1]:
+                            own[-1] = (own[-1][0], max(hi, own[-1][1]))
+                        else:
+                            own.append((lo, hi))
                     rest, end = [], 0
                     for lo, hi in own:
                         rest.append(raw[end:lo])
