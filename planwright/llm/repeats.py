@@ -229,7 +229,7 @@ def with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for d, t, raw, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for d, t, raw, at in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 for x in at:
                     p = x["at"] >> 16
                     lo = p - (x["at"] >> 8 & 255)
@@ -239,7 +239,8 @@ def with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "doc", "tie", "place", "lo", "hi", "many", "before", "after"])
 
-    return texts.join(per, ["doc", "tie"]).select("doc", "tie", "raw", "at").mapInArrow(run, "anchor bigint, doc bigint, tie bigint, place int, lo int, hi int, many bigint, before binary, after binary")
+    # All columns of the texts are taken, so that one exchange of them serves every join by (doc, tie).
+    return texts.join(per, ["doc", "tie"]).select("doc_id", "doc", "tie", "raw", "at").mapInArrow(run, "anchor bigint, doc bigint, tie bigint, place int, lo int, hi int, many bigint, before binary, after binary")
 
 
 def settled(contexts: DataFrame) -> DataFrame:
@@ -295,16 +296,16 @@ def window_rows(contexts: DataFrame) -> DataFrame:
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(doc, tie, lo, hi): ranges of windows that start earlier elsewhere; ``texts`` has doc, tie, raw."""
-    rows = anchor_rows(texts)
+    """(doc, tie, lo, hi): ranges of windows that start earlier elsewhere; ``texts`` has doc_id, doc, tie, raw."""
+    rows = anchor_rows(texts.select("doc", "tie", "raw"))
     at = Window.partitionBy("anchor", "context").orderBy("doc", "tie", "at")
     by_context = Window.partitionBy("anchor").orderBy("context")
     many = rows.withColumn("nth", F.dense_rank().over(at)).withColumn("_c", F.dense_rank().over(by_context)).withColumn("many", F.max("_c").over(Window.partitionBy("anchor")).cast("long"))
     again = F.col("repeat") | (F.col("nth") > 1)
     many = cut(many.where(again | (F.col("many") > 1)).select("anchor", "doc", "tie", "at", "many", again.alias("again")))
-    contexts = cut(with_bytes(texts, many.where("not again")))
-    cold = settled(contexts.where(F.col("many") <= COLD))
-    windows = window_rows(contexts.where(F.col("many") > COLD))
+    wanted = many.where("not again")
+    cold = settled(with_bytes(texts, wanted.where(F.col("many") <= COLD)))
+    windows = window_rows(with_bytes(texts, wanted.where(F.col("many") > COLD)))
     me = F.struct("doc", "tie", "lo")
     first = windows.groupBy("window").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("window", "w")
     hot = windows.join(first, F.col("window") == F.col("w")).where(me != F.col("first")).select("doc", "tie", "lo", F.col("lo").alias("hi"))
@@ -314,10 +315,9 @@ def repeated(texts: DataFrame) -> DataFrame:
 def without_repeats(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed spans as (start, end), kept bytes) of every row of ``df`` (doc_id, text)."""
     rows = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), text_or_empty().alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    texts = rows.where(F.octet_length("text") >= LENGTH).select("doc", "tie", F.encode("text", "UTF-8").alias("raw"))
-    spans = repeated(texts).groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
-    out = rows.join(spans, ["doc", "tie"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "gone")
+    rows = rows.select("doc_id", "doc", F.xxhash64("text").alias("tie"), F.encode("text", "UTF-8").alias("raw"))
+    spans = repeated(rows).groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    out = rows.join(spans, ["doc", "tie"], "left").select("doc_id", "raw", "gone")
 
     def run(batches):
         for b in batches:
