@@ -7,8 +7,11 @@
    there and then, and is dealt out by its place, so that a text of one line over and over is no hot key.
 2. Anchors with several contexts are looked at by bytes.  The contexts of one anchor are set side by side,
    the bytes that all share around the anchor as one symbol, cut where they are like no other; their
-   suffixes are sorted, and equal windows, now neighbours, are marked but for the first.  An anchor with
-   more than ``COLD`` contexts is settled by hashes of its windows, aggregated over the cluster.
+   suffixes are sorted, and equal windows, now neighbours, are marked but for the first.
+3. The windows of an anchor with more than ``COLD`` contexts are cut into blocks of ``BLOCK`` places.  The
+   bytes that all windows of a block have, with the anchor's, are a longer anchor, the bytes that some of
+   them has its context, and blocks are settled as anchors are.  Only where a longer anchor still has more
+   than ``COLD`` contexts are hashes of single windows aggregated over the cluster.
 
 The suffix order is built by grouping.  The Lyndon prefix of each suffix (up to the next smaller suffix)
 comes from one pass from the right with a stack; suffixes with equal prefixes are a group, and groups are
@@ -25,10 +28,12 @@ lowest id; an empty table gives an empty result; other columns are not looked at
 
 from __future__ import annotations
 
+from functools import reduce
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +42,7 @@ from .common import cut, documents, text_or_empty
 LENGTH = 100
 K = 32
 COLD = 1024
+BLOCK = 9
 LOWEST = -(2**63)
 U = np.uint64
 BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
@@ -274,6 +280,42 @@ def settled(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("anchor").sortWithinPartitions("anchor", "doc", "tie", "place").mapInArrow(run, "doc bigint, tie bigint, lo int, hi int")
 
 
+def blocks_of(contexts: DataFrame) -> DataFrame:
+    """A row for each block of windows of a context, with its longer anchor and its own context; repeat as in ``anchor_rows``."""
+    rest = LENGTH - K
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def run(batches):
+        for b in batches:
+            rows, hashed = [], []
+            for anchor, d, t, p, lo, hi, before, after in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tie", "place", "lo", "hi", "before", "after")), strict=True):
+                for least in range((p - hi) // BLOCK * BLOCK, p - lo + 1, BLOCK):
+                    most = min(least + BLOCK - 1, rest)
+                    a, z = max(least, p - hi), min(most, p - lo)
+                    left, right = before[:z], after[: rest - a]
+                    # What blocks hold beyond the longer anchor differs in length at the ends of texts only.
+                    core = xxhash.xxh3_64_intdigest(before[:least] + after[: rest - most], anchor & (1 << 64) - 1 ^ least)
+                    hashed.append((core, xxhash.xxh3_64_intdigest(left + right, z << 8 | a)))
+                    rows.append((d, t, p, p - z, p - a, left, right))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                anchor, context = np.array(hashed, U).T
+                place = [np.array(c, np.int64) for c in cols[:3]]
+                by = np.lexsort((*place[::-1], context, anchor))
+                new = np.concatenate(([True], (anchor[by][1:] != anchor[by][:-1]) | (context[by][1:] != context[by][:-1])))
+                first = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                repeat = np.zeros(len(by), bool)
+                repeat[by] = np.any([c[by] != c[first] for c in place], axis=0)
+                apart = anchor ^ (place[0].view(U) * U(BASE) + place[2].astype(U)) * U(0xD6E8FEB86659FD93)
+                anchor = np.where(repeat, apart, anchor).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(context.view(np.int64)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(repeat)],
+                    names=["anchor", "context", "doc", "tie", "place", "lo", "hi", "before", "after", "repeat"],
+                )
+
+    return contexts.mapInArrow(run, "anchor bigint, context bigint, doc bigint, tie bigint, place int, lo int, hi int, before binary, after binary, repeat boolean")
+
+
 def window_rows(contexts: DataFrame) -> DataFrame:
     """(window, doc, tie, lo): a hash of each window of an anchor with many contexts."""
 
@@ -283,7 +325,7 @@ def window_rows(contexts: DataFrame) -> DataFrame:
             anchor, doc, tie = (b.column(i).to_numpy() for i in range(3))
             place, lo, hi = (b.column(i).to_numpy() for i in (3, 4, 5))
             parts = []
-            for k, (before, after) in enumerate(zip(b.column(7).to_pylist(), b.column(8).to_pylist(), strict=True)):
+            for k, (before, after) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)):
                 raw = before[::-1] + after  # the anchor between them is the same for all
                 at = np.arange(lo[k], hi[k] + 1)
                 s = at - place[k] + len(before)
@@ -305,11 +347,19 @@ def repeated(texts: DataFrame) -> DataFrame:
     many = cut(many.where(again | (F.col("many") > 1)).select("anchor", "doc", "tie", "at", "many", again.alias("again")))
     wanted = many.where("not again")
     cold = settled(with_bytes(texts, wanted.where(F.col("many") <= COLD)))
-    windows = window_rows(with_bytes(texts, wanted.where(F.col("many") > COLD)))
+    blocks = blocks_of(with_bytes(texts, wanted.where(F.col("many") > COLD)))
+    blocks = blocks.withColumn("nth", F.dense_rank().over(Window.partitionBy("anchor", "context").orderBy("doc", "tie", "place")))
+    fresh = ~F.col("repeat") & (F.col("nth") == 1)
+    sizes = blocks.where(fresh).groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("anchor", "s")
+    shared = blocks.where(fresh).join(sizes, F.col("anchor") == F.col("s"))
+    own = ("anchor", "doc", "tie", "place", "lo", "hi", "before", "after")
+    parts = [many.where("again").select("doc", "tie", *windows_of(F.col("at"))), blocks.where(~fresh).select("doc", "tie", "lo", "hi")]
+    parts += [cold, settled(shared.where(F.col("size") <= COLD).select(*own))]
+    windows = window_rows(shared.where(F.col("size") > COLD).select(*own))
     me = F.struct("doc", "tie", "lo")
     first = windows.groupBy("window").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("window", "w")
     hot = windows.join(first, F.col("window") == F.col("w")).where(me != F.col("first")).select("doc", "tie", "lo", F.col("lo").alias("hi"))
-    return many.where("again").select("doc", "tie", *windows_of(F.col("at"))).unionByName(cold).unionByName(hot)
+    return reduce(DataFrame.unionByName, [*parts, hot])
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
