@@ -81,8 +81,12 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
+def mark():
+    return F.xxhash64(text_or_empty()).alias("mark")
+
+
 def sets(df: DataFrame) -> DataFrame:
-    """(doc_id, n, node, prefix, bits): node names the class of equal sets; null for the empty set."""
+    """(doc_id, mark, n, node, prefix, bits): mark is a hash of the text; node names the class of equal sets, null for the empty set."""
 
     def run(batches):
         shingles = Shingles()
@@ -93,12 +97,12 @@ def sets(df: DataFrame) -> DataFrame:
                 node = [int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) if len(s) else None for s in own]
                 cutoff = [s[: prefix_length(len(s))].view(np.int64) if len(s) else s.view(np.int64) for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(node, pa.int64()), pa.array(cutoff, pa.list_(pa.int64())),
+                    [part.column(0), part.column(2), pa.array([len(s) for s in own], pa.int64()), pa.array(node, pa.int64()), pa.array(cutoff, pa.list_(pa.int64())),
                      pa.array([bitmap(s).tobytes() if len(s) else b"" for s in own], pa.binary())],
-                    names=["doc_id", "n", "node", "prefix", "bits"],
+                    names=["doc_id", "mark", "n", "node", "prefix", "bits"],
                 )
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>, bits binary")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), mark()).mapInArrow(run, "doc_id bigint, mark bigint, n bigint, node bigint, prefix array<bigint>, bits binary")
 
 
 def band(n):
@@ -258,8 +262,11 @@ def whole_sets(df: DataFrame) -> DataFrame:
     return df.select(text_or_empty().alias("text")).mapInArrow(run, "node bigint, n bigint, shingles binary")
 
 
-def linked(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``df`` (doc_id, text)."""
+def placed(df: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, node, first, component) of every row of ``df`` (doc_id, text).
+
+    ``first`` is the least id of the row's component; ``component`` names it by one of its classes, so that
+    components with equal least ids stay apart.  Rows without a set have neither."""
     rows = cut(sets(df))
     key = F.coalesce("doc_id", F.lit(LOWEST))
     # One of the equal rows of a class stands for it; its prefix and bitmap are those of all.
@@ -278,21 +285,42 @@ def linked(df: DataFrame) -> DataFrame:
     links = exact_links(in_blocks(texts, "component", "size").select("tile", "node", "n", "shingles"))
     joined = components(links).withColumnRenamed("node", "x")
     least = joined.join(named, F.col("x") == F.col("node")).select("x", "component", "least")
-    least = cut(least.join(least.groupBy("component").agg(F.min("least").alias("first")).withColumnRenamed("component", "fc"), F.col("component") == F.col("fc")).select("x", "first"))
-    full = named.join(least, F.col("node") == F.col("x"), "left").select(F.col("node").alias("o"), F.coalesce("first", "least").alias("first"))
-    out = rows.select("doc_id", "n", "node").join(full, F.col("node") == F.col("o"), "left")
+    least = cut(least.join(least.groupBy("component").agg(F.min("least").alias("first")).withColumnRenamed("component", "fc"), F.col("component") == F.col("fc")).select("x", "component", "first"))
+    full = named.join(least, F.col("node") == F.col("x"), "left")
+    full = full.select(F.col("node").alias("o"), F.coalesce("first", "least").alias("first"), F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "mark", "n", "node").join(full, F.col("node") == F.col("o"), "left").drop("o")
+
+
+def linked(df: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``df`` (doc_id, text)."""
     first = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("first"), F.lit(LOWEST)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"))
+    return placed(df).select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"))
 
 
 def distinct_documents(df: DataFrame) -> DataFrame:
     """``df`` with one row of each component: that of its least doc_id; of rows that repeat it, the least text.
 
-    Rows without a set are components of their own and all stay."""
-    found = linked(df.select("doc_id", "text"))
-    drop = cut(found.where("n_shingles > 0").select("doc_id", "component_id").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct())
-    kept = df.join(drop.select(F.col("doc_id").alias("_d")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
-    return kept
+    A row is known by its id and the hash of its text, so rows of one id with different texts go their own
+    ways.  Of equal rows the least in its other columns stays.  Rows without a set are components of their
+    own and all stay."""
+    own = df.columns
+    rows = cut(placed(df.select("doc_id", "text")).where("node is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("times")))
+    # Only components of several rows lose any.  A null id is the least of a struct, as of ids.
+    many = rows.groupBy("component").agg(F.sum("times").alias("size"), F.min(F.struct("doc_id")).alias("least")).where("size > 1")
+    rows = cut(rows.join(many.select(F.col("component").alias("c"), "least"), F.col("component") == F.col("c")).select("component", "doc_id", "mark", "times", F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("could")))
+    named = lambda x: x.select("component", F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m"))
+    marked = df.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": mark()})
+    # Where rows of the least id differ in text, the texts decide.
+    tied = rows.where("could").groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    texts = marked.select("_id", "_mark", text_or_empty().alias("_t")).join(named(rows.where("could").join(tied, "component", "left_semi")), same)
+    won = texts.groupBy("component").agg(F.min(F.struct("_t", "_mark")).alias("w")).select(F.col("component").alias("c"), F.col("w._mark").alias("won"))
+    rows = rows.join(cut(won), F.col("component") == F.col("c"), "left")
+    rows = cut(rows.withColumn("stays", F.col("could") & F.coalesce(F.col("mark") == F.col("won"), F.lit(True))).select("component", "doc_id", "mark", "times", "stays"))
+    kept = marked.join(named(rows.where("not stays or times > 1")), same, "left_anti").select(*own)
+    again = marked.join(named(rows.where("stays and times > 1")), same)
+    row = F.struct(*own)
+    return kept.unionByName(again.groupBy("component").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

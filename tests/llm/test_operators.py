@@ -128,6 +128,21 @@ def test_ngram_join_loses_no_link(spark, docs, monkeypatch, cold, block):
     assert sorted(map(tuple, got)) == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    other = " ".join(WORDS[:80])
+    rows = [
+        (1, BASE, "a"), (1, BASE, "b"), (2, BASE, "a"),  # the least id is repeated
+        (3, other, "a"), (3, BASE + " end", "a"),  # one id with a clean text and a copied one
+        (None, "x y z " + other[::-1], "a"), (None, "X y z " + other[::-1], "a"), (9, "x y z " + other[::-1], "a"),  # null ids, two texts of one set
+        (None, "quite another text of its own", "a"), (None, None, "a"), (None, None, "a"), (4, "", "a"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = ngram_join.distinct_documents(df)
+    assert got.columns == df.columns
+    want = [rows[0], rows[3], rows[6], *rows[8:]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
