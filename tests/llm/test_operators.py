@@ -208,6 +208,24 @@ def test_html():
     assert html_text.render("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_of_any_depth():
+    deep = "<div>" * 400
+    assert html_text.render(f"a<div hidden>{deep}no{'</div>' * 400}no</div>b") == "ab"
+    assert html_text.render(f"{deep}a<div hidden>no<p>no</div>b<noscript>no</noscript>") == "ab"
+    assert html_text.render("<font>" * 400 + "<ul><li>x<li>y</ul><table><tr><td>a<td>b</table>") == "- x\n- y\n\na  b"
+    many = html_text.render("<ul><li>x" * 3000).split("\n")
+    assert len(many) == 3000 and all(x.endswith("- x") for x in many)
+    assert html_text.render("<font><p>" * 20_000 + "z") == "z"
+
+
+def test_html_shows_all_visible_text():
+    assert html_text.render("<head><title>no</title>bare<p>b") == "bare\n\nb"
+    assert html_text.render("<xmp><b>&amp;</xmp>") == "<b>&amp;"
+    assert html_text.render("<textarea>a\nb</textarea><select><option>no<option selected>c</select><select multiple><option>d<option>e</select>") == "a\nb c d\ne"
+    assert html_text.render("<math><mi>x</mi><annotation>no</annotation></math><svg><title>no</title>no<defs><text>no</text></defs><g><text>s<tspan>t</tspan></text></g></svg>") == "x st"
+    assert html_text.render("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td colspan=60>f<td>g</table>") == "a  b  c\n   d  e\nf        g"
+
+
 def test_html_query(spark):
     rows = html_text.op8(spark, SF).collect()
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
