@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_or_empty
+from .common import cut, documents, small, text_or_empty
 from .graph import components
 
 WORDS = 5
@@ -308,12 +308,13 @@ def distinct_documents(df: DataFrame) -> DataFrame:
     # Only components of several rows lose any.  A null id is the least of a struct, as of ids.
     many = rows.groupBy("component").agg(F.sum("times").alias("size"), F.min(F.struct("doc_id")).alias("least")).where("size > 1")
     rows = cut(rows.join(many.select(F.col("component").alias("c"), "least"), F.col("component") == F.col("c")).select("component", "doc_id", "mark", "times", F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("could")))
-    named = lambda x: x.select("component", F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
+    # The texts are shuffled only where many rows are looked for.
+    named = lambda x: small(x.select("component", F.col("doc_id").alias("_d"), F.col("mark").alias("_m")), 50_000)
     same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m"))
     marked = df.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": mark()})
     # Where rows of the least id differ in text, the texts decide.
     tied = rows.where("could").groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    texts = marked.select("_id", "_mark", text_or_empty().alias("_t")).join(named(rows.where("could").join(tied, "component", "left_semi")), same)
+    texts = marked.select("_id", "_mark", text_or_empty().alias("_t")).join(named(cut(rows.where("could").join(tied, "component", "left_semi"))), same)
     won = texts.groupBy("component").agg(F.min(F.struct("_t", "_mark")).alias("w")).select(F.col("component").alias("c"), F.col("w._mark").alias("won"))
     rows = rows.join(cut(won), F.col("component") == F.col("c"), "left")
     rows = cut(rows.withColumn("stays", F.col("could") & F.coalesce(F.col("mark") == F.col("won"), F.lit(True))).select("component", "doc_id", "mark", "times", "stays"))
