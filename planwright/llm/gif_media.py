@@ -34,10 +34,10 @@ TOP = 4096
 FRAME = "struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,transparent:int,rgb:binary>"
 
 
-def _widths(least: int) -> np.ndarray:
-    """Bits of the codes after a clear code, up to a full table and some codes beyond."""
+def _widths(least: int, most: int = 2 * TOP) -> np.ndarray:
+    """Bits of the ``most`` first codes after a clear code; once the table is full they stay as they are."""
     # The reader adds an entry with each code but the first; codes grow when the table reaches a power of two.
-    entries = np.minimum(np.maximum(np.arange(2 * TOP) - 1, 0) + (1 << least) + 2, TOP - 1)
+    entries = np.minimum(np.maximum(np.arange(most) - 1, 0) + (1 << least) + 2, TOP - 1)
     return np.maximum(np.floor(np.log2(entries)).astype(np.int64) + 1, least + 1)
 
 
@@ -50,28 +50,34 @@ def lzw_decode(data: bytes, least: int, pixels: int) -> bytes:
     starts = np.concatenate(([0], np.cumsum(widths)))
     out, got, at = [], 0, 0
     while at < bits and got < pixels:
-        n = int(np.searchsorted(starts, bits - at, "right")) - 1  # whole codes left, were there no clear code
-        if n <= 0:
-            break
-        n = min(n, len(widths))
-        off = at + starts[:n]
-        k = off >> 3
-        codes = (((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (off & 7).astype(np.uint32)) & ((1 << widths[:n]) - 1).astype(np.uint32)).astype(np.int32)
-        ends = np.flatnonzero((codes == clear) | (codes == stop))
+        while True:
+            n = int(np.searchsorted(starts, bits - at, "right")) - 1  # whole codes left, were there no clear code
+            if n <= 0:
+                return b"".join(out)[:pixels]
+            n = min(n, len(widths))
+            off = at + starts[:n]
+            k = off >> 3
+            codes = (((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (off & 7).astype(np.uint32)) & ((1 << widths[:n]) - 1).astype(np.uint32)).astype(np.int32)
+            ends = np.flatnonzero((codes == clear) | (codes == stop))
+            if len(ends) or n < len(widths) or n >= pixels:
+                break
+            # A full table may stay in use: the run lasts until the next clear or end code.
+            widths = _widths(least, 4 * len(widths))
+            starts = np.concatenate(([0], np.cumsum(widths)))
         m = int(ends[0]) if len(ends) else n
         # With code i the table gets the string of code i - 1 and one more byte; no later entry can be asked for.
         wrong = np.flatnonzero(codes[:m] - (clear + 2) >= np.arange(m))
-        part = _strings(codes[: wrong[0] if len(wrong) else m], clear)
+        part = _strings(codes[: wrong[0] if len(wrong) else m], clear, pixels - got)
         out.append(part)
         got += len(part)
-        if len(wrong) or not len(ends) and n < len(widths) or len(ends) and codes[m] == stop:
+        if len(wrong) or not len(ends) or codes[m] == stop:
             break
-        at += int(starts[m + 1] if len(ends) else starts[n])
+        at += int(starts[m + 1])
     return b"".join(out)[:pixels]
 
 
-def _strings(codes: np.ndarray, clear: int) -> bytes:
-    """The indices of the codes between two clear codes.
+def _strings(codes: np.ndarray, clear: int, most: int) -> bytes:
+    """The indices of the codes between two clear codes, up to the code that passes ``most``.
 
     A code of the table repeats what an earlier code stood for, and the index after it: a copy from
     where that code's output starts.  Lengths and copied places come from following such references,
@@ -85,6 +91,8 @@ def _strings(codes: np.ndarray, clear: int) -> bytes:
         length[far] += length[to]
         ref[far] = ref[to]
     start = np.cumsum(length) - length
+    n = int(np.searchsorted(start, most))  # codes refer to earlier ones only
+    codes, of, length, start = codes[:n], of[:n], length[:n], start[:n]
     back = np.where(of < 0, 0, start - start[of]).astype(np.int32)
     place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(back, length)
     while not np.array_equal(further := place[place], place):

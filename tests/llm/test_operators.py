@@ -86,6 +86,31 @@ def test_gif_rules():
         list(gif_media.frames_of(b"no"))
 
 
+@pytest.mark.parametrize("least", [2, 8])
+def test_gif_table_stays_when_full(least):
+    clear, n = 1 << least, 60_000
+    table, codes, data = {bytes([i]): i for i in range(clear)}, [], bytes(rng.randrange(clear) for _ in range(n * 3))
+    at = 0
+    while at < len(data) and len(codes) < n:  # the longest string that the table has; no entry beyond the last of 12 bits
+        k = 1
+        while at + k < len(data) and data[at : at + k + 1] in table:
+            k += 1
+        codes.append(table[data[at : at + k]])
+        if len(table) + 2 < gif_media.TOP and at + k < len(data):
+            table[data[at : at + k + 1]] = len(table) + 2
+        at += k
+    data = data[:at]
+    assert len(codes) > 8192
+    bits = []
+    for i, c in enumerate([clear, *codes, clear + 1]):
+        entries = min(max(i - 2, 0) + clear + 2, gif_media.TOP - 1)
+        width = max(entries.bit_length(), least + 1) if i else least + 1
+        bits += [c >> j & 1 for j in range(width)]
+    stream = np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+    assert gif_media.lzw_decode(stream, least, len(data)) == data
+    assert gif_media.lzw_decode(stream, least, 20_000) == data[:20_000]
+
+
 def test_decode_has_frames_and_errors(spark):
     df = spark.createDataFrame([(1, bytearray(gif_media.gif_of(b"\x01" * 576 * 250))), (2, bytearray(b"junk")), (3, None)], "id int, media binary")
     got = {r.id: r for r in gif_media.decode(df).collect()}
