@@ -13,8 +13,8 @@ from .common import text_or_empty
 
 
 def fold(mod: int):
-    """crc32 of the id as text, modulo ``mod``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+    """crc32 of the id as text, modulo ``mod``; -1, which is no fold, where the id is null."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod, F.lit(-1))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: dict[int, int]) -> DataFrame:

@@ -8,9 +8,10 @@ of the shingles one of the first ``n - ceil(0.8 n) + 1`` of ``x`` (its prefix) i
 2. Prefixes follow the order of hashes, but for frequent shingles, which come last: every task keeps
    ``HEAVY`` counters of the shingles it reads, and the ``HOT`` most frequent of all become a list of
    bounded size.  A passage that many documents share is thus in few prefixes.  Any list gives the same links.
-3. Prefix shingles that only one class has are dropped.  The first and the last class that hold a shingle
-   are its centres; every other one that the bitmaps allow to link with a centre is joined to it, and the
-   components of these pairs are the first groups.  Shingles whose classes are all in one group are done.
+3. Prefix shingles that only one class has are dropped.  Of the classes that hold another one, the first and
+   the one with most of its prefix shared are its centres; every other one that the bitmaps allow to link with
+   a centre is joined to it, and the components of these pairs are the first groups.  Shingles whose classes
+   are all in one group are done.
 4. The classes that share another shingle form tiles by bands of sizes, each band with the next lower one
    beside it; equal tiles of up to ``COLD`` classes are one.  Of more than ``BLOCK`` classes, those of the most
    frequent group meet the others in blocks; where the others are more than a block too, all meet in pairs
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents, small, text_or_empty
-from .graph import components
+from .graph import components, forest, stars
 
 WORDS = 5
 SHARE = (4, 5)  # 0.8
@@ -116,17 +117,17 @@ class Frequent:
 
 
 def frequent(df: DataFrame) -> np.ndarray:
-    """The sorted hashes of at most HOT shingles that stand in the most prefixes."""
+    """The sorted hashes of at most HOT shingles that the most texts hold."""
 
     def run(batches):
-        shingles, counts, waiting = Shingles(), Frequent(HEAVY), []
+        shingles, counts, waiting, size = Shingles(), Frequent(HEAVY), [], 0
         for b in batches:
             for t in b.column(0):
-                s = shingles.of(t.as_py())
-                waiting.append(s[: prefix_length(len(s))])
-                if len(waiting) >= 4_000:
+                waiting.append(shingles.of(t.as_py()))
+                size += len(waiting[-1])
+                if size >= 1_000_000:
                     counts.add(np.concatenate(waiting))
-                    waiting = []
+                    waiting, size = [], 0
         if waiting:
             counts.add(np.concatenate(waiting))
         kept = counts.n > max(1, counts.short)
@@ -266,22 +267,14 @@ def possible(tile: np.ndarray, n: np.ndarray, bits: list[bytes], group: np.ndarr
         lag += 1
 
 
-def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row that each row reaches by the pairs."""
-    label = np.arange(size)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if np.array_equal(before, label):
-            return label
-
-
 def linked_to_centres(shared: DataFrame, bits: DataFrame) -> DataFrame:
-    """(a, b): classes that share a key with its first or last class (lo, hi), where the bitmaps allow a link."""
-    pairs = shared.select("id", F.explode(F.array("lo", "hi")).alias("centre")).where("id <> centre")
+    """(a, b): classes that share a key with a centre of it, where the bitmaps allow a link.
+
+    The centres of a key are its first class (lo) and the one with the largest part of its prefix shared:
+    of near copies that is the one they were made from, or the one with the fewest changes."""
+    part = shared.groupBy("id").agg(F.count("*").alias("k")).join(bits.select(F.col("id").alias("i"), "n"), F.col("id") == F.col("i")).select("i", (F.col("k") / F.col("n")).alias("part"))
+    hub = F.max(F.struct("part", "id")).over(Window.partitionBy("key"))["id"]
+    pairs = shared.join(part, F.col("id") == F.col("i")).select("id", "lo", hub.alias("hub")).select("id", F.explode(F.array("lo", "hub")).alias("centre")).where("id <> centre")
     pairs = pairs.select(F.least("id", "centre").alias("id"), F.greatest("id", "centre").alias("centre")).distinct()
     named = lambda k: bits.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
     both = pairs.join(named("x"), F.col("id") == F.col("x")).where("x_n is not null").join(named("y"), F.col("centre") == F.col("y"))
@@ -317,21 +310,22 @@ def key_tiles(shared: DataFrame) -> DataFrame:
 
 
 def candidate_links(tiles: DataFrame) -> DataFrame:
-    """(a, b): a forest for each tile (tile, id, n, bits, label, guest) of the pairs that the bitmaps let pass."""
+    """(a, b): for each tile (tile, id, n, bits, label, guest) a forest of the labels of the pairs that the bitmaps let pass."""
 
     def work(tile, t):
-        ids, bits = t.column("id").to_numpy(), t.column("bits").to_pylist()
-        pairs = list(possible(tile, t.column("n").to_numpy(), bits, t.column("label").to_numpy(), t.column("guest").to_numpy()))
+        label = t.column("label").to_numpy()
+        pairs = list(possible(tile, t.column("n").to_numpy(), t.column("bits").to_pylist(), label, t.column("guest").to_numpy()))
         if pairs:
-            label = forest(len(ids), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-            at = np.flatnonzero(label != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], names=["a", "b"])
+            a, b = stars(*(label[np.concatenate([p[k] for p in pairs])] for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return by_tile(tiles, work, "a bigint, b bigint")
 
 
 def exact_links(tiles: DataFrame) -> DataFrame:
-    """(a, b): a forest for each tile (tile, id, n, label, shingles) of the pairs of different labels that link."""
+    """(a, b, large): each row of a tile (tile, id, n, label, large, shingles) that links, b, with the least id that it reaches in the tile.
+
+    Rows of one label are joined already."""
 
     def work(tile, t):
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
@@ -352,12 +346,14 @@ def exact_links(tiles: DataFrame) -> DataFrame:
                     both = len(np.intersect1d(own[x], own[y], assume_unique=True))
                     if SHARE[1] * both >= SHARE[0] * (n[x] + n[y] - both):
                         up[max(rx, ry)] = min(rx, ry)
-                        a.append(ids[x])
-                        b.append(ids[y])
+                        a.append(x)
+                        b.append(y)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            label = forest(len(ids), np.array(a), np.array(b))
+            at = np.flatnonzero(np.bincount(label, minlength=len(ids))[label] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at]), t.column("large").take(pa.array(at)).combine_chunks()], names=["a", "b", "large"])
 
-    return by_tile(tiles, work, "a bigint, b bigint")
+    return by_tile(tiles, work, "a bigint, b bigint, large boolean")
 
 
 def whole_sets(df: DataFrame) -> DataFrame:
@@ -373,34 +369,34 @@ def whole_sets(df: DataFrame) -> DataFrame:
     return df.select(text_or_empty().alias("text")).mapInArrow(run, "node binary, shingles binary")
 
 
-def group_links(held: DataFrame) -> DataFrame:
-    """(a, b): links that join all that links within each group of ``held`` (id, n, group, size, shingles)."""
-    own = block(counted(F.col("size")))
+def group_components(held: DataFrame) -> DataFrame:
+    """(node, component) of all that links within a group of ``held`` (id, n, group, size, shingles)."""
+    own, is_large = block(counted(F.col("size"))), F.col("size") > BLOCK
+    over = lambda k, f: F.transform(F.sequence(F.lit(0), k - 1), f)
     first = F.row_number().over(Window.partitionBy("group").orderBy("id"))
-    leaders = held.select("id", "group", "size").where(F.col("size") > BLOCK).withColumn("r", first).where(F.col("r") <= LEADERS).select(F.col("id").alias("l"))
-    every = F.transform(F.sequence(F.lit(0), counted(F.col("size")) - 1), lambda j: F.xxhash64("group", j))
+    leaders = held.select("id", "group", "size").where(is_large).withColumn("r", first).where(F.col("r") <= LEADERS).select(F.col("id").alias("l"))
     dealt = held.join(leaders, F.col("id") == F.col("l"), "left")
-    dealt = dealt.withColumn("tile", F.explode(F.when(F.col("l").isNull(), F.array(F.xxhash64("group", own))).otherwise(every)))
-    links = cut(exact_links(dealt.select("tile", "id", "n", F.col("id").alias("label"), "shingles")))
-    large = cut(held.where(F.col("size") > BLOCK).select("id", "n", "group", "size"))
+    dealt = dealt.withColumn("tile", F.explode(F.when(F.col("l").isNull(), F.array(F.xxhash64("group", own))).otherwise(over(counted(F.col("size")), lambda j: F.xxhash64("group", j)))))
+    found = cut(exact_links(dealt.select("tile", "id", "n", F.col("id").alias("label"), is_large.alias("large"), "shingles")))
+    whole = found.where("not large").select(F.col("b").alias("node"), F.col("a").alias("component"))
+    large = cut(held.where(is_large).select("id", "n", "group", "size"))
     if large.isEmpty():
-        return links
+        return whole
     # Where a large group is not one component, what is outside the main one meets every block.
+    links = found.where("large").select("a", "b")
     named = large.join(components(links), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
     named = cut(named.select("id", "n", "group", "size", "part"))
     part = named.groupBy("group", "part").agg(F.count("*").alias("k")).groupBy("group").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("all"))
     part = part.where("main.k < all").select(F.col("group").alias("g"), F.col("main.part").alias("main"), (F.col("all") - F.col("main.k")).alias("rest"))
-    again = named.join(part, F.col("group") == F.col("g")).select("id", F.col("part").alias("label"), "group", "size", "main", "rest").withColumnRenamed("id", "i")
-    again = cut(again)
-    if again.isEmpty():
-        return links
-    held = held.select("id", "n", "shingles").join(again, F.col("id") == F.col("i"))
-    few, outside = block(counted(F.col("rest"))), F.col("label") != F.col("main")
-    over = lambda k, f: F.transform(F.sequence(F.lit(0), k - 1), f)
-    as_any = over(counted(F.col("rest")), lambda j: F.xxhash64("group", j, own))
-    as_rest = F.when(outside, over(counted(F.col("size")), lambda j: F.xxhash64("group", few, j))).otherwise(F.array().cast("array<bigint>"))
-    held = held.withColumn("tile", F.explode(F.array_union(as_any, as_rest)))
-    return links.unionByName(exact_links(held.select("tile", "id", "n", "label", "shingles")))
+    again = cut(named.join(part, F.col("group") == F.col("g")).select(F.col("id").alias("i"), F.col("part").alias("label"), "group", "size", "main", "rest"))
+    if not again.isEmpty():
+        held = held.select("id", "n", "shingles").join(again, F.col("id") == F.col("i"))
+        few = block(counted(F.col("rest")))
+        as_any = over(counted(F.col("rest")), lambda j: F.xxhash64("group", j, own))
+        as_rest = F.when(F.col("label") != F.col("main"), over(counted(F.col("size")), lambda j: F.xxhash64("group", few, j))).otherwise(F.array().cast("array<bigint>"))
+        held = held.withColumn("tile", F.explode(F.array_union(as_any, as_rest)))
+        links = links.unionByName(exact_links(held.select("tile", "id", "n", "label", F.lit(True).alias("large"), "shingles")).select("a", "b"))
+    return whole.unionByName(components(links))
 
 
 def placed(df: DataFrame) -> DataFrame:
@@ -426,15 +422,16 @@ def placed(df: DataFrame) -> DataFrame:
     open_ = shared.join(info, F.col("id") == F.col("i")).select("key", "id", "n", "label").withColumns({"lo": F.min("label").over(over), "hi": F.max("label").over(over)})
     tiles = key_tiles(open_.where("lo < hi").select("key", "id", "n", "label"))
     tiles = tiles.join(bits.select(F.col("id").alias("b"), "bits"), F.col("id") == F.col("b")).select("tile", "id", "n", "bits", "label", "guest")
-    groups = cut(components(near.unionByName(candidate_links(tiles))).withColumnRenamed("node", "g"))
-    size = groups.groupBy("component").agg(F.count("*").alias("size")).withColumnRenamed("component", "gc")
-    member = groups.join(size, F.col("component") == F.col("gc")).select("g", F.col("component").alias("group"), "size")
+    joined = components(candidate_links(tiles)).select(F.col("node").alias("l"), "component")
+    groups = info.join(joined, F.col("label") == F.col("l"), "left").select(F.col("i").alias("g"), F.coalesce("component", "label").alias("group"))
+    size = groups.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("group", "gc")
+    member = groups.join(size, F.col("group") == F.col("gc")).select("g", "group", "size")
     member = cut(classes.join(member, F.col("id") == F.col("g")).select("id", F.col("node").alias("c"), "n", "least", F.col("mark").alias("m"), "group", "size"))
     # Only the rows that stand for a class with candidates are read again.
     same = (F.coalesce(df["doc_id"].cast("long"), F.lit(LOWEST)) == F.col("least")) & (mark() == F.col("m"))
     again = df.join(small(member.select("least", "m"), LOOKUP), same, "left_semi")
     held = whole_sets(again).join(member, F.col("node") == F.col("c")).dropDuplicates(["node"]).select("id", "n", "group", "size", "shingles")
-    joined = components(group_links(held)).withColumnRenamed("node", "x")
+    joined = group_components(held).withColumnRenamed("node", "x")
     least = joined.join(classes.select("id", "least"), F.col("x") == F.col("id")).select("x", "component", "least")
     first = least.groupBy("component").agg(F.min("least").alias("first")).withColumnRenamed("component", "fc")
     least = cut(least.join(first, F.col("component") == F.col("fc")).select("x", "component", "first"))

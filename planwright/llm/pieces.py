@@ -5,6 +5,8 @@ character, no merge crosses from a word into the next mark, so a text's ids are
 (a run of marks with the word behind it) set side by side.  Each task keeps a table from chunk to ids:
 a distinct chunk is segmented once by the library, and a text's ids are joined from the table in the
 order of its chunks.  The table is emptied at ``TABLE`` entries, which bounds memory and changes no id.
+One table for the whole corpus would send every occurrence of every word to its chunk and back: measured
+on 0.1 GB of documents, 26.6 million occurrences of 1.76 million distinct words shuffle 443 MB one way.
 A model whose pieces do cross marks is refused.
 
 The model must keep white space as it is (identity normalisation, dummy prefix, no removal of blanks);
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ from .common import documents, text_or_empty
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-TABLE = 400_000
-SLICE = 4_000_000  # characters
+TABLE = 100_000  # some 25 MB
+SLICE = 500_000  # characters
 
 
 def model_file(model: str) -> str:
@@ -65,29 +68,36 @@ class Chunks:
         self.last = np.array([self.sp.eos_id()], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(own := dict.fromkeys(texts)) < len(texts):  # copies stand side by side
+            own = dict(zip(own, self.encode(list(own)), strict=True))
+            return [own[t] for t in texts]
         cut = [self.find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.table) > self.limit:
             self.table = dict(self.lone)
         new = list(set().union(*cut).difference(self.table))
-        # The library puts the first mark back itself.
-        self.table.update(zip(new, (array("I", i).tobytes() for i in self.sp.encode([c[1:] for c in new], num_threads=1)), strict=True))
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
+            # The library puts the first mark back itself.
+            self.table.update(zip(part, (array("I", i).tobytes() for i in self.sp.encode([c[1:] for c in part], num_threads=1)), strict=True))
         get = self.table.__getitem__
         return [b"".join((self.first, *map(get, c), self.last)) for c in cut]
 
-    def decode(self, ids: list[bytes]) -> list[str]:
-        return self.sp.decode([np.frombuffer(i, "<u4").tolist() for i in ids], num_threads=1)
+    def decode(self, ids: list[bytes]) -> Iterator[str]:
+        """The texts one by one, so that the ids of one text at a time are Python numbers."""
+        for i in ids:
+            yield self.sp.decode(np.frombuffer(i, "<u4").tolist())
 
 
-def sliced(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of about ``most`` characters."""
+def sliced(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about ``most`` characters, given their sizes."""
     start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
+    for k, n in enumerate(sizes):
+        total += n
         if total >= most:
             yield start, k + 1
             start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _over_texts(df: DataFrame, work, schema: str) -> DataFrame:
@@ -100,11 +110,11 @@ def _over_texts(df: DataFrame, work, schema: str) -> DataFrame:
     def run(batches):
         chunks = None
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text")).to_pylist()
-            for lo, hi in sliced(texts):
+            texts = b.column(b.schema.get_field_index("_text"))
+            for lo, hi in sliced(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 chunks = chunks or work[0]()
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(b.schema.get_field_index(c)) for c in others] + work[1](chunks, texts[lo:hi]), names=others + names)
+                yield pa.RecordBatch.from_arrays([part.column(b.schema.get_field_index(c)) for c in others] + work[1](chunks, texts.slice(lo, hi - lo).to_pylist()), names=others + names)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
     return df.mapInArrow(run, ", ".join(x for x in (kept, schema) if x))
@@ -117,7 +127,7 @@ def encode(df: DataFrame, model: str = MODEL, text: str = "text", ids: str = "id
         raw = chunks.encode(texts)
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
         flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(chunks.decode(raw))]
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(chunks.decode(raw), pa.string())]
 
     return _over_texts(df.withColumn("_text", text_or_empty(text)), (lambda: Chunks(model), columns), f"{ids} array<int>, {decoded} string")
 

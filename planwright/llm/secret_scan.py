@@ -52,6 +52,7 @@ MORE = (
 RULES = BASE + MORE
 #: Character classes of up to so many characters are spelt out in a query.
 SPELL = 6
+CHUNK = 128
 
 
 def trigram_query(regex: str) -> list[frozenset[str]] | None:
@@ -97,29 +98,40 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 
 
 def postings(df: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(doc_id, trigram): the rows of the index, for the trigrams asked for."""
+    """(trigram, doc_id): the rows of the index, for the trigrams asked for."""
     low = F.lower(text_or_empty())
-    return df.where("doc_id is not null").select(
-        "doc_id", F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))).alias("trigram")
-    )
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
+    return df.where("doc_id is not null").select(F.explode(held).alias("trigram"), "doc_id").distinct()
 
 
 def candidates(df: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, rules): the numbers of the rules whose trigram queries the document answers."""
-    queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex)) is not None}
-    trigrams = sorted(set().union(*(s for q in queries.values() for s in q)))
-    met = postings(df, trigrams).groupBy("doc_id").agg(F.collect_set("trigram").alias("has"))
-    every = lambda s: F.size(F.array_intersect("has", F.array(*[F.lit(t) for t in sorted(s)]))) == len(s)
-    hits = [F.when(_any(every(s) for s in q), F.lit(k)) for k, q in queries.items()]
-    return met.select("doc_id", F.array_compact(F.array(*hits)).alias("rules")).where(F.size("rules") > 0)
+    """(doc_id, rules): the numbers of the rules whose trigram queries the document answers.
+
+    Each set of a query is an intersection of postings: the documents that stand in the lists of all its trigrams."""
+    sets = [(k, n, t, len(s)) for k, r in enumerate(rules) for n, s in enumerate(trigram_query(r.regex) or ()) for t in s]
+    asked = df.sparkSession.createDataFrame(sets, "rule int, n int, t string, size int")
+    index = postings(df, sorted({t for _, _, t, _ in sets}))
+    met = index.join(F.broadcast(asked), F.col("trigram") == F.col("t"))  # a row for each trigram of the rules
+    met = met.groupBy("doc_id", "rule", "n").agg(F.count("*").alias("lists"), F.first("size").alias("size")).where("lists = size")
+    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, op, zero: Column) -> Column:
+    """``op`` of all values up to each one, in chunks, so that the work stays near linear in their number."""
 
+    def rows(v):
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / CHUNK).cast("int") - 1), lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK)))
+        return bound(chunks, lambda own: bound(F.transform(own, lambda c: F.reduce(c, zero, op)), lambda whole: F.flatten(F.transform(own, lambda c, k: upto(c, F.reduce(F.slice(whole, F.lit(1), k), zero, op))))))
 
-def _any(terms) -> Column:
-    terms = list(terms)
-    out = terms[0]
-    for t in terms[1:]:
-        out = out | t
-    return out
+    def upto(chunk, base):
+        return bound(base, lambda b: F.transform(chunk, lambda _, j: F.reduce(F.slice(chunk, F.lit(1), j + 1), b, op)))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, rows(v)).otherwise(F.array().cast("array<int>")))
 
 
 def rule_spans(text: Column, number: int, rule: Rule) -> Column:
@@ -127,25 +139,22 @@ def rule_spans(text: Column, number: int, rule: Rule) -> Column:
     regex = F.lit(rule.regex if rule.kind != "hex" else f"[0-9a-f]{{{rule.least},}}")  # the same runs, fewer matches to drop
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     value = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else whole
-    kind = "array<struct<start:int,kind:int,end:int,value:int>>"
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def step(acc, m):
-        start = acc["pos"] + m["gap"]
-        end = start + m["len"]
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), m["value"].alias("value")))).alias("out"))
+    def spans(m):
+        gaps = F.transform(F.split(text, regex, -1), lambda s: F.char_length(s))
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: g + F.char_length(x)), lambda a, b: a + b, F.lit(0))
+        rows = F.arrays_zip(ends.alias("end"), m.alias("m"), (value if rule.group else m).alias("v"))
+        long = F.filter(rows, lambda x: F.char_length(x["v"]) >= rule.least)
+        return F.transform(long, lambda x: F.struct((x["end"] - F.char_length(x["m"])).alias("start"), F.lit(number).alias("kind"), x["end"].alias("end")))
 
-    gaps = F.transform(F.split(text, regex, -1), lambda s: F.char_length(s))
-    parts = F.transform(
-        F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("m"), value.alias("v")),
-        lambda x: F.struct(x["gap"].alias("gap"), F.char_length(x["m"]).alias("len"), F.char_length(x["v"]).alias("value")),
-    )
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    kept = F.transform(F.filter(found, lambda x: x["value"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return F.when(F.size(whole) > 0, kept).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return bound(whole, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))
 
 
 def scan(df: DataFrame, rules=RULES, spans: str = "spans") -> DataFrame:
-    """``df`` with a column ``spans``: array of (start, kind number, end), by start, then kind."""
+    """``df`` with a column ``spans``: array of (start, kind number, end), by start, then kind; an error if there is one already."""
+    if spans in df.columns:
+        raise ValueError(f"column exists already: {spans}")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = candidates(df, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), text_or_empty().alias("_text"))
@@ -166,14 +175,17 @@ def shown(spans: Column, rules=RULES) -> Column:
 
 def redact(df: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
     """``df`` with every span's characters replaced: overlapping spans by one mask; n_chars follows."""
+    if clash := {"_spans", "_new"} & set(df.columns):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     scanned = scan(df.withColumn("text", text_or_empty()), rules, "_spans")
-
-    def step(acc, x):
-        new = x["start"] >= acc["end"]
-        gap = F.when(new, F.concat(acc["text"], F.substring(F.col("text"), acc["end"] + 1, x["start"] - acc["end"]), F.lit(mask))).otherwise(acc["text"])
-        return F.struct(F.greatest(acc["end"], x["end"]).alias("end"), gap.alias("text"))
-
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("end"), F.lit("").alias("text")), step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["end"] + 1, F.length("text"))))
+    def masked(reach):
+        # A span that starts behind all before it closes a piece of kept text.
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        first = F.filter(F.zip_with("_spans", before, lambda x, b: F.struct(x["start"].alias("start"), b.alias("b"))), lambda x: x["start"] >= x["b"])
+        kept = F.transform(first, lambda x: F.concat(F.substring(F.col("text"), x["b"] + 1, x["start"] - x["b"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), F.substring(F.col("text"), F.array_max(reach) + 1, F.length("text")))
+
+    done = bound(running(F.transform("_spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), masked)
     out = scanned.withColumn("_new", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
     again = {"text": F.col("_new")} | ({"n_chars": F.when(F.size("_spans") > 0, F.char_length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in df.columns else {})
     return out.withColumns(again).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -44,7 +44,9 @@ def normal(text: Column) -> Column:
 
 
 def with_signatures(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """``df`` with the sorted array of the signatures of column ``text``."""
+    """``df`` with the sorted array of the signatures of column ``text``; an error if a column to be made exists."""
+    if clash := {out, "_words", "_parts", "_spots"} & set(df.columns):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     glue = f"(?<= )({'|'.join(anchors)}) "
     df = df.withColumn("_words", normal(F.col(text)))
     df = df.withColumn("_parts", F.split(F.trim(F.regexp_replace(F.concat(F.lit(" "), F.col("_words"), F.lit(" ")), glue, f"$1{MARK}")), " "))

@@ -1,25 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: one of ordinary words, and one of toxic text,
-which adds the words that hold five-byte runs several times as frequent in toxic documents.  A text is
-cut into windows, a word each with the blanks around it, behind a header that both dictionaries hold
-(the format leaves shorter input uncompressed).  A window's distance is its compressed length under
-the ordinary dictionary less that under the toxic one.  Thresholds on the largest distance and on the
-numbers and shares of windows beyond given distances are calibrated by logistic regression on labelled
-documents that gave no words to the dictionaries.
-
-The sample is bounded by ``TOXIC`` and ``ORDINARY`` labelled documents, the dictionaries by ``WORDS``.
+Two zstandard dictionaries are trained with the library's trainer, one on words of ordinary labelled text and
+one on the toxic words of toxic text: those with a five-byte run that is ``LIFT`` times as frequent in toxic
+documents.  A text is cut into overlapping windows of ``WINDOW`` words.  A window's distance is its compressed
+length under the ordinary dictionary less that under the toxic one; both see it behind a short header that both
+dictionaries end in, since the format leaves shorter input uncompressed.  Thresholds on the largest distances and
+on the numbers and shares of windows beyond given distances are calibrated by logistic regression on labelled
+documents that gave no words to the dictionaries; of several segment lengths of the trainer (``SEGMENTS``) the one
+with the least loss there is kept.
+
+The sample is bounded by ``TOXIC`` and ``ORDINARY`` labelled documents, the dictionaries by ``SIZES`` bytes.
 Scoring is a map over all texts, whole; a task keeps a table from window to distance and empties it at
 ``TABLE`` entries.
 
 Edge cases: null text is empty, has no window and gets the score of such; without labelled rows of both
-kinds every score is 0.0; repeated rows have equal scores; an empty table gives an empty result.
+kinds, or with too few words to train on, every score is 0.0; repeated rows have equal scores; an empty table
+gives an empty result; a null doc_id belongs to no fold and is not held out; a column named as the output is
+an error, other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import pickle
+import random
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -30,90 +35,128 @@ from .common import documents, table, text_or_empty
 from .labelled import fitted, fold, sample, series_udf
 
 TOXIC, ORDINARY = 1500, 3000
-WORDS = {"ordinary": 1500, "toxic": 600}
-GRAM, LIFT, LEAST = 5, 8.0, 3
+SIZES = {"ordinary": 8192, "toxic": 3072}
+SAMPLES = {"ordinary": 60_000, "toxic": 20_000}
+SEGMENTS = (24, 32, 48)
+GRAM, LIFT, LEAST = 5, 8.0, (3, 0.02)  # bytes, times, toxic documents: so many and such a share
+WINDOW = 2
 HEADER = bytes(range(1, 33))
-TABLE = 600_000
-AT = (3, 4, 5, 6, 7)
+TABLE = 50_000
+FAR = (3, 4, 5)
 
 
-def windows(text: str) -> list[str]:
-    return text.lower().split()
+def framed(words: list[str]) -> bytes:
+    return f" {' '.join(words)} ".encode()
 
 
-def framed(word: str) -> bytes:
-    return f" {word} ".encode()
+def windows(text: str) -> list[bytes]:
+    w = text.lower().split()
+    return [framed(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))] if w else []
 
 
 class Distance:
-    """Distances of windows under a pair of dictionaries."""
+    """Distances of windows under a pair of trained dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
 
         # Lazy search with matches from three bytes, small tables: windows and dictionaries are short.
         p = z.ZstdCompressionParameters(
-            window_log=15, hash_log=12, chain_log=13, search_log=5, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2,
+            window_log=15, hash_log=13, chain_log=13, search_log=5, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2,
             write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS,
         )
         self.compress = []
-        for d in (ordinary, ordinary + toxic):
-            made = z.ZstdCompressionDict(d + HEADER, dict_type=z.DICT_TYPE_RAWCONTENT)
+        for d in (ordinary, toxic):
+            made = z.ZstdCompressionDict(d + HEADER, dict_type=z.DICT_TYPE_FULLDICT)
             made.precompute_compress(compression_params=p)
             self.compress.append(z.ZstdCompressor(dict_data=made, compression_params=p).compress)
-        self.table: dict[str, int] = {}
+        self.table: dict[bytes, int] = {}
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.table) > TABLE:
-            self.table.clear()
+    def of(self, cut: list[bytes]) -> np.ndarray:
         plain, toxic = self.compress
-        for w in set(words).difference(self.table):
-            e = HEADER + framed(w)
-            self.table[w] = len(plain(e)) - len(toxic(e))
-        return np.fromiter(map(self.table.__getitem__, words), np.int16, len(words))
+        out = np.empty(len(cut), np.int32)
+        known = self.table
+        for k, w in enumerate(cut):
+            d = known.get(w)
+            if d is None:
+                e = HEADER + w
+                d = len(plain(e)) - len(toxic(e))
+                if len(w) < 64:
+                    if len(known) >= TABLE:
+                        known.clear()
+                    known[w] = d
+            out[k] = d
+        return out
 
     def features(self, text: str) -> np.ndarray:
-        d = self.of(windows(text))
+        d = np.sort(self.of(windows(text)))[::-1]
         if not len(d):
-            return np.zeros(len(AT) + 6)
-        top = int(d.max())
-        far, further = int((d >= 4).sum()), int((d >= 5).sum())
-        return np.array([*(top >= k for k in AT), np.log1p(max(top, 0)), min(far, 20), min(further, 20), 50 * far / len(d), 50 * further / len(d), 1.0])
+            return np.zeros(len(FAR) + 16)
+        at = lambda k: d[min(k, len(d) - 1)]
+        many = [min(int((d >= k).sum()), 20) for k in FAR]
+        return np.array([at(0), at(WINDOW), at(2 * WINDOW), np.log1p(len(d)), *many, 50 * (d >= 4).mean(), 50 * (d >= 2).mean(), *(d[0] >= k for k in range(9)), 1.0])
 
 
-def fit(pdf: pd.DataFrame) -> bytes:
-    """The pickled (ordinary dictionary, toxic dictionary, weights); weights None without both labels."""
-    from zlib import crc32
+def calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """Loss and weights of a logistic regression, by Newton's steps with a ridge; toxic rows count as ``share`` of all."""
+    n, own = len(y), y.mean()
+    by = np.where(y > 0, share / own, (1 - share) / (1 - own)) if 0 < own < 1 and 0 < share < 1 else np.ones(n)
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve(x.T @ (x * (by * p * (1 - p))[:, None]) + 0.3 * np.eye(len(w)), x.T @ (by * (p - y)) + 0.3 * w)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return float(-np.mean(by * np.log(np.where(y > 0, p, 1 - p)))), w
 
-    if pdf["label"].nunique() < 2:
-        return pickle.dumps((b"", b"", None))
-    calibrate = pdf["text"].map(lambda t: crc32(t.encode()) % 3 == 0).to_numpy()  # by text, so that copies fall together
-    own = pdf[~calibrate]
-    grams, words, docs = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
-    for text, label in zip(own["text"], own["label"], strict=True):
-        w = [framed(x) for x in windows(text)]
-        words[label].update(w)
+
+def toxic_words(texts: list[str], labels: list[int]) -> list[bytes]:
+    """Every occurrence in toxic texts of a word with a run of bytes that is far more frequent there."""
+    grams, docs = [Counter(), Counter()], [0, 0]
+    for text, label in zip(texts, labels, strict=True):
         docs[label] += 1
-        grams[label].update({x[i : i + GRAM] for x in set(w) for i in range(len(x) - GRAM + 1)})
+        grams[label].update({x[i : i + GRAM] for x in {framed([w]) for w in text.lower().split()} for i in range(len(x) - GRAM + 1)})
     share = lambda g, k: (grams[k][g] + 0.5) / (docs[k] + 1)
-    marks = {g for g, n in grams[1].items() if n >= LEAST and share(g, 1) >= LIFT * share(g, 0)}
-    toxic = Counter({w: n for w, n in words[1].items() if n >= LEAST and any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))})
-    first = lambda c, n: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
-    # The most frequent words stand last, where references to them are shortest.
-    plain = b"".join(w[:-1] for w in reversed(first(words[0], WORDS["ordinary"])))
-    dictionary = b"".join(reversed(first(toxic, WORDS["toxic"])))
-    distance = Distance(plain, dictionary)
-    kept = pdf[calibrate] if pdf[calibrate]["label"].nunique() == 2 else pdf
-    x, y = np.array([distance.features(t) for t in kept["text"]]), kept["label"].to_numpy(float)
-    w = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton's steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(w)), x.T @ (p - y) + 0.1 * w)
-    return pickle.dumps((plain, dictionary, w))
+    marks = {g for g, n in grams[1].items() if n >= max(LEAST[0], LEAST[1] * docs[1]) and share(g, 1) >= LIFT * share(g, 0)}
+    words = (framed([w]) for t, label in zip(texts, labels, strict=True) if label for w in t.lower().split())
+    return [w for w in words if any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))]
+
+
+def fit(pdf: pd.DataFrame, share: float) -> bytes:
+    """The pickled (ordinary dictionary, toxic dictionary, weights); weights None where there is too little to train on.
+
+    ``share`` is that of toxic documents among all labelled ones, of which the sample holds another."""
+    from zlib import crc32
+
+    import zstandard as z
+
+    nothing = pickle.dumps((b"", b"", None))
+    if pdf["label"].nunique() < 2:
+        return nothing
+    apart = pdf["text"].map(lambda t: crc32(t.encode()) % 4 == 0).to_numpy()  # by text, so that copies fall together
+    own = pdf[~apart]
+    texts, labels = own["text"].tolist(), own["label"].astype(int).tolist()
+    toxic = toxic_words(texts, labels)
+    plain = [framed([w]) for t, label in zip(texts, labels, strict=True) if not label for w in t.lower().split()]
+    random.Random(0).shuffle(plain)
+    if not toxic or len(plain) < 100:
+        return nothing
+    try:
+        ordinary = z.train_dictionary(SIZES["ordinary"], plain[: SAMPLES["ordinary"]], k=20, d=6, level=6).as_bytes()
+        made = [z.train_dictionary(SIZES["toxic"], toxic * max(1, SAMPLES["toxic"] // len(toxic)), k=k, d=6, level=6).as_bytes() for k in SEGMENTS]
+    except z.ZstdError:  # the trainer found too little that repeats
+        return nothing
+    kept = pdf[apart] if pdf[apart]["label"].nunique() == 2 else pdf
+    y, found = kept["label"].to_numpy(float), []
+    for d in made:
+        distance = Distance(ordinary, d)
+        found.append((*calibrated(np.array([distance.features(t) for t in kept["text"]]), y, share), d))
+    _, w, d = min(found, key=lambda x: x[0])
+    return pickle.dumps((ordinary, d, w))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> bytes | None:
-    return fitted(sample(docs, labels, "toxic", 5, 0, {1: TOXIC, 0: ORDINARY}), fit)
+    free = labels.where(fold(5) != 0).agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
+    return fitted(sample(docs, labels, "toxic", 5, 0, {1: TOXIC, 0: ORDINARY}), partial(fit, share=float(free)))
 
 
 def score(df: DataFrame, model: bytes | None, text: str = "text", out: str = "score") -> DataFrame:

@@ -293,3 +293,40 @@ def test_pipeline_stages(spark, folder):
         x = spark.createDataFrame(x.collect(), x.schema)
     assert x.where("not exact").count() == 0
 
+
+
+def test_secret_positions_stay_right_over_many_matches(spark):
+    t = " é😀 ".join(f"AKIA{'A' * 12}{k} token={'b' * 9}" for k in range(700))
+    r = secret_scan.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    want = sorted((m.start(), k, m.end()) for k, (_, rx, g, n) in enumerate(RULES) for m in re.finditer(rx, t) if len(m[g]) >= n)
+    assert [tuple(s) for s in r.spans] == want
+    masked = secret_scan.redact(spark.createDataFrame([(1, t)], "doc_id long, text string"), "#").first().text
+    assert masked == re.sub("|".join(rx for _, rx, *_ in RULES[:2]).replace("(?ai)", "", 1), "#", t)
+
+
+@pytest.mark.parametrize("name", ["spans", "_spans"])
+def test_clashing_columns_are_an_error(spark, docs, name):
+    rows = docs.withColumn(name, F.lit(1))
+    with pytest.raises(ValueError, match="exist"):
+        secret_scan.scan(rows) if name == "spans" else secret_scan.redact(rows)
+    with pytest.raises(ValueError, match="exist"):
+        spot_signatures.with_signatures(docs.withColumn("_parts", F.lit(1)), "text", "out")
+
+
+def test_distance_is_that_of_plain_compression():
+    import zstandard as z
+
+    words = [f" {a}{b} ".encode() for a in WORDS for b in WORDS[:40]]
+    plain, toxic = (z.train_dictionary(2048, words[k::2], k=20, d=6, level=6).as_bytes() for k in (0, 1))
+    d = toxicity.Distance(plain, toxic)
+    text = BASE + " w1w2 w3"
+    sizes = [[len(c(toxicity.HEADER + w)) for w in toxicity.windows(text)] for c in d.compress]
+    assert d.of(toxicity.windows(text)).tolist() == [a - b for a, b in zip(*sizes, strict=True)] and d.of([]).tolist() == []
+    assert toxicity.windows("A b  C") == [b" a b ", b" b c "] and toxicity.windows("a") == [b" a "] and toxicity.windows(" ") == []
+
+
+def test_toxic_documents_are_found_and_others_left(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op10(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.5 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.02 * (n[0, 1] + n[0, 0])
