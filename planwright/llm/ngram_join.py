@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, small, text_or_empty
+from .common import cut, documents, small, text_batches, text_or_empty
 from .graph import components, forest, stars
 
 WORDS = 5
@@ -142,6 +142,7 @@ def sets(df: DataFrame) -> DataFrame:
     """(doc_id, mark, n, node, prefix, bits): mark is a hash of the text; node names the class of equal sets, null for the empty set.
 
     Of a class that a task meets again it leaves out the prefix and the bitmap."""
+    text_batches(df.sparkSession)
     hot = df.sparkSession.sparkContext.broadcast(frequent(df))
 
     def order(s):

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, text_batches, text_or_empty
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -107,6 +107,8 @@ def _over_texts(df: DataFrame, work, schema: str) -> DataFrame:
     if clash := set(names) & set(others):
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
+    text_batches(df.sparkSession)
+
     def run(batches):
         chunks = None
         for b in batches:

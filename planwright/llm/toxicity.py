@@ -2,16 +2,17 @@
 
 Two zstandard dictionaries are trained with the library's trainer, one on words of ordinary labelled text and
 one on the toxic words of toxic text: those with a five-byte run that is ``LIFT`` times as frequent in toxic
-documents.  A text is cut into overlapping windows of ``WINDOW`` words.  A window's distance is its compressed
+documents.  A text is cut into overlapping windows of one and of ``WINDOW`` words.  A window's distance is its compressed
 length under the ordinary dictionary less that under the toxic one; both see it behind a short header that both
-dictionaries end in, since the format leaves shorter input uncompressed.  Thresholds on the largest distances and
+dictionaries end in, since the format leaves shorter input uncompressed.  Words recur more often than windows, so
+each word is a window of its own, compressed once a task, and a wider window is compressed only if one of its words
+is shorter under the toxic dictionary; all others have distance 0.  Thresholds on the largest distances and
 on the numbers and shares of windows beyond given distances are calibrated by logistic regression on labelled
 documents that gave no words to the dictionaries; of several segment lengths of the trainer (``SEGMENTS``) the one
 with the least loss there is kept.
 
 The sample is bounded by ``TOXIC`` and ``ORDINARY`` labelled documents, the dictionaries by ``SIZES`` bytes.
-Scoring is a map over all texts, whole; a task keeps a table from window to distance and empties it at
-``TABLE`` entries.
+Scoring is a map over all texts, whole; a task's table of words is emptied at ``TABLE`` entries.
 
 Edge cases: null text is empty, has no window and gets the score of such; without labelled rows of both
 kinds, or with too few words to train on, every score is 0.0; repeated rows have equal scores; an empty table
@@ -31,17 +32,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table, text_or_empty
+from .common import documents, table, text_batches, text_or_empty
 from .labelled import fitted, fold, sample, series_udf
 
 TOXIC, ORDINARY = 1500, 3000
-SIZES = {"ordinary": 8192, "toxic": 3072}
+SIZES = {"ordinary": 4096, "toxic": 2048}
+COST = 2.5  # a toxic document that is missed counts as so many ordinary ones rejected
 SAMPLES = {"ordinary": 60_000, "toxic": 20_000}
 SEGMENTS = (24, 32, 48)
 GRAM, LIFT, LEAST = 5, 8.0, (3, 0.02)  # bytes, times, toxic documents: so many and such a share
 WINDOW = 2
+TABLE = 100_000  # words that a task keeps, some 15 MB
 HEADER = bytes(range(1, 33))
-TABLE = 50_000
 FAR = (3, 4, 5)
 
 
@@ -50,8 +52,8 @@ def framed(words: list[str]) -> bytes:
 
 
 def windows(text: str) -> list[bytes]:
-    w = text.lower().split()
-    return [framed(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))] if w else []
+    w = text.lower().encode().split()
+    return [b" %b " % b" ".join(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))] if w else []
 
 
 class Distance:
@@ -73,34 +75,36 @@ class Distance:
         self.table: dict[bytes, int] = {}
 
     def of(self, cut: list[bytes]) -> np.ndarray:
-        plain, toxic = self.compress
-        out = np.empty(len(cut), np.int32)
-        known = self.table
-        for k, w in enumerate(cut):
-            d = known.get(w)
-            if d is None:
-                e = HEADER + w
-                d = len(plain(e)) - len(toxic(e))
-                if len(w) < 64:
-                    if len(known) >= TABLE:
-                        known.clear()
-                    known[w] = d
-            out[k] = d
-        return out
+        each = [HEADER + w for w in cut]
+        plain, toxic = (np.fromiter(map(len, map(c, each)), np.int32, len(each)) for c in self.compress)
+        return plain - toxic
+
+    def along(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of each word of ``text``, and of each window; 0 for windows without a word of positive distance."""
+        words = text.lower().encode().split()
+        if len(self.table) > TABLE:
+            self.table.clear()
+        new = list(set(words).difference(self.table))
+        self.table.update(zip(new, self.of([b" %b " % w for w in new]).tolist(), strict=True))
+        one = np.fromiter(map(self.table.__getitem__, words), np.int32, len(words))
+        out = np.zeros(max(1, len(words) - WINDOW + 1) if words else 0, np.int32)
+        at = np.flatnonzero(np.convolve(one > 0, np.ones(min(WINDOW, len(words)), int), "valid")) if words else []
+        out[at] = self.of([b" %b " % b" ".join(words[i : i + WINDOW]) for i in at])
+        return one, out
 
     def features(self, text: str) -> np.ndarray:
-        d = np.sort(self.of(windows(text)))[::-1]
-        if not len(d):
-            return np.zeros(len(FAR) + 16)
-        at = lambda k: d[min(k, len(d) - 1)]
-        many = [min(int((d >= k).sum()), 20) for k in FAR]
-        return np.array([at(0), at(WINDOW), at(2 * WINDOW), np.log1p(len(d)), *many, 50 * (d >= 4).mean(), 50 * (d >= 2).mean(), *(d[0] >= k for k in range(9)), 1.0])
+        parts = [np.log1p(len(text)), 1.0]
+        for d in self.along(text):
+            d = np.sort(d)[::-1] if len(d) else np.full(1, -9)
+            many = [min(int((d >= k).sum()), 20) for k in FAR]
+            parts += [d[0], d[min(WINDOW, len(d) - 1)], d[min(2 * WINDOW, len(d) - 1)], *many, 50 * (d >= 4).mean(), 50 * (d >= 2).mean(), *(d[0] >= k for k in range(9))]
+        return np.array(parts, float)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, np.ndarray]:
     """Loss and weights of a logistic regression, by Newton's steps with a ridge; toxic rows count as ``share`` of all."""
     n, own = len(y), y.mean()
-    by = np.where(y > 0, share / own, (1 - share) / (1 - own)) if 0 < own < 1 and 0 < share < 1 else np.ones(n)
+    by = np.where(y > 0, COST * share / own, (1 - share) / (1 - own)) if 0 < own < 1 and 0 < share < 1 else np.ones(n)
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -164,6 +168,8 @@ def score(df: DataFrame, model: bytes | None, text: str = "text", out: str = "sc
     if out in df.columns:
         raise ValueError(f"column exists already: {out}")
 
+    text_batches(df.sparkSession)
+
     # A model of a few kilobytes goes to the tasks with the function.
     def run(frames):
         plain, toxic, w = pickle.loads(model) if model else (b"", b"", None)

@@ -322,6 +322,7 @@ def test_distance_is_that_of_plain_compression():
     text = BASE + " w1w2 w3"
     sizes = [[len(c(toxicity.HEADER + w)) for w in toxicity.windows(text)] for c in d.compress]
     assert d.of(toxicity.windows(text)).tolist() == [a - b for a, b in zip(*sizes, strict=True)] and d.of([]).tolist() == []
+    assert [x.tolist() for x in d.along("")] == [[], []] and d.along("w1w2")[0].tolist() == d.along("w1w2")[1].tolist() == d.of([b" w1w2 "]).tolist()
     assert toxicity.windows("A b  C") == [b" a b ", b" b c "] and toxicity.windows("a") == [b" a "] and toxicity.windows(" ") == []
 
 
