@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .documents import as_json
+from .validation import validate
+
 
 def page(projects: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest first, ties by id; limit 1 to 500, offset from 0."""
@@ -40,3 +43,42 @@ def save_documents(projects: DataFrame, documents: DataFrame) -> DataFrame:
         "detection_status": F.when(ran, F.when(F.col("_e").isNull(), "complete").otherwise("failed")).otherwise(F.col("detection_status")),
         "detection_error": F.when(ran, F.col("_e")).otherwise(F.col("detection_error")),
     }).select(*projects.columns)
+
+
+def name_errors(name: Column, description: Column) -> Column:
+    """What is wrong with a new project: names have 1 to 200 characters, descriptions at most 2000."""
+    long = F.coalesce(F.length(description) > 2000, F.lit(False))
+    return F.array_compact(F.array(F.when(~F.coalesce(F.length(name).between(1, 200), F.lit(False)), "name"), F.when(long, "description")))
+
+
+def insert(projects: DataFrame, new: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
+    """The table with the rows of ``new`` (id, name, description) that may be added, and the others with their errors."""
+    rows = new.withColumn("errors", name_errors(F.col("name"), F.col("description")))
+    at = F.current_timestamp() if now is None else F.lit(now)
+    made = {"status": F.lit("created"), "detection_status": F.lit("not_started"), "created_at": at, "updated_at": at, "id": F.col("id"), "name": F.col("name"), "description": F.col("description")}
+    good = rows.where(F.size("errors") == 0)
+    own = [made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in projects.schema.fields]
+    return projects.unionByName(good.select(*own)), rows.where(F.size("errors") > 0)
+
+
+def get(projects: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each asked id with its project; error_code 404 where there is none, 409 where it has no document."""
+    asked = ids.select(F.col("id").alias("_id"))
+    out = asked.join(projects, F.col("id") == F.col("_id"), "left")
+    code = F.when(F.col("id").isNull(), 404).when(F.col("floorplan_data").isNull(), 409)
+    return out.withColumn("error_code", code).withColumn("id", F.col("_id")).drop("_id")
+
+
+def start(projects: DataFrame, ids: DataFrame) -> DataFrame:
+    """Projects whose detection begins: status processing, no error."""
+    asked = ids.select(F.col("id").alias("_id")).distinct()
+    runs = F.col("_id").isNotNull()
+    out = projects.join(asked, F.col("id") == F.col("_id"), "left")
+    return out.withColumns({"detection_status": F.when(runs, "processing").otherwise(F.col("detection_status")), "detection_error": F.when(~runs, F.col("detection_error"))}).select(*projects.columns)
+
+
+def save_valid(projects: DataFrame, documents: DataFrame) -> DataFrame:
+    """``save_documents`` of plan documents by their project_id: those that break a rule are never written and fail with their errors."""
+    told = validate(documents).select(F.col("project_id").alias("_p"), "is_valid", F.array_join("errors", "; ").alias("e"))
+    rows = as_json(documents).join(told, F.col("project_id") == F.col("_p"))
+    return save_documents(projects, rows.select(F.col("project_id").alias("id"), F.when(F.col("is_valid"), F.col("floorplan_data")).alias("floorplan_data"), F.when(~F.col("is_valid"), F.col("e")).alias("error")))

@@ -40,18 +40,18 @@ def walls_of(segments: DataFrame) -> DataFrame:
 
 
 def wall_runs(segments: DataFrame) -> DataFrame:
+    """Walls with their votes and openings, the fixed coordinate of their whole cluster and, where segments have one, the mean thickness."""
     opening = (F.col("gap") > MERGE_GAP) & (F.col("gap") <= OPENING_GAP)
-    return walls_of(segments).groupBy("plan_id", "orient", "grp", "run").agg(
-        F.min("a0").alias("s"), F.max("a1").alias("e"), F.sum(F.col("a1") - F.col("a0")).alias("votes"), F.count("*").alias("n"), F.count_if(opening).alias("openings")
+    fixed = F.avg("perp").over(Window.partitionBy("plan_id", "orient", "grp"))
+    thickness = [F.avg("thickness").alias("thickness")] if "thickness" in segments.columns else []
+    return walls_of(segments).withColumn("fixed", fixed).groupBy("plan_id", "orient", "grp", "run").agg(
+        F.min("a0").alias("s"), F.max("a1").alias("e"), F.sum(F.col("a1") - F.col("a0")).alias("votes"), F.count("*").alias("n"), F.count_if(opening).alias("openings"), F.max("fixed").alias("fixed"), *thickness
     )
 
 
 def walls(segments: DataFrame) -> DataFrame:
-    """Walls with the fixed coordinate of their whole cluster, their confidence and whether they are exterior."""
-    runs = wall_runs(segments)
-    fixed = cluster_1d(segments, ["plan_id", "orient"], "perp", WALL_TOLERANCE, ["a0", "a1"]).groupBy("plan_id", "orient", "grp").agg(F.avg("perp").alias("fixed"))
-    out = runs.join(fixed, ["plan_id", "orient", "grp"]).withColumn("confidence", wall_confidence(F.col("votes"), F.col("e") - F.col("s")))
-    return exterior(out)
+    """Walls with their confidence and whether they are exterior."""
+    return exterior(wall_runs(segments).withColumn("confidence", wall_confidence(F.col("votes"), F.col("e") - F.col("s"))))
 
 
 def wall_confidence(votes: Column, length: Column) -> Column:

@@ -84,7 +84,8 @@ def validate(documents: DataFrame) -> DataFrame:
 def duplicate_ids(*collections: DataFrame) -> DataFrame:
     """(plan_id, id, collection, ord) of every occurrence of an id after its first; collections have plan_id, id, collection, ord."""
     rows = reduce(DataFrame.unionByName, collections)
-    w = Window.partitionBy("plan_id", "id").orderBy("collection", "ord")
+    place = F.array_position(F.array(*[F.lit(c) for c in COLLECTIONS]), F.col("collection").cast("string"))  # 0 where unknown
+    w = Window.partitionBy("plan_id", "id").orderBy(place, "collection", "ord")
     return rows.withColumn("nth", F.row_number().over(w)).where("nth > 1")
 
 

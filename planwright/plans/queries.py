@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.geometry import rectangle
-from ..operators import documents, openings, projects, rooms, segments, validation
+from ..operators import detection, documents, openings, projects, rooms, segments, validation
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents", "labels")
 
@@ -29,10 +29,11 @@ def duck(sql: str) -> str:
 SEGMENTS = """SELECT l_partkey AS plan_id, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orient,
   CAST(50 * (l_orderkey % 6) + l_suppkey % 13 AS DOUBLE) AS perp, CAST((l_orderkey * 7 + l_linenumber * 113) % 900 AS DOUBLE) AS a0,
   CAST((l_orderkey * 7 + l_linenumber * 113) % 900 AS DOUBLE) + l_quantity * 4 AS a1 FROM {lineitem}"""
+THICK = SEGMENTS.replace(" FROM", ", CAST(l_linenumber AS DOUBLE) AS thickness FROM")
 RAW = """SELECT l_orderkey AS plan_id, l_linenumber AS seg_id, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_linenumber AS DOUBLE) AS y1,
   CAST(l_suppkey % 50 AS DOUBLE) AS x2, CAST(l_partkey % 40 AS DOUBLE) AS y2 FROM {lineitem}"""
 LEAVES = """SELECT l_partkey AS plan_id, CAST((l_orderkey * 3) % 900 AS DOUBLE) AS mx, CAST(50 * (l_suppkey % 6) + l_orderkey % 13 AS DOUBLE) AS my
-  FROM {lineitem} WHERE l_linenumber <= 3"""
+  FROM {lineitem}"""
 LABELS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS STRING) || ' ft' WHEN 1 THEN CAST(p_size AS STRING) || '''-6"'
   WHEN 2 THEN CAST(p_size AS STRING) || '.5m' WHEN 3 THEN 'Master Bedroom ' || CAST(p_size AS STRING) WHEN 4 THEN 'Hallway' WHEN 5 THEN CAST(p_size AS STRING)
   WHEN 6 THEN 'BATH ' || p_brand ELSE p_name END AS label FROM {part}"""
@@ -178,21 +179,49 @@ def doc_summary(spark, sf_dir):
     return documents.summary(_documents(spark, sf_dir))
 
 
+def segments_oriented(spark, sf_dir):
+    return detection.oriented(read(spark, sf_dir, RAW)).select("plan_id", "seg_id", "orient", "perp", "a0", "a1")
+
+
+def leaf_middles(spark, sf_dir):
+    return detection.leaves(read(spark, sf_dir, RAW))
+
+
+def px_to_units(spark, sf_dir):
+    rows = read(spark, sf_dir, "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS px, CAST(p_partkey % 5 - 1 AS DOUBLE) AS per_unit FROM {part}")
+    return rows.select("id", F.round(detection.to_units(F.col("px"), F.col("per_unit")), 3).alias("units"))
+
+
+def thin_walls(spark, sf_dir):
+    return detection.split_walls(read(spark, sf_dir, THICK))[1].select("plan_id", "orient", "grp", "run", "s", "e", "thickness")
+
+
+def thick_walls(spark, sf_dir):
+    return detection.split_walls(read(spark, sf_dir, THICK))[0].select("plan_id", "orient", "grp", "run", "fixed", "exterior")
+
+
+def project_names(spark, sf_dir):
+    rows = read(spark, sf_dir, "SELECT o_orderkey AS id, repeat('n', CAST(o_orderkey % 250 AS INT)) AS name, repeat('d', CAST(o_custkey * 7 % 2500 AS INT)) AS description FROM {orders}")
+    return rows.select("id", F.array_join(projects.name_errors(F.col("name"), F.col("description")), ",").alias("errors"))
+
+
 def range_rules(spark, sf_dir):
     return validation.validate(_documents(spark, sf_dir)).select("project_id", "is_valid", F.size("errors").cast("long").alias("n_errors"))
 
 
 QUERIES = {
-    "wall_runs": lambda spark, sf_dir: segments.wall_runs(_segments(spark, sf_dir)),
+    "wall_runs": lambda spark, sf_dir: segments.wall_runs(_segments(spark, sf_dir)).drop("fixed"),
     "opening_candidates": lambda spark, sf_dir: openings.opening_candidates(_segments(spark, sf_dir)),
     "suppress_openings": lambda spark, sf_dir: openings.suppress(read(spark, sf_dir, OPENINGS), ["wall_id"]),
     "stair_clusters": lambda spark, sf_dir: segments.stair_clusters(_segments(spark, sf_dir)),
 } | {
     f.__name__: f
     for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
-              nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules)
+              nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules,
+              segments_oriented, leaf_middles, px_to_units, thin_walls, thick_walls, project_names)
 }
 
+_A = f"""a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a)"""
 _G = f"""seg AS ({SEGMENTS}),
 g0 AS (SELECT *, lag(perp) OVER (PARTITION BY plan_id, orient ORDER BY perp, a0, a1) AS pp FROM seg),
 g AS (SELECT *, CAST(sum(CASE WHEN perp - pp > 8.0 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, orient ORDER BY perp, a0, a1 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM g0)"""
@@ -230,6 +259,13 @@ ORACLES = {k: duck(v) for k, v in {
     "opening_kinds": f"WITH {_O} SELECT kind, swing, count(*) AS n, sum(width) AS width FROM opening GROUP BY ALL",
     "segment_geometry": f"WITH a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a) "
     "SELECT plan_id, seg_id, round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 6) AS length, round(d, 6) AS angle, CASE WHEN m <= 10 OR m >= 170 THEN 'horizontal' WHEN m BETWEEN 80 AND 100 THEN 'vertical' END AS orientation FROM b",
+    "segments_oriented": f"""WITH {_A} SELECT plan_id, seg_id, CASE WHEN m <= 10 OR m >= 170 THEN 'h' ELSE 'v' END AS orient, CASE WHEN m <= 10 OR m >= 170 THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS perp,
+CASE WHEN m <= 10 OR m >= 170 THEN least(x1, x2) ELSE least(y1, y2) END AS a0, CASE WHEN m <= 10 OR m >= 170 THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS a1 FROM b WHERE m <= 10 OR m >= 170 OR m BETWEEN 80 AND 100""",
+    "leaf_middles": f"WITH {_A} SELECT plan_id, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM b WHERE NOT (m <= 10 OR m >= 170 OR m BETWEEN 80 AND 100)",
+    "px_to_units": "SELECT p_partkey AS id, round(CASE WHEN p_partkey % 5 - 1 <= 0 THEN p_size::DOUBLE ELSE p_size / (p_partkey % 5 - 1)::DOUBLE END, 3) AS units FROM part",
+    "thin_walls": f"WITH {_R.replace(SEGMENTS, THICK)} SELECT plan_id, orient, grp, run, min(a0) AS s, max(a1) AS e, avg(thickness) AS thickness FROM r GROUP BY plan_id, orient, grp, run HAVING avg(thickness) < 2.5",
+    "thick_walls": f"WITH {_W.replace(SEGMENTS, THICK).replace('FROM r GROUP BY ALL', 'FROM r GROUP BY ALL HAVING avg(thickness) >= 2.5')} SELECT plan_id, orient, grp, run, fixed, exterior FROM walls",
+    "project_names": "SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderkey % 250 NOT BETWEEN 1 AND 200 THEN 'name' END, CASE WHEN o_custkey * 7 % 2500 > 2000 THEN 'description' END) AS errors FROM orders",
     "event_sessions": "WITH e AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS t FROM events), l AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS step FROM e), g AS (SELECT *, CAST(sum(CASE WHEN step > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM l) "
     "SELECT user_id, grp, count(*) AS n, min(event_id) AS first_event FROM g GROUP BY ALL",
     "suppress_openings": f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY wall_id ORDER BY position, swing) AS i FROM ({OPENINGS})),
