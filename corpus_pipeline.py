@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  Empty tables pass through; rows with null text are empty documents and stay until the mix,
-which takes no copies of documents without words beyond the certain ones.
+which takes no copies of documents without words beyond the certain ones.  Columns beyond those of ``documents``
+go in the first stage, so none can clash.  Repeated rows are near duplicates of each other: one stays.  Of rows
+with one id and different texts each goes its own way; ties go to the least id, then the least text.  Texts of
+any length are read whole; null text is the empty string from the third stage on.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic_out), ("ngram_join", one_of_each), ("secret_scan", secrets_masked), ("source_mix", mixed), ("sentencepiece", tokens)]
 
-#: Compression lengths, exact components and piece merges are beyond SQL; tests hold the stages against brute force.
+#: Compression lengths and piece merges are beyond SQL; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
