@@ -30,6 +30,7 @@ WIDTH, ROWS, DELAY = 576, 100, 10  # DELAY in hundredths of a second
 PAD = 255
 GREY = bytes(v for v in range(256) for _ in range(3))
 TOP = 4096
+PIXELS = 1 << 26  # of a screen, at most
 
 FRAME = "struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,transparent:int,rgb:binary>"
 
@@ -158,6 +159,8 @@ def frames_of(data: bytes):
         raise ValueError("not a GIF")
     word = lambda i: int.from_bytes(data[i : i + 2], "little")
     W, H, flags, ground = word(6), word(8), data[10], data[11]
+    if W * H > PIXELS:  # the header is not to be trusted with memory
+        raise ValueError(f"screen of over {PIXELS} pixels")
     at = 13
 
     def palette(flags):

@@ -30,7 +30,7 @@ UPPER = bytes(range(65, 91))
 LETTER = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 DIGIT = bytes(range(48, 58))
 BLANK = b" \t\r\n\v\f"
-TABLE = 600_000
+TABLE = 100_000
 
 
 def statistics(text: str, words: list[str]) -> list[float]:

@@ -331,3 +331,19 @@ def test_toxic_documents_are_found_and_others_left(spark):
     got = toxicity.op10(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] >= 0.5 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.02 * (n[0, 1] + n[0, 0])
+
+
+def test_sum_of_squares_equals_the_double_sum():
+    r, k = np.random.default_rng(2), quality.BUCKETS
+    w, v = r.normal(size=k + 4), r.normal(size=(k + 3, quality.RANK))
+    doc, index, share, dense = np.array([0, 0, 0, 1]), np.array([5, 9, 700, 5]), np.array([0.5, 0.25, 0.25, 1.0]), r.normal(size=(2, 3))
+    got, _ = quality.machine(w, v, (index, share), dense, doc, 2)
+    for d in (0, 1):
+        x = [(i, s) for i, s, e in zip(index, share, doc, strict=True) if e == d] + [(k + j, dense[d, j]) for j in range(3)]
+        want = w[-1] + sum(w[i] * s for i, s in x) + sum((v[i] @ v[j]) * s * t for n, (i, s) in enumerate(x) for j, t in x[n + 1 :])
+        assert abs(got[d] - want) < 1e-9
+
+
+def test_gif_of_an_absurd_size_is_an_error():
+    with pytest.raises(ValueError, match="pixels"):
+        list(gif_media.frames_of(b"GIF89a\xff\xff\xff\xff\0\0\0"))
