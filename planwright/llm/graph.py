@@ -79,7 +79,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Links that are turned so that each points to a lesser node, and rewired to the least neighbour from
     both sides in turn, become stars in a number of rounds that grows with the logarithm of the nodes.
-    Every round is written to the checkpoint folder."""
+    Every round is written to the checkpoint folder.  Links that come out of Python should be written first:
+    two Python steps in one stage take two workers a core."""
     e = cut(contracted(links).distinct())
     while not _is_done(e):
         e = cut(_star(_star(e, True), False).distinct())

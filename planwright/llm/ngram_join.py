@@ -396,7 +396,7 @@ def group_components(held: DataFrame) -> DataFrame:
         as_any = over(counted(F.col("rest")), lambda j: F.xxhash64("group", j, own))
         as_rest = F.when(F.col("label") != F.col("main"), over(counted(F.col("size")), lambda j: F.xxhash64("group", few, j))).otherwise(F.array().cast("array<bigint>"))
         held = held.withColumn("tile", F.explode(F.array_union(as_any, as_rest)))
-        links = links.unionByName(exact_links(held.select("tile", "id", "n", "label", F.lit(True).alias("large"), "shingles")).select("a", "b"))
+        links = links.unionByName(cut(exact_links(held.select("tile", "id", "n", "label", F.lit(True).alias("large"), "shingles")).select("a", "b")))
     return whole.unionByName(components(links))
 
 
@@ -423,7 +423,7 @@ def placed(df: DataFrame) -> DataFrame:
     open_ = shared.join(info, F.col("id") == F.col("i")).select("key", "id", "n", "label").withColumns({"lo": F.min("label").over(over), "hi": F.max("label").over(over)})
     tiles = key_tiles(open_.where("lo < hi").select("key", "id", "n", "label"))
     tiles = tiles.join(bits.select(F.col("id").alias("b"), "bits"), F.col("id") == F.col("b")).select("tile", "id", "n", "bits", "label", "guest")
-    joined = components(candidate_links(tiles)).select(F.col("node").alias("l"), "component")
+    joined = components(cut(candidate_links(tiles))).select(F.col("node").alias("l"), "component")
     groups = info.join(joined, F.col("label") == F.col("l"), "left").select(F.col("i").alias("g"), F.coalesce("component", "label").alias("group"))
     size = groups.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("group", "gc")
     member = groups.join(size, F.col("group") == F.col("gc")).select("g", "group", "size")
