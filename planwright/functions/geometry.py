@@ -56,6 +56,12 @@ def perimeter(ring: Column) -> Column:
     return F.aggregate(at, F.lit(0.0), lambda a, i: a + F.hypot(_next(ring, i)["x"] - F.get(ring, i)["x"], _next(ring, i)["y"] - F.get(ring, i)["y"]))
 
 
+def bounds(ring: Column) -> Column:
+    """The box of a ring as struct<x0, y0, x1, y1>; nulls for an empty ring."""
+    of = lambda f, k: f(F.transform(ring, lambda p: p[k]))
+    return F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"))
+
+
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))

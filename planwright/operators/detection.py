@@ -41,6 +41,13 @@ def leaves(raw: DataFrame) -> DataFrame:
     return slant.select("plan_id", ((x[0] + x[2]) / 2).alias("mx"), ((x[1] + x[3]) / 2).alias("my"))
 
 
+def skew(plans: DataFrame, raw: DataFrame) -> DataFrame:
+    """(plan_id, skew): the median angle of a plan's segments to the nearest axis, from -45 up to 45 degrees; 0 without segments."""
+    off = F.pmod(geometry.angle(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]) + 45, F.lit(90.0)) - 45
+    middle = raw.groupBy("plan_id").agg(F.median(off).alias("skew"))
+    return plans.select("plan_id").join(middle, "plan_id", "left").select("plan_id", F.coalesce("skew", F.lit(0.0)).alias("skew"))
+
+
 def to_units(pixels: Column, per_unit: Column) -> Column:
     """Pixels as units; unchanged where there is no scale."""
     return F.when(per_unit <= 0, pixels).otherwise(F.try_divide(pixels, per_unit))

@@ -187,6 +187,15 @@ def leaf_middles(spark, sf_dir):
     return detection.leaves(read(spark, sf_dir, RAW))
 
 
+def plan_skew(spark, sf_dir):
+    plans = read(spark, sf_dir, "SELECT o_orderkey AS plan_id FROM {orders}")
+    return detection.skew(plans, read(spark, sf_dir, RAW)).withColumn("skew", F.round("skew", 6))
+
+
+def ring_bounds(spark, sf_dir):
+    return _boxes(spark, sf_dir, PART_ROOMS).select("room_id", geometry.bounds(F.col("polygon")).alias("b")).select("room_id", "b.*")
+
+
 def px_to_units(spark, sf_dir):
     rows = read(spark, sf_dir, "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS px, CAST(p_partkey % 5 - 1 AS DOUBLE) AS per_unit FROM {part}")
     return rows.select("id", F.round(detection.to_units(F.col("px"), F.col("per_unit")), 3).alias("units"))
@@ -218,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
               nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules,
-              segments_oriented, leaf_middles, px_to_units, thin_walls, thick_walls, project_names)
+              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names)
 }
 
 _A = f"""a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a)"""
@@ -262,6 +271,8 @@ ORACLES = {k: duck(v) for k, v in {
     "segments_oriented": f"""WITH {_A} SELECT plan_id, seg_id, CASE WHEN m <= 10 OR m >= 170 THEN 'h' ELSE 'v' END AS orient, CASE WHEN m <= 10 OR m >= 170 THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS perp,
 CASE WHEN m <= 10 OR m >= 170 THEN least(x1, x2) ELSE least(y1, y2) END AS a0, CASE WHEN m <= 10 OR m >= 170 THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS a1 FROM b WHERE m <= 10 OR m >= 170 OR m BETWEEN 80 AND 100""",
     "leaf_middles": f"WITH {_A} SELECT plan_id, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM b WHERE NOT (m <= 10 OR m >= 170 OR m BETWEEN 80 AND 100)",
+    "plan_skew": f"WITH {_A}, s AS (SELECT plan_id, median(d + 45 - 90 * floor((d + 45) / 90) - 45) AS m FROM b GROUP BY plan_id) SELECT o_orderkey AS plan_id, round(coalesce(m, 0.0::DOUBLE), 6) AS skew FROM orders LEFT JOIN s ON plan_id = o_orderkey",
+    "ring_bounds": f"SELECT room_id, x0, y0, x1, y1 FROM ({PART_ROOMS})",
     "px_to_units": "SELECT p_partkey AS id, round(CASE WHEN p_partkey % 5 - 1 <= 0 THEN p_size::DOUBLE ELSE p_size / (p_partkey % 5 - 1)::DOUBLE END, 3) AS units FROM part",
     "thin_walls": f"WITH {_R.replace(SEGMENTS, THICK)} SELECT plan_id, orient, grp, run, min(a0) AS s, max(a1) AS e, avg(thickness) AS thickness FROM r GROUP BY plan_id, orient, grp, run HAVING avg(thickness) < 2.5",
     "thick_walls": f"WITH {_W.replace(SEGMENTS, THICK).replace('FROM r GROUP BY ALL', 'FROM r GROUP BY ALL HAVING avg(thickness) >= 2.5')} SELECT plan_id, orient, grp, run, fixed, exterior FROM walls",

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from planwright.functions import geometry
 from planwright.operators import detection, documents, projects, validation
 
 SEGMENTS = "plan_id string, seg_id int, x1 double, y1 double, x2 double, y2 double, thickness double, src string"
@@ -71,3 +72,11 @@ def test_detected_documents_are_valid_and_saved(spark, found):
 def test_units(spark):
     got = spark.createDataFrame([(40.0, 20.0), (40.0, 0.0), (40.0, -1.0)], "a double, b double").select(detection.to_units(F.col("a"), F.col("b")).alias("u")).collect()
     assert [r.u for r in got] == [2.0, 40.0, 40.0]
+
+
+def test_skew_and_bounds(spark):
+    raw = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (1, 0.0, 0.0, 0.0, 10.0), (1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 0.0, 10.0, 10.0)], "plan_id int, x1 double, y1 double, x2 double, y2 double")
+    plans = spark.createDataFrame([(1,), (2,), (3,)], "plan_id int")
+    assert {r.plan_id: r.skew for r in detection.skew(plans, raw).collect()} == {1: 0.0, 2: -45.0, 3: 0.0}
+    rings = spark.createDataFrame([([(1.0, 5.0), (4.0, 2.0), (3.0, 9.0)],), ([],)], "p array<struct<x:double,y:double>>")
+    assert [tuple(r.b) for r in rings.select(geometry.bounds(F.col("p")).alias("b")).collect()] == [(1.0, 2.0, 4.0, 9.0), (None,) * 4]
