@@ -13,11 +13,11 @@
    them has its context, and blocks are settled as anchors are.  Only where a longer anchor still has more
    than ``COLD`` contexts are hashes of single windows aggregated over the cluster.
 
-The suffix order is built by grouping.  The Lyndon prefix of each suffix (up to the next smaller suffix)
-comes from one pass from the right with a stack; suffixes with equal prefixes are a group, and groups are
-ordered by their prefixes, the greatest taken first.  Previous-smaller pointers then give each group's
-order: a suffix that has its place passes the one before it, and from there along the pointers, to the
-front of their groups.  Nothing is renamed and no smaller problem is solved first.
+The suffix order is built by grouping, in linear time.  Suffixes whose Lyndon prefixes (up to the next smaller
+suffix) are equal are a group, found by taking groups from the greatest down and letting each lengthen the
+words of the previous smaller suffixes of its members.  The same pointers then give each group's order: a
+suffix that has its place passes the one before it, and from there along the pointers, to the front of
+their groups.  Nothing is renamed and no smaller problem is solved first.
 
 Hashes are of 64 bits, over bytes replaced by random 64-bit numbers.
 
@@ -92,38 +92,56 @@ def anchors(hashes: Hashes, raw: bytes, sums: np.ndarray):
 
 
 def suffix_order(text: str) -> list[int]:
-    """The places of the suffixes of ``text`` in ascending order."""
+    """The places of the suffixes of ``text`` in ascending order, in time linear in its length.
+
+    A group holds the suffixes known to start with one word.  Groups are taken from the greatest down; when a
+    group's turn comes its word is the Lyndon prefix of its suffixes, and the words of their previous smaller
+    suffixes grow by it: these move to a group of their own just above, once for each time the word comes."""
     n = len(text)
-    # Lyndon prefixes: from the right, a word takes in the next ones as long as they are greater.
-    length = [1] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        j = i + 1
-        word = text[i]
-        while j < n and word < (nxt := text[j : j + length[j]]):
-            word += nxt
-            j += length[j]
-        length[i] = j - i
-    before = [-1] * n  # previous smaller suffix
-    for i in range(1, n):
-        j = i - 1
-        while j >= 0 and j + length[j] <= i:
-            j = before[j]
-        before[i] = j
-    prefix = [text[i : i + length[i]] for i in range(n)]
-    size: dict[str, int] = {}
-    for p in prefix:
-        size[p] = size.get(p, 0) + 1
-    front, end = {}, n
-    for p in sorted(size, reverse=True):  # groups from the greatest down
-        end -= size[p]
-        front[p] = end
+    letters = sorted(set(text))
+    number = {c: g for g, c in enumerate(letters)}
+    group = [number[c] for c in text]
+    members: list[list[int]] = [[] for _ in letters]
+    for i, g in enumerate(group):
+        members[g].append(i)
+    below, above = list(range(-1, len(letters) - 1)), list(range(1, len(letters) + 1))
+    before, known = [-1] * n, bytearray(n)  # previous smaller suffix
+    g, lowest = len(letters) - 1, 0 if letters else -1
+    while g >= 0:
+        # Members that have moved up stay in the list of their old group.
+        members[g] = own = [i for i in members[g] if group[i] == g]
+        higher: dict[int, int] = {}
+        for i in own:
+            j = i - 1
+            while j >= 0 and known[j]:
+                j = before[j]
+            before[i] = j
+            known[i] = 1
+            if j >= 0:
+                h = group[j]
+                to = higher.get(h)
+                if to is None:
+                    to = higher[h] = len(members)
+                    members.append([])
+                    below.append(h)
+                    above.append(above[h])
+                    below[above[h]] = to  # g is above h, so there is one above
+                    above[h] = to
+                members[to].append(j)
+                group[j] = to
+        g = below[g]
+    front, start, g = [0] * len(members), 0, lowest
+    while start < n:
+        front[g] = start
+        start += len(members[g])
+        g = above[g]
     order, placed = [-1] * n, bytearray(n)
     i, j = 0, n - 1
     while True:
         while j >= 0 and not placed[j]:
-            p = prefix[j]
-            order[front[p]] = j
-            front[p] += 1
+            g = group[j]
+            order[front[g]] = j
+            front[g] += 1
             placed[j] = 1
             j = before[j]
         if i == n:

@@ -216,6 +216,8 @@ def test_suffix_order():
     for k in range(500):
         s = "".join(rng.choice("ab" if k % 2 else "abc\0") for _ in range(rng.randrange(1, 40)))
         assert repeats.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    for s in ("", "a" * 300, "ab" * 150 + "a", "".join(map(chr, range(300, 600))) * 2):
+        assert repeats.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
 @pytest.mark.parametrize(("module", "op", "label", "least"), [(toxicity, "op10", "toxic", 0.93), (quality, "op7", "quality", 0.95)])
