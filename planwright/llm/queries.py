@@ -5,7 +5,7 @@ against brute force, exact round trips or held-out accuracy in the tests."""
 
 import corpus_pipeline
 
-from . import gif_media, html_text, mixing, ngram_join, pieces, quality, repeats, secret_scan, spot_signatures, toxicity
+from . import filter_audit, gif_media, html_text, mixing, ngram_join, pieces, quality, repeats, secret_scan, simhash, spelling, spot_signatures, toxicity
 
 QUERIES = {
     "op1_gif_media": gif_media.op1,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_html_text": html_text.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_filter_audit": filter_audit.op11,
+    "op12_simhash": simhash.op12,
+    "op13_spelling": spelling.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,6 +29,8 @@ ORACLES = {
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op4_source_mix": mixing.OP4_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
