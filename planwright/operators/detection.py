@@ -1,7 +1,8 @@
 """From raw segments, words and room outlines to plan documents.
 
 Raw segments have plan_id, seg_id, x1, y1, x2, y2, thickness and src: ``wall`` for long strokes, ``detail`` for
-leaves and treads.  Each relation is derived once; all joins are on the plan."""
+leaves and treads.  Walls, openings, spans and outlines are each written once to the checkpoint folder and read from
+there; joins are on the plan and, between neighbours in it, on cells of a grid."""
 
 from __future__ import annotations
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from . import openings, rooms, segments
+from . import faces, openings, rooms, segments
+from .checkpoints import cut
 from .documents import assemble
 
 THINNEST = 2.5
@@ -59,9 +61,8 @@ def numbered(df: DataFrame, prefix: str, out: str, *order) -> DataFrame:
     return df.withColumn("ord", n).withColumn(out, F.concat(F.lit(f"{prefix}-"), F.col("ord").cast("string")))
 
 
-def split_walls(segs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_walls(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Walls, and those thinner than THINNEST, which are lines of dimensions; only walls make the box that tells which are exterior."""
-    every = segments.walls(segs)
     thin = F.col("thickness") < THINNEST
     return segments.exterior(every.where(~F.coalesce(thin, F.lit(False))).drop("exterior")), every.where(thin).drop("exterior")
 
@@ -73,18 +74,18 @@ def ends(df: DataFrame) -> DataFrame:
     return df.withColumns({"x1": at("s", "fixed"), "y1": at("fixed", "s"), "x2": at("e", "fixed"), "y2": at("fixed", "e")})
 
 
-def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame, texts: DataFrame, backend: str = "none") -> DataFrame:
+def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts: DataFrame, backend: str = "none") -> DataFrame:
     """A plan document for each row of ``plans`` (plan_id, image, width, height).
 
-    ``outlines`` has plan_id, room_id, polygon in pixels; ``texts`` plan_id, ord, text, cx, cy, min_x, max_x, confidence.
+    ``outlines`` has plan_id, room_id, polygon in pixels; without it rooms are what the walls enclose.  ``texts`` has plan_id, ord, text, cx, cy, min_x, max_x, confidence.
     Plans without any element give a document with empty collections.  Heights, step counts and directions cannot
     be seen from above and are null; dimensions without a value are left out."""
-    strokes = oriented(raw.where("src = 'wall'"))
-    walls, thin = split_walls(strokes)
-    walls = ends(numbered(walls, "wall", "wall_id", "orient", "fixed", "s"))
-    keys = ["plan_id", "orient", "grp", "run"]
-    candidates = openings.opening_candidates(strokes)
-    found = openings.classified(candidates, walls, leaves(raw.where("src = 'detail'"))).join(walls.select(*keys, "wall_id"), keys)
+    walls, thin = split_walls(cut(segments.walls(oriented(raw.where("src = 'wall'")), gaps=True)))
+    walls = cut(ends(numbered(walls, "wall", "wall_id", "orient", "fixed", "s")))
+    if outlines is None:
+        outlines = faces.simplified(faces.outlines(walls, plans)).select("plan_id", "room_id", "polygon")
+    outlines = cut(outlines)
+    found = cut(openings.classified(walls, leaves(raw.where("src = 'detail'")), "wall_id"))
     # Of a bunch of openings on a wall one stays.
     stays = openings.suppress(found.select("plan_id", "wall_id", "position", "swing"), ["plan_id", "wall_id"])
     found = found.join(stays, ["plan_id", "wall_id", "position", "swing"], "left_semi")
@@ -96,7 +97,8 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame, texts: DataFra
     values = told.select("plan_id", "ord", "value", F.col("text").alias("label"))
     dims = rooms.nearest_line(spans, lines).join(values, ["plan_id", "ord"])
     dims = dims.withColumn("pixels", geometry.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    scale = rooms.calibration(plans, dims, walls)
+    dims = cut(dims)
+    scale = cut(rooms.calibration(plans, dims, walls))
 
     labels = told.where("kind = 'room_label'").select("plan_id", "ord", F.col("text").alias("label"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     score = rooms.room_confidence(outlines, rooms.boundary(outlines, walls), walls)

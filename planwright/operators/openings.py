@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from .segments import MERGE_GAP, OPENING_GAP, walls_of
 
 LEAF_RADIUS = 30.0
@@ -17,22 +18,26 @@ def opening_candidates(segments: DataFrame) -> DataFrame:
     return walls_of(segments).where((F.col("gap") > MERGE_GAP) & (F.col("gap") <= OPENING_GAP)).select("plan_id", "orient", "grp", "run", "gap_start", F.col("a0").alias("gap_end"))
 
 
-def classified(candidates: DataFrame, walls: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Openings with kind, width, place on the wall (0 to 1) and confidence.
+def classified(walls: DataFrame, leaves: DataFrame, *kept: str) -> DataFrame:
+    """Openings with kind, width, place on the wall (0 to 1) and confidence; ``walls`` hold their gaps, ``kept`` are columns of theirs to keep.
 
     A leaf (a segment off the axes, by its middle mx, my) within LEAF_RADIUS of either end makes a door;
-    else a gap in an exterior wall is a window, in another a door.  Walls of no length have no openings."""
-    keys = ["plan_id", "orient", "grp", "run"]
-    o = candidates.join(walls.select(*keys, "s", "e", "fixed", "exterior"), keys).where("e > s")
+    else a gap in an exterior wall is a window, in another a door.  Walls of no length have no openings.
+    Ends and leaves meet by cells of LEAF_RADIUS."""
+    own = ["plan_id", "orient", "grp", "run", *kept, "s", "e", "fixed", "exterior"]
+    o = walls.where("e > s").select(*own, F.explode("gaps").alias("g")).select(*own, "g.*").withColumn("end", F.explode(F.array("gap_start", "gap_end")))
     across = F.col("orient") == "h"
-    dist = lambda c: F.least(*[(F.col("mx") - F.when(across, F.col(g)).otherwise(F.col("fixed"))) ** 2 + (F.col("my") - F.when(across, F.col("fixed")).otherwise(F.col(g))) ** 2 for g in c])
-    near = leaves.select(F.col("plan_id").alias("p"), "mx", "my")
-    swung = o.join(near, (F.col("plan_id") == F.col("p")) & (dist(["gap_start", "gap_end"]) <= LEAF_RADIUS**2), "left_semi").select(*keys, "gap_start", "gap_end").distinct().withColumn("swing", F.lit(True))
-    out = o.join(swung, [*keys, "gap_start", "gap_end"], "left").withColumn("swing", F.coalesce("swing", F.lit(False)))
+    o = o.withColumns({"px": F.when(across, F.col("end")).otherwise(F.col("fixed")), "py": F.when(across, F.col("fixed")).otherwise(F.col("end"))})
+    o = grid.at(o, F.col("px"), F.col("py"), LEAF_RADIUS)
+    near = grid.near(leaves.select(F.col("plan_id").alias("p"), "mx", "my"), F.col("mx"), F.col("my"), LEAF_RADIUS)
+    dist = (F.col("mx") - F.col("px")) ** 2 + (F.col("my") - F.col("py")) ** 2
+    met = o.join(near, (F.col("plan_id") == F.col("p")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")), "left")
+    out = met.groupBy(*own, "gap_start", "gap_end").agg(F.coalesce(F.bool_or(dist <= LEAF_RADIUS**2), F.lit(False)).alias("swing"))
     middle = (F.col("gap_start") + F.col("gap_end")) / 2
     place = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (middle - F.col("s")) / (F.col("e") - F.col("s"))))
     kind = F.when(F.col("swing"), "door").when(F.col("exterior"), "window").otherwise("door")
-    return out.select(*keys, "gap_start", "gap_end", (F.col("gap_end") - F.col("gap_start")).alias("width"), place.alias("position"), kind.alias("kind"), "swing", F.when(F.col("swing"), SWING).otherwise(NO_SWING).alias("confidence"))
+    confidence = F.when(F.col("swing"), SWING).otherwise(NO_SWING)
+    return out.select("plan_id", "orient", "grp", "run", *kept, "gap_start", "gap_end", (F.col("gap_end") - F.col("gap_start")).alias("width"), place.alias("position"), kind.alias("kind"), "swing", confidence.alias("confidence"))
 
 
 def suppressed(openings: Column) -> Column:

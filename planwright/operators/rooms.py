@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import inside
+from ..functions import grid
+from ..functions.geometry import bounds, inside
 
 BOUNDARY = 12.0
 UNKNOWN = 0.7
 NEAR_LINE = 40.0
+ROOM_CELL = 100.0
 
 
 def edges(rooms: DataFrame) -> DataFrame:
@@ -20,14 +22,20 @@ def edges(rooms: DataFrame) -> DataFrame:
     return e.select("plan_id", "room_id", "edge", F.when(flat, "h").otherwise("v").alias("orient"), F.when(flat, (F.col("p.y") + F.col("q.y")) / 2).otherwise((F.col("p.x") + F.col("q.x")) / 2).alias("fixed"))
 
 
+def beside(rooms: DataFrame, walls: DataFrame) -> DataFrame:
+    """Edges of rooms with each wall of their direction that is less than BOUNDARY away, by bins of that width."""
+    w = walls.select(F.col("plan_id").alias("p"), F.col("orient").alias("o"), F.col("fixed").alias("f"), grid.cell(F.col("fixed"), BOUNDARY).alias("b"), "wall_id")
+    own = grid.cell(F.col("fixed"), BOUNDARY)
+    e = edges(rooms).withColumn("bin", F.explode(F.array(own - 1, own, own + 1)))
+    return e.join(w, (F.col("plan_id") == F.col("p")) & (F.col("orient") == F.col("o")) & (F.col("bin") == F.col("b"))).withColumn("away", F.abs(F.col("f") - F.col("fixed")))
+
+
 def boundary(rooms: DataFrame, walls: DataFrame) -> DataFrame:
     """(plan_id, room_id, wall_id): the nearest wall of each edge's direction, less than BOUNDARY away; the least wall_id of equals.
 
     Walls of one line are not told apart along it."""
-    w = walls.select(F.col("plan_id").alias("p"), F.col("orient").alias("o"), F.col("fixed").alias("f"), "wall_id")
-    away = F.abs(F.col("f") - F.col("fixed"))
-    met = edges(rooms).join(w, (F.col("plan_id") == F.col("p")) & (F.col("orient") == F.col("o")) & (away < BOUNDARY))
-    near = met.groupBy("plan_id", "room_id", "edge").agg(F.min_by("wall_id", F.struct(away, F.col("wall_id"))).alias("wall_id"))
+    met = beside(rooms, walls).where(F.col("away") < BOUNDARY)
+    near = met.groupBy("plan_id", "room_id", "edge").agg(F.min_by("wall_id", F.struct("away", "wall_id")).alias("wall_id"))
     return near.select("plan_id", "room_id", "wall_id").distinct()
 
 
@@ -38,22 +46,36 @@ def room_confidence(rooms: DataFrame, bounds: DataFrame, walls: DataFrame) -> Da
     return rooms.select("plan_id", "room_id").join(score, ["plan_id", "room_id"], "left").select("plan_id", "room_id", F.coalesce("c", F.lit(UNKNOWN)).alias("confidence"))
 
 
+def labels_by_box(rooms: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rooms with each label in a cell of ROOM_CELL pixels that their box meets."""
+    box = rooms.select("plan_id", "room_id", "polygon", bounds(F.col("polygon")).alias("box")).select("plan_id", "room_id", "polygon", "box.*")
+    box = grid.within(box, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), ROOM_CELL).drop("x0", "y0", "x1", "y1")
+    t = grid.at(labels.select(F.col("plan_id").alias("p"), "ord", "label", "x", "y"), F.col("x"), F.col("y"), ROOM_CELL)
+    return box.join(t, (F.col("plan_id") == F.col("p")) & (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")))
+
+
 def label_in_room(rooms: DataFrame, labels: DataFrame) -> DataFrame:
     """Rooms with the first label (least ord) strictly inside; null without one."""
-    t = labels.select(F.col("plan_id").alias("p"), "ord", "label", "x", "y")
-    hit = rooms.join(t, (F.col("plan_id") == F.col("p")) & inside(F.col("polygon"), F.col("x"), F.col("y")))
+    hit = labels_by_box(rooms, labels).where(inside(F.col("polygon"), F.col("x"), F.col("y")))
     first = hit.groupBy("plan_id", "room_id").agg(F.min_by("label", "ord").alias("label"))
     return rooms.select("plan_id", "room_id").join(first, ["plan_id", "room_id"], "left")
 
 
+def lines_by_cell(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Texts with each line whose middle is in their cell of NEAR_LINE pixels or beside it."""
+    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    m = grid.near(lines.select(F.col("plan_id").alias("p"), "line_id", "x1", "y1", "x2", "y2", mx.alias("mx"), my.alias("my")), F.col("mx"), F.col("my"), NEAR_LINE)
+    t = grid.at(texts, F.col("x"), F.col("y"), NEAR_LINE)
+    met = t.join(m, (F.col("plan_id") == F.col("p")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
+    return met.withColumn("away", (F.col("mx") - F.col("x")) ** 2 + (F.col("my") - F.col("y")) ** 2)
+
+
 def nearest_line(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """Texts (plan_id, ord, x, y, width, confidence) with the line whose middle is nearest, under NEAR_LINE away; the least line_id of equals.
 
     Without one the span is centred on the text, ten pixels to either side at least, at six tenths of the confidence."""
-    m = lines.select(F.col("plan_id").alias("p"), "line_id", "x1", "y1", "x2", "y2")
-    away = ((F.col("x1") + F.col("x2")) / 2 - F.col("x")) ** 2 + ((F.col("y1") + F.col("y2")) / 2 - F.col("y")) ** 2
-    met = texts.join(m, (F.col("plan_id") == F.col("p")) & (away < NEAR_LINE**2))
-    near = met.groupBy("plan_id", "ord").agg(F.min_by(F.struct("line_id", "x1", "y1", "x2", "y2"), F.struct(away, F.col("line_id"))).alias("l"))
+    met = lines_by_cell(texts, lines).where(F.col("away") < NEAR_LINE**2)
+    near = met.groupBy("plan_id", "ord").agg(F.min_by(F.struct("line_id", "x1", "y1", "x2", "y2"), F.struct("away", "line_id")).alias("l"))
     half = F.greatest(F.lit(10.0), F.col("width") / 2)
     at = lambda c, other: F.coalesce(F.col(f"l.{c}"), other)
     return texts.join(near, ["plan_id", "ord"], "left").select(

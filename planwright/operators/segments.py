@@ -39,19 +39,22 @@ def walls_of(segments: DataFrame) -> DataFrame:
     return with_runs(cluster_1d(segments, ["plan_id", "orient"], "perp", WALL_TOLERANCE, ["a0", "a1"]), ["plan_id", "orient", "grp"])
 
 
-def wall_runs(segments: DataFrame) -> DataFrame:
-    """Walls with their votes and openings, the fixed coordinate of their whole cluster and, where segments have one, the mean thickness."""
+def wall_runs(segments: DataFrame, gaps: bool = False) -> DataFrame:
+    """Walls with their votes and openings, the fixed coordinate of their whole cluster and, where segments have one, the mean thickness.
+
+    With ``gaps`` a wall holds its openings too, as an array of struct<gap_start, gap_end>."""
     opening = (F.col("gap") > MERGE_GAP) & (F.col("gap") <= OPENING_GAP)
     fixed = F.avg("perp").over(Window.partitionBy("plan_id", "orient", "grp"))
     thickness = [F.avg("thickness").alias("thickness")] if "thickness" in segments.columns else []
+    held = [F.collect_list(F.when(opening, F.struct("gap_start", F.col("a0").alias("gap_end")))).alias("gaps")] if gaps else []
     return walls_of(segments).withColumn("fixed", fixed).groupBy("plan_id", "orient", "grp", "run").agg(
-        F.min("a0").alias("s"), F.max("a1").alias("e"), F.sum(F.col("a1") - F.col("a0")).alias("votes"), F.count("*").alias("n"), F.count_if(opening).alias("openings"), F.max("fixed").alias("fixed"), *thickness
+        F.min("a0").alias("s"), F.max("a1").alias("e"), F.sum(F.col("a1") - F.col("a0")).alias("votes"), F.count("*").alias("n"), F.count_if(opening).alias("openings"), F.max("fixed").alias("fixed"), *thickness, *held
     )
 
 
-def walls(segments: DataFrame) -> DataFrame:
-    """Walls with their confidence and whether they are exterior."""
-    return exterior(wall_runs(segments).withColumn("confidence", wall_confidence(F.col("votes"), F.col("e") - F.col("s"))))
+def walls(segments: DataFrame, gaps: bool = False) -> DataFrame:
+    """Walls with their confidence and whether they are exterior; with ``gaps`` their openings too."""
+    return exterior(wall_runs(segments, gaps).withColumn("confidence", wall_confidence(F.col("votes"), F.col("e") - F.col("s"))))
 
 
 def wall_confidence(votes: Column, length: Column) -> Column:

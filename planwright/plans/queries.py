@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.geometry import rectangle
-from ..operators import detection, documents, openings, projects, rooms, segments, validation
+from ..operators import detection, documents, faces, openings, projects, rooms, segments, validation
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents", "labels")
 
@@ -51,6 +51,12 @@ ELEMENTS = """SELECT CAST(l_orderkey AS STRING) AS project_id, l_linenumber AS o
   l_discount * 12 AS confidence, l_quantity - 3 AS thickness FROM {lineitem}"""
 PROJECTS = """SELECT CAST(o_orderkey AS STRING) AS project_id, CASE WHEN o_orderkey % 10 = 0 THEN 'cubits' ELSE 'feet' END AS units FROM {orders}"""
 
+GRID_PLANS = "SELECT DISTINCT l_partkey AS plan_id, 500 AS width, 480 AS height FROM {lineitem}"
+GRID_WALLS = """SELECT l_partkey AS plan_id, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orient, CAST(60 * (1 + l_orderkey % 6) AS DOUBLE) AS fixed,
+  CAST(60 * (1 + l_suppkey % 4) AS DOUBLE) AS s, CAST(60 * (1 + l_suppkey % 4) AS DOUBLE) + 60 * (1 + l_quantity % 4) AS e, CAST(2 + l_partkey % 5 AS DOUBLE) AS thickness FROM {lineitem}"""
+RINGS = """SELECT ring_id, i - 1 AS k, CAST(CASE WHEN 2 * i <= n THEN 20 * i ELSE 20 * (n - i) END AS DOUBLE) AS x, CASE WHEN 2 * i <= n THEN CAST(jolt AS DOUBLE) ELSE 200 + q END AS y FROM (
+  SELECT l_partkey AS ring_id, l_suppkey % 25 AS jolt, l_quantity AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM {lineitem})"""
+
 
 def _segments(spark, sf_dir):
     return read(spark, sf_dir, SEGMENTS)
@@ -81,8 +87,7 @@ def exterior_walls(spark, sf_dir):
 
 
 def openings_classified(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    return openings.classified(openings.opening_candidates(s), segments.walls(s), read(spark, sf_dir, LEAVES)).withColumn("position", F.round("position", 9))
+    return openings.classified(segments.walls(_segments(spark, sf_dir), gaps=True), read(spark, sf_dir, LEAVES)).withColumn("position", F.round("position", 9))
 
 
 def opening_kinds(spark, sf_dir):
@@ -202,11 +207,11 @@ def px_to_units(spark, sf_dir):
 
 
 def thin_walls(spark, sf_dir):
-    return detection.split_walls(read(spark, sf_dir, THICK))[1].select("plan_id", "orient", "grp", "run", "s", "e", "thickness")
+    return detection.split_walls(segments.walls(read(spark, sf_dir, THICK)))[1].select("plan_id", "orient", "grp", "run", "s", "e", "thickness")
 
 
 def thick_walls(spark, sf_dir):
-    return detection.split_walls(read(spark, sf_dir, THICK))[0].select("plan_id", "orient", "grp", "run", "fixed", "exterior")
+    return detection.split_walls(segments.walls(read(spark, sf_dir, THICK)))[0].select("plan_id", "orient", "grp", "run", "fixed", "exterior")
 
 
 def project_names(spark, sf_dir):
@@ -218,6 +223,30 @@ def range_rules(spark, sf_dir):
     return validation.validate(_documents(spark, sf_dir)).select("project_id", "is_valid", F.size("errors").cast("long").alias("n_errors"))
 
 
+def _corners(ring):
+    """A ring as text, in half pixels."""
+    return F.array_join(F.transform(ring, lambda p: F.concat_ws(",", F.round(2 * p["x"]).cast("long"), F.round(2 * p["y"]).cast("long"))), ";")
+
+
+def room_faces(spark, sf_dir):
+    found = faces.outlines(read(spark, sf_dir, GRID_WALLS), read(spark, sf_dir, GRID_PLANS))
+    return found.select("plan_id", "area", geometry.bounds(F.col("polygon")).alias("box"), _corners(F.col("polygon")).alias("corners")).select("plan_id", "area", "box.*", "corners")
+
+
+def _rings(spark, sf_dir):
+    rows = read(spark, sf_dir, RINGS).groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
+    return rows.select("ring_id", F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("polygon"))
+
+
+def ring_simplify(spark, sf_dir):
+    return faces.simplified(_rings(spark, sf_dir)).select("ring_id", F.size("polygon").cast("long").alias("n"), _corners(F.col("polygon")).alias("corners"))
+
+
+def ring_measures(spark, sf_dir):
+    p = F.col("polygon")
+    return _rings(spark, sf_dir).select("ring_id", F.round(geometry.area(p), 6).alias("area"), F.round(geometry.perimeter(p), 6).alias("perimeter"), geometry.bounds(p).alias("box")).select("ring_id", "area", "perimeter", "box.*")
+
+
 QUERIES = {
     "wall_runs": lambda spark, sf_dir: segments.wall_runs(_segments(spark, sf_dir)).drop("fixed"),
     "opening_candidates": lambda spark, sf_dir: openings.opening_candidates(_segments(spark, sf_dir)),
@@ -227,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
               nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules,
-              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names)
+              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures)
 }
 
 _A = f"""a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a)"""
@@ -258,8 +287,44 @@ _EDGES = f"""room AS ({PART_ROOMS}),
 edge AS (SELECT plan_id, room_id, 0 AS k, 'h' AS orient, y0 AS f FROM room UNION ALL SELECT plan_id, room_id, 1, 'v', x1 FROM room UNION ALL SELECT plan_id, room_id, 2, 'h', y1 FROM room UNION ALL SELECT plan_id, room_id, 3, 'v', x0 FROM room),
 met AS (SELECT edge.plan_id, room_id, k, wall_id, row_number() OVER (PARTITION BY edge.plan_id, room_id, k ORDER BY abs(fixed - f), wall_id) AS nth FROM edge JOIN walls w ON w.plan_id = edge.plan_id AND w.orient = edge.orient AND abs(fixed - f) < 12),
 bound AS (SELECT DISTINCT plan_id, room_id, wall_id FROM met WHERE nth = 1)"""
+# A full grid of cells over the bars' coordinates, flooded by least labels; its outer sides are walked edge by edge.
+_FACES = f"""WITH RECURSIVE wall AS (SELECT w.*, greatest(2, round(thickness)) / 2 AS h, p.width, p.height FROM ({GRID_WALLS}) w JOIN ({GRID_PLANS}) p USING (plan_id)),
+raw AS (SELECT plan_id, CASE WHEN orient = 'h' THEN s - h ELSE fixed - h END AS x0, CASE WHEN orient = 'h' THEN e + h ELSE fixed + h END AS x1, CASE WHEN orient = 'h' THEN fixed - h ELSE s - h END AS y0, CASE WHEN orient = 'h' THEN fixed + h ELSE e + h END AS y1 FROM wall),
+bar AS (SELECT plan_id, greatest(x0, 0) AS x0, least(x1, 500) AS x1, greatest(y0, 0) AS y0, least(y1, 480) AS y1 FROM raw),
+xs AS (SELECT plan_id, x0 AS x FROM bar UNION SELECT plan_id, x1 FROM bar UNION SELECT plan_id, unnest([0, 500]) FROM bar), ys AS (SELECT plan_id, y0 AS y FROM bar UNION SELECT plan_id, y1 FROM bar UNION SELECT plan_id, unnest([0, 480]) FROM bar),
+xi AS (SELECT plan_id, x AS x0, lead(x) OVER w AS x1, row_number() OVER w AS i FROM xs WINDOW w AS (PARTITION BY plan_id ORDER BY x)), yi AS (SELECT plan_id, y AS y0, lead(y) OVER w AS y1, row_number() OVER w AS j FROM ys WINDOW w AS (PARTITION BY plan_id ORDER BY y)),
+cell AS MATERIALIZED (SELECT plan_id, i, j, 1000 * j + i AS c, x0, x1, y0, y1 FROM xi JOIN yi USING (plan_id) WHERE x1 IS NOT NULL AND y1 IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM bar b WHERE b.plan_id = xi.plan_id AND b.x0 <= xi.x0 AND b.x1 >= xi.x1 AND b.y0 <= yi.y0 AND b.y1 >= yi.y1)),
+edge AS MATERIALIZED (SELECT a.plan_id, a.c AS a, b.c AS b FROM cell a JOIN cell b ON a.plan_id = b.plan_id AND abs(a.i - b.i) + abs(a.j - b.j) = 1 AND b.c IN (a.c - 1, a.c + 1, a.c - 1000, a.c + 1000)),
+lab(plan_id, c, label) USING KEY (plan_id, c) AS (SELECT plan_id, c, c FROM cell UNION
+  SELECT e.plan_id, e.b, min(r.label) FROM lab r JOIN edge e ON e.plan_id = r.plan_id AND e.a = r.c JOIN recurring.lab o ON o.plan_id = e.plan_id AND o.c = e.b WHERE r.label < o.label GROUP BY ALL),
+own AS (SELECT cell.*, label FROM cell JOIN lab USING (plan_id, c)),
+side AS (SELECT plan_id, label, x0 AS xa, y0 AS ya, x1 AS xb, y0 AS yb, 0 AS way FROM own o WHERE NOT EXISTS (SELECT 1 FROM cell n WHERE n.plan_id = o.plan_id AND n.c = o.c - 1000)
+  UNION ALL SELECT plan_id, label, x1, y0, x1, y1, 1 FROM own o WHERE NOT EXISTS (SELECT 1 FROM cell n WHERE n.plan_id = o.plan_id AND n.c = o.c + 1)
+  UNION ALL SELECT plan_id, label, x1, y1, x0, y1, 2 FROM own o WHERE NOT EXISTS (SELECT 1 FROM cell n WHERE n.plan_id = o.plan_id AND n.c = o.c + 1000)
+  UNION ALL SELECT plan_id, label, x0, y1, x0, y0, 3 FROM own o WHERE NOT EXISTS (SELECT 1 FROM cell n WHERE n.plan_id = o.plan_id AND n.c = o.c - 1)),
+nxt AS MATERIALIZED (SELECT a.plan_id, a.label, a.xa, a.ya, a.way, b.xa AS xn, b.ya AS yn, b.way AS wn FROM side a JOIN side b ON b.plan_id = a.plan_id AND b.label = a.label AND b.xa = a.xb AND b.ya = a.yb
+  QUALIFY row_number() OVER (PARTITION BY a.plan_id, a.label, a.xa, a.ya, a.way ORDER BY CASE (b.way - a.way + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) = 1),
+start AS (SELECT plan_id, label, arg_min(xa, (ya, xa)) AS sx, min(ya) AS sy FROM side WHERE way = 0 GROUP BY ALL),
+walk AS (SELECT plan_id, label, 0 AS step, sx AS x, sy AS y, 0 AS way, 3 AS before, sx, sy FROM start UNION ALL
+  SELECT w.plan_id, w.label, step + 1, xn, yn, wn, w.way, sx, sy FROM walk w JOIN nxt n ON n.plan_id = w.plan_id AND n.label = w.label AND n.xa = w.x AND n.ya = w.y AND n.way = w.way WHERE NOT (xn = sx AND yn = sy AND wn = 0)),
+corner AS (SELECT *, coalesce(lead(x) OVER w, sx) AS xn, coalesce(lead(y) OVER w, sy) AS yn FROM walk WHERE way <> before WINDOW w AS (PARTITION BY plan_id, label ORDER BY step)),
+face AS (SELECT plan_id, label, abs(sum(x * yn - xn * y)) / 2 AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, string_agg(CAST(2 * x AS BIGINT) || ',' || CAST(2 * y AS BIGINT), ';' ORDER BY step) AS corners FROM corner GROUP BY ALL)
+SELECT plan_id, area, x0, y0, x1, y1, corners FROM face WHERE area >= 2000 AND NOT ((x0 <= 1 OR y0 <= 1 OR x1 >= 499 OR y1 >= 479) AND area > 0.5 * 500 * 480)"""
+_RING = f"""p AS ({RINGS}), m AS (SELECT *, count(*) OVER r AS n, coalesce(lead(x) OVER w, first(x) OVER w) AS xn, coalesce(lead(y) OVER w, first(y) OVER w) AS yn FROM p WINDOW w AS (PARTITION BY ring_id ORDER BY k), r AS (PARTITION BY ring_id))"""
 
 ORACLES = {k: duck(v) for k, v in {
+    "room_faces": _FACES,
+    "ring_measures": f"WITH {_RING} SELECT ring_id, round(abs(sum(x * yn - xn * y)) / 2, 6) AS area, round(sum(sqrt(pow(xn - x, 2) + pow(yn - y, 2))), 6) AS perimeter, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM m GROUP BY ring_id",
+    "ring_simplify": f"""WITH RECURSIVE {_RING}, lim AS (SELECT ring_id, max(n) AS n, 0.01::DOUBLE * sum(sqrt(pow(xn - x, 2) + pow(yn - y, 2))) AS eps FROM m GROUP BY ring_id),
+far AS (SELECT a.ring_id, arg_max(b.k, (pow(b.x - a.x, 2) + pow(b.y - a.y, 2), -b.k)) AS far FROM p a JOIN p b ON a.ring_id = b.ring_id AND a.k = 0 AND b.k > 0 GROUP BY a.ring_id),
+q AS (SELECT ring_id, k, x, y FROM p UNION ALL SELECT ring_id, n, x, y FROM p JOIN lim USING (ring_id) WHERE k = 0),
+s AS (SELECT ring_id, 0 AS a, far AS b FROM far UNION ALL SELECT ring_id, far, n FROM far JOIN lim USING (ring_id) UNION ALL
+  SELECT ring_id, unnest([a, k]), unnest([k, b]) FROM (SELECT t.ring_id, t.a, t.b, arg_max(k, (d, -k)) AS k FROM (
+    SELECT s.ring_id, s.a, s.b, c.k, CASE WHEN f.x = e.x AND f.y = e.y THEN sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) ELSE abs((f.x - e.x) * (c.y - e.y) - (f.y - e.y) * (c.x - e.x)) / sqrt(pow(f.x - e.x, 2) + pow(f.y - e.y, 2)) END AS d
+    FROM s JOIN q e ON e.ring_id = s.ring_id AND e.k = s.a JOIN q f ON f.ring_id = s.ring_id AND f.k = s.b JOIN q c ON c.ring_id = s.ring_id AND c.k > s.a AND c.k < s.b) t JOIN lim USING (ring_id) GROUP BY t.ring_id, t.a, t.b HAVING max(d) > any_value(eps)) u),
+kept AS (SELECT ring_id, a AS k FROM s UNION SELECT ring_id, k FROM p JOIN lim USING (ring_id) WHERE n < 4)
+SELECT ring_id, count(*) AS n, string_agg(CAST(round(2 * x) AS BIGINT) || ',' || CAST(round(2 * y) AS BIGINT), ';' ORDER BY k) AS corners FROM kept JOIN p USING (ring_id, k) GROUP BY ring_id HAVING count(*) >= 3""",
     "wall_runs": f"WITH {_R} SELECT plan_id, orient, grp, run, min(a0) AS s, max(a1) AS e, sum(a1 - a0) AS votes, count(*) AS n, count(*) FILTER (a0 - pe > 6 AND a0 - pe <= 160) AS openings FROM r GROUP BY ALL",
     "opening_candidates": f"WITH {_R} SELECT plan_id, orient, grp, run, pe AS gap_start, a0 AS gap_end FROM r WHERE a0 - pe > 6 AND a0 - pe <= 160",
     "cluster_1d": f"WITH {_G} SELECT plan_id, orient, grp, count(*) AS n, avg(perp) AS fixed FROM g GROUP BY ALL",

@@ -51,6 +51,18 @@ def test_drawings(found):
     assert all(v == 0.2 for v in (w.thickness for w in c.walls))
 
 
+def test_rooms_come_from_the_walls_where_no_outlines_are_given(spark, found):
+    plans = spark.createDataFrame([("cottage", "c.png", 800, 682), ("studio", "s.png", 800, 655), ("empty", None, 900, 900)], "plan_id string, image string, width int, height int")
+    own = detection.detect(plans, spark.createDataFrame(COTTAGE + STUDIO, SEGMENTS), None, spark.createDataFrame(WORDS, TEXTS))
+    got, given = ({r.project_id: r for r in d.collect()} for d in (own, found))
+    assert {k: len(r.rooms) for k, r in got.items()} == {"cottage": 2, "studio": 1, "empty": 0}
+    assert [(r.name, r.room_type, r.confidence) for r in got["cottage"].rooms] == [(r.name, r.room_type, r.confidence) for r in given["cottage"].rooms]
+    for k in got:
+        assert got[k].asDict() | {"rooms": 0} == given[k].asDict() | {"rooms": 0}
+        for a, b in zip(got[k].rooms, given[k].rooms, strict=True):  # half a wall within the given outlines
+            assert all(abs(p.x - q.x) <= 0.25 and abs(p.y - q.y) <= 0.25 for p, q in zip(a.polygon, b.polygon, strict=True))
+
+
 def test_detected_documents_are_valid_and_saved(spark, found):
     assert validation.validate(found).where("not is_valid").count() == 0
     none = spark.createDataFrame([], "id string, name string, description string, status string, floorplan_data string, detection_status string, detection_error string, created_at timestamp, updated_at timestamp")
