@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from . import faces, openings, rooms, segments
+from . import faces, openings, rooms, runs, segments
 from .checkpoints import cut
 from .documents import assemble
 
@@ -74,13 +74,19 @@ def ends(df: DataFrame) -> DataFrame:
     return df.withColumns({"x1": at("s", "fixed"), "y1": at("fixed", "s"), "x2": at("e", "fixed"), "y2": at("fixed", "e")})
 
 
-def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts: DataFrame, backend: str = "none") -> DataFrame:
+def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts: DataFrame, backend: str = "none", ink: DataFrame | None = None) -> DataFrame:
     """A plan document for each row of ``plans`` (plan_id, image, width, height).
 
     ``outlines`` has plan_id, room_id, polygon in pixels; without it rooms are what the walls enclose.  ``texts`` has plan_id, ord, text, cx, cy, min_x, max_x, confidence.
+    With ``ink`` (runs of the image's ink) walls are as thick as the ink across their middle; raw segments need no thickness then.
     Plans without any element give a document with empty collections.  Heights, step counts and directions cannot
     be seen from above and are null; dimensions without a value are left out."""
-    walls, thin = split_walls(cut(segments.walls(oriented(raw.where("src = 'wall'")), gaps=True)))
+    every = segments.walls(oriented(raw.where("src = 'wall'")), gaps=True)
+    if ink is not None:
+        keys = ["plan_id", "orient", "grp", "run"]
+        every = cut(every.drop("thickness").withColumn("wall_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys[1:]])))
+        every = every.join(runs.thickness(every, ink), ["plan_id", "wall_id"]).drop("wall_id")
+    walls, thin = split_walls(cut(every))
     walls = cut(ends(numbered(walls, "wall", "wall_id", "orient", "fixed", "s")))
     if outlines is None:
         outlines = faces.simplified(faces.outlines(walls, plans)).select("plan_id", "room_id", "polygon")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.geometry import rectangle
-from ..operators import detection, documents, faces, openings, projects, rooms, segments, validation
+from ..operators import detection, documents, faces, openings, projects, rooms, runs, segments, validation
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents", "labels")
 
@@ -57,6 +57,9 @@ GRID_WALLS = """SELECT l_partkey AS plan_id, CASE WHEN l_linenumber % 2 = 0 THEN
 RINGS = """SELECT ring_id, i - 1 AS k, CAST(CASE WHEN 2 * i <= n THEN 20 * i ELSE 20 * (n - i) END AS DOUBLE) AS x, CASE WHEN 2 * i <= n THEN CAST(jolt AS DOUBLE) ELSE 200 + q END AS y FROM (
   SELECT l_partkey AS ring_id, l_suppkey % 25 AS jolt, l_quantity AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM {lineitem})"""
 
+STROKES = """SELECT DISTINCT o_custkey AS plan_id, CASE WHEN o_orderkey % 2 = 0 THEN 'h' ELSE 'v' END AS orient, CAST(10 * (o_orderkey % 7) + o_orderkey % 5 AS DOUBLE) AS perp,
+  CAST(5 * (o_orderkey % 11) AS DOUBLE) AS a0, CAST(5 * (o_orderkey % 11) + 20 + (o_orderkey * 7) % 90 AS DOUBLE) AS a1, CAST(2 * (1 + o_orderkey % 3) AS DOUBLE) AS thickness FROM {orders}"""
+
 
 def _segments(spark, sf_dir):
     return read(spark, sf_dir, SEGMENTS)
@@ -233,6 +236,21 @@ def room_faces(spark, sf_dir):
     return found.select("plan_id", "area", geometry.bounds(F.col("polygon")).alias("box"), _corners(F.col("polygon")).alias("corners")).select("plan_id", "area", "box.*", "corners")
 
 
+def wall_mask(spark, sf_dir):
+    return runs.wall_mask(runs.drawn(read(spark, sf_dir, STROKES)))
+
+
+def detail_mask(spark, sf_dir):
+    return runs.detail_mask(runs.drawn(read(spark, sf_dir, STROKES)))
+
+
+def wall_thickness(spark, sf_dir):
+    strokes = read(spark, sf_dir, STROKES)
+    walls = strokes.select("plan_id", "orient", F.col("a0").alias("s"), F.col("a1").alias("e"), F.col("perp").alias("fixed")).distinct()
+    walls = walls.withColumn("wall_id", F.concat_ws("/", "orient", *[F.col(c).cast("long").cast("string") for c in ("fixed", "s", "e")]))
+    return runs.thickness(walls, runs.drawn(strokes))
+
+
 def _rings(spark, sf_dir):
     rows = read(spark, sf_dir, RINGS).groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
     return rows.select("ring_id", F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("polygon"))
@@ -256,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
               nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules,
-              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures)
+              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures, wall_mask, detail_mask, wall_thickness)
 }
 
 _A = f"""a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a)"""
@@ -312,8 +330,20 @@ corner AS (SELECT *, coalesce(lead(x) OVER w, sx) AS xn, coalesce(lead(y) OVER w
 face AS (SELECT plan_id, label, abs(sum(x * yn - xn * y)) / 2 AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, string_agg(CAST(2 * x AS BIGINT) || ',' || CAST(2 * y AS BIGINT), ';' ORDER BY step) AS corners FROM corner GROUP BY ALL)
 SELECT plan_id, area, x0, y0, x1, y1, corners FROM face WHERE area >= 2000 AND NOT ((x0 <= 1 OR y0 <= 1 OR x1 >= 499 OR y1 >= 479) AND area > 0.5 * 500 * 480)"""
 _RING = f"""p AS ({RINGS}), m AS (SELECT *, count(*) OVER r AS n, coalesce(lead(x) OVER w, first(x) OVER w) AS xn, coalesce(lead(y) OVER w, first(y) OVER w) AS yn FROM p WINDOW w AS (PARTITION BY ring_id ORDER BY k), r AS (PARTITION BY ring_id))"""
+# Pixels of the strokes; long columns and rows by counting neighbours, and runs of what is asked.
+_PIXELS = f"""st AS ({STROKES}), low AS (SELECT *, CAST(perp - thickness / 2 AS BIGINT) AS lo, CAST(thickness AS BIGINT) AS n, CAST(a0 AS BIGINT) AS b0, CAST(a1 AS BIGINT) AS b1 FROM st),
+long AS (SELECT plan_id, orient, lo, n, unnest(range(b0, b1)) AS t FROM low), dot AS (SELECT plan_id, orient, t, unnest(range(lo, lo + n)) AS u FROM long),
+px AS MATERIALIZED (SELECT DISTINCT plan_id, CASE WHEN orient = 'h' THEN t ELSE u END AS x, CASE WHEN orient = 'h' THEN u ELSE t END AS y FROM dot)"""
+_MASK = f"""{_PIXELS}, isl AS (SELECT *, x - row_number() OVER (PARTITION BY plan_id, y ORDER BY x) AS r, y - row_number() OVER (PARTITION BY plan_id, x ORDER BY y) AS c FROM px),
+big AS (SELECT plan_id, x, y, count(*) OVER (PARTITION BY plan_id, y, r) >= 70 OR count(*) OVER (PARTITION BY plan_id, x, c) >= 70 AS wall FROM isl)"""
+_RUNS = "SELECT plan_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY plan_id, y ORDER BY x) AS g FROM big WHERE {}) GROUP BY plan_id, y, g"
 
 ORACLES = {k: duck(v) for k, v in {
+    "wall_mask": f"WITH {_MASK} " + _RUNS.replace("{}", "wall"),
+    "detail_mask": f"WITH {_MASK} " + _RUNS.replace("{}", "NOT wall"),
+    "wall_thickness": f"""WITH {_PIXELS}, w AS (SELECT DISTINCT plan_id, orient, orient || '/' || CAST(perp AS BIGINT) || '/' || b0 || '/' || b1 AS wall_id, CAST(round_even((b0 + b1) / 2, 0) AS BIGINT) AS m, CAST(perp AS BIGINT) AS f FROM low),
+c AS (SELECT w.plan_id, w.wall_id, count(*) AS n FROM w JOIN px ON px.plan_id = w.plan_id AND CASE WHEN orient = 'h' THEN px.x ELSE px.y END = m AND abs(CASE WHEN orient = 'h' THEN px.y ELSE px.x END - f) <= 25 GROUP BY ALL)
+SELECT plan_id, wall_id, coalesce(n, 4)::DOUBLE AS thickness FROM w LEFT JOIN c USING (plan_id, wall_id)""",
     "room_faces": _FACES,
     "ring_measures": f"WITH {_RING} SELECT ring_id, round(abs(sum(x * yn - xn * y)) / 2, 6) AS area, round(sum(sqrt(pow(xn - x, 2) + pow(yn - y, 2))), 6) AS perimeter, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM m GROUP BY ring_id",
     "ring_simplify": f"""WITH RECURSIVE {_RING}, lim AS (SELECT ring_id, max(n) AS n, 0.01::DOUBLE * sum(sqrt(pow(xn - x, 2) + pow(yn - y, 2))) AS eps FROM m GROUP BY ring_id),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry
-from planwright.operators import detection, documents, projects, validation
+from planwright.operators import detection, documents, projects, runs, validation
 
 SEGMENTS = "plan_id string, seg_id int, x1 double, y1 double, x2 double, y2 double, thickness double, src string"
 TEXTS = "plan_id string, ord int, text string, cx double, cy double, min_x double, max_x double, confidence double"
@@ -63,6 +63,17 @@ def test_rooms_come_from_the_walls_where_no_outlines_are_given(spark, found):
             assert all(abs(p.x - q.x) <= 0.25 and abs(p.y - q.y) <= 0.25 for p, q in zip(a.polygon, b.polygon, strict=True))
 
 
+def test_thickness_comes_from_the_ink(spark, found):
+    plans = spark.createDataFrame([("cottage", "c.png", 800, 682)], "plan_id string, image string, width int, height int")
+    # The probe reaches 25 pixels, as far as the wall is from the dimension line: the line is moved away from it.
+    raw = spark.createDataFrame([(*r[:3], r[3] + 10, r[4], r[5] + 10, *r[6:]) if r[3] == 445 else r for r in COTTAGE], SEGMENTS)
+    ink = runs.drawn(detection.oriented(raw))
+    own = detection.detect(plans, raw.drop("thickness"), None, spark.createDataFrame(WORDS, TEXTS), ink=ink).first()
+    given = found.where("project_id = 'cottage'").first()
+    assert len(own.rooms) == 2 and [(d.value, d.confidence) for d in own.dimensions] == [(24.0, 0.8)]
+    assert [(w.start, w.end, w.wall_type, w.thickness) for w in own.walls] == [(w.start, w.end, w.wall_type, w.thickness) for w in given.walls]
+
+
 def test_detected_documents_are_valid_and_saved(spark, found):
     assert validation.validate(found).where("not is_valid").count() == 0
     none = spark.createDataFrame([], "id string, name string, description string, status string, floorplan_data string, detection_status string, detection_error string, created_at timestamp, updated_at timestamp")
