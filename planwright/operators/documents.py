@@ -37,6 +37,7 @@ def elements(documents: DataFrame, kind: str) -> DataFrame:
     return documents.select("project_id", F.posexplode(kind).alias("ord", "e")).select("project_id", "ord", "e.*")
 
 
-def summary(documents: DataFrame) -> DataFrame:
+def summary(documents: DataFrame, told: bool = False) -> DataFrame:
+    """Numbers of elements; with ``told`` also where the scale comes from and the notes."""
     counted = ("rooms", "walls", "doors", "windows", "stairs", "dimensions")
-    return documents.select("project_id", *[F.coalesce(F.size(k), F.lit(0)).cast("long").alias(k) for k in counted])
+    return documents.select("project_id", *[F.coalesce(F.size(k), F.lit(0)).cast("long").alias(k) for k in counted], *([F.col("metadata.extra")["calibration_source"].alias("calibration_source"), F.col("metadata.notes").alias("notes")] if told else []))

@@ -56,3 +56,29 @@ def suppress(openings: DataFrame, keys: list[str]) -> DataFrame:
     """One opening of each bunch on a wall; a wall's openings are few, whatever the number of walls."""
     per = openings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "swing"))).alias("o"))
     return per.select(*keys, F.explode(suppressed(F.col("o"))).alias("x")).select(*keys, "x.position", "x.swing")
+
+
+def stays(openings: Column) -> Column:
+    """Places (from 0) of those that stay of an array of struct<position, score, ...>, sorted by position, for any number of scores.
+
+    Each that is not out yet puts out the later ones nearer than APART that score no more than it, and is put out by
+    one that scores more; it still puts out the others then.  A wall's openings are few, so the fold may look at all."""
+    n = F.size(openings)
+
+    def step(out, i):
+        own = F.get(openings, i)
+        later = F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>"))
+        rivals = F.filter(later, lambda j: ~F.array_contains(out, j) & (F.abs(F.get(openings, j)["position"] - own["position"]) < APART))
+        lesser = F.filter(rivals, lambda j: F.get(openings, j)["score"] <= own["score"])
+        beaten = F.exists(rivals, lambda j: F.get(openings, j)["score"] > own["score"])
+        return F.when(F.array_contains(out, i), out).otherwise(F.concat(out, lesser, F.when(beaten, F.array(i)).otherwise(F.array().cast("array<int>"))))
+
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_except(places, F.aggregate(places, F.array().cast("array<int>"), step))
+
+
+def suppress_scored(openings: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, ord, position, score) that stay of each bunch of openings on a wall; equal positions are taken in order of ord."""
+    per = openings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "ord", "score"))).alias("o"))
+    kept = per.select(*keys, F.explode(F.transform(stays(F.col("o")), lambda i: F.get(F.col("o"), i))).alias("x"))
+    return kept.select(*keys, "x.ord", "x.position", "x.score")

@@ -94,9 +94,10 @@ def calibration(plans: DataFrame, dimensions: DataFrame, walls: DataFrame, typic
 
 
 def text_blocks(words: DataFrame, line: list[str]) -> DataFrame:
-    """Words (line keys, word_idx, left, top, width, height, conf, text) joined into blocks.
+    """Words (line keys, word_idx, left, top, width, height, conf, text) joined into blocks; a conf that is no number counts for none.
 
     Blank words go; a line is cut where the space from the word before exceeds max(50, 2.5 median heights)."""
+    sure = F.col("conf").try_cast("double")
     own = words.where(F.trim("text") != "")
     whole, order = Window.partitionBy(*line), Window.partitionBy(*line).orderBy("left", "word_idx")
     space = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
@@ -105,5 +106,25 @@ def text_blocks(words: DataFrame, line: list[str]) -> DataFrame:
     return cut.groupBy(*line, "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "word_idx", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("text"),
         F.min("left").alias("min_x"), F.min("top").alias("min_y"), F.max(F.col("left") + F.col("width")).alias("max_x"), F.max(F.col("top") + F.col("height")).alias("max_y"),
-        F.coalesce(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) / 100, F.lit(0.5)).alias("confidence"),
+        F.coalesce(F.avg(F.when(sure >= 0, sure)) / 100, F.lit(0.5)).alias("confidence"),
     ).withColumns({"cx": (F.col("min_x") + F.col("max_x")) / 2, "cy": (F.col("min_y") + F.col("max_y")) / 2})
+
+
+def quad_blocks(quads: DataFrame) -> DataFrame:
+    """Texts found with their four corners (plan_id, ord, quad, text, confidence) as blocks: the middle is the mean of the corners."""
+    x, y = (F.transform("quad", lambda p: p["x"].cast("double")), F.transform("quad", lambda p: p["y"].cast("double")))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size("quad")
+    return quads.select(
+        "plan_id", "ord", F.trim("text").alias("text"), mean(x).alias("cx"), mean(y).alias("cy"), F.array_min(x).alias("min_x"), F.array_min(y).alias("min_y"),
+        F.array_max(x).alias("max_x"), F.array_max(y).alias("max_y"), F.col("confidence").cast("double").alias("confidence"),
+    )
+
+
+def first_backend(plans: DataFrame, answers: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each plan's backend and the blocks that it gave.
+
+    ``answers`` (plan_id, backend, rank) has a row for each backend that answered for a plan, with or without texts;
+    the least rank is taken, ``none`` where no backend answered.  ``blocks`` have plan_id and backend."""
+    best = answers.groupBy("plan_id").agg(F.min_by("backend", F.struct("rank", "backend")).alias("backend"))
+    chosen = plans.select("plan_id").distinct().join(best, "plan_id", "left").select("plan_id", F.coalesce("backend", F.lit("none")).alias("backend"))
+    return chosen, blocks.join(chosen, ["plan_id", "backend"])

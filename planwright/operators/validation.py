@@ -33,7 +33,7 @@ def element_rules(kind: str) -> dict[str, callable]:
     own = {
         "rooms": {"name": lambda e: F.length(e["name"]) >= 1, "polygon": lambda e: F.size(e["polygon"]) >= 3},
         "walls": {"start": lambda e: e["start"].isNotNull(), "end": lambda e: e["end"].isNotNull(), "thickness": lambda e: positive_or_null(e["thickness"]), "height": lambda e: positive_or_null(e["height"]), "wall_type": lambda e: F.coalesce(e["wall_type"], F.lit("interior")).isin("exterior", "interior")},
-        "doors": opening | {"swing": lambda e: e["swing"].isNull() | e["swing"].isin("left", "right", "double", "sliding")},
+        "doors": opening | {"swing": lambda e: e["swing"].isNull() | e["swing"].isin("left", "right", "sliding", "none")},
         "windows": opening | {"sill_height": lambda e: e["sill_height"].isNull() | (e["sill_height"] >= 0)},
         "stairs": {"polygon": lambda e: F.size(e["polygon"]) >= 3, "step_count": lambda e: positive_or_null(e["step_count"])},
         "dimensions": {"start": lambda e: e["start"].isNotNull(), "end": lambda e: e["end"].isNotNull(), "value": lambda e: e["value"] > 0},

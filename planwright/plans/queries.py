@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.geometry import rectangle
-from ..operators import detection, documents, faces, openings, projects, rooms, runs, segments, validation
+from ..operators import detection, documents, faces, openings, projects, raw_documents, rooms, runs, segments, validation
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents", "labels")
 
@@ -60,6 +60,12 @@ RINGS = """SELECT ring_id, i - 1 AS k, CAST(CASE WHEN 2 * i <= n THEN 20 * i ELS
 STROKES = """SELECT DISTINCT o_custkey AS plan_id, CASE WHEN o_orderkey % 2 = 0 THEN 'h' ELSE 'v' END AS orient, CAST(10 * (o_orderkey % 7) + o_orderkey % 5 AS DOUBLE) AS perp,
   CAST(5 * (o_orderkey % 11) AS DOUBLE) AS a0, CAST(5 * (o_orderkey % 11) + 20 + (o_orderkey * 7) % 90 AS DOUBLE) AS a1, CAST(2 * (1 + o_orderkey % 3) AS DOUBLE) AS thickness FROM {orders}"""
 
+SCORED = """SELECT l_partkey AS wall_id, l_orderkey * 10 + l_linenumber AS ord, CAST((l_orderkey * 7) % 100 AS DOUBLE) / 128 AS position, CAST(l_suppkey % 5 AS DOUBLE) / 8 AS score FROM {lineitem}"""
+QUADS = """SELECT l_orderkey AS plan_id, l_linenumber AS ord, l_quantity AS x, CAST(l_suppkey % 90 AS DOUBLE) AS y, CAST(l_partkey % 30 AS DOUBLE) AS w, CAST(l_linenumber AS DOUBLE) AS tilt, l_discount * 8 AS confidence, l_shipdate IS NOT NULL AS ok FROM {lineitem}"""
+TEXTS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 19 = 0 THEN '[1]' WHEN o_orderkey % 23 = 0 THEN '{{' ELSE '{{"project_id":' || CASE o_orderkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN '3' ELSE '"P"' END
+  || CASE o_orderkey % 7 WHEN 0 THEN ',"rooms":null' WHEN 1 THEN ',"rooms":7' ELSE '' END || ',"walls":[{{"id":"w1","start":{{"x":1,"y":' || CASE o_custkey % 6 WHEN 0 THEN '"3"' WHEN 1 THEN 'null' ELSE '2.5' END || '}},"end":{{"x":4,"y":2}},"thickness":null}}]'
+  || ',"doors":[{{"id":"d1","wall_id":"w1","position":0.5' || CASE o_custkey % 4 WHEN 0 THEN ',"width":null' WHEN 1 THEN ',"width":"3"' WHEN 2 THEN '' ELSE ',"width":3' END || '}}]}}' END AS floorplan_data FROM {orders}"""
+
 
 def _segments(spark, sf_dir):
     return read(spark, sf_dir, SEGMENTS)
@@ -236,6 +242,21 @@ def room_faces(spark, sf_dir):
     return found.select("plan_id", "area", geometry.bounds(F.col("polygon")).alias("box"), _corners(F.col("polygon")).alias("corners")).select("plan_id", "area", "box.*", "corners")
 
 
+def suppress_scored(spark, sf_dir):
+    return openings.suppress_scored(read(spark, sf_dir, SCORED), ["wall_id"])
+
+
+def quad_blocks(spark, sf_dir):
+    q = read(spark, sf_dir, QUADS)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, t = (F.col(c) for c in ("x", "y", "w", "tilt"))
+    return rooms.quad_blocks(q.select("plan_id", "ord", F.array(point(x, y), point(x + w, y + t), point(x + w - t, y + t + 8), point(x - t, y + 8)).alias("quad"), F.lit(" a b ").alias("text"), "confidence"))
+
+
+def raw_document_errors(spark, sf_dir):
+    return raw_documents.checked(read(spark, sf_dir, TEXTS)).select("id", F.array_join("errors", "; ").alias("errors"))
+
+
 def wall_mask(spark, sf_dir):
     return runs.wall_mask(runs.drawn(read(spark, sf_dir, STROKES)))
 
@@ -274,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
               nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules,
-              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures, wall_mask, detail_mask, wall_thickness)
+              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures, wall_mask, detail_mask, wall_thickness, suppress_scored, quad_blocks, raw_document_errors)
 }
 
 _A = f"""a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a)"""
@@ -339,6 +360,16 @@ big AS (SELECT plan_id, x, y, count(*) OVER (PARTITION BY plan_id, y, r) >= 70 O
 _RUNS = "SELECT plan_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY plan_id, y ORDER BY x) AS g FROM big WHERE {}) GROUP BY plan_id, y, g"
 
 ORACLES = {k: duck(v) for k, v in {
+    "suppress_scored": f"""WITH RECURSIVE w AS (SELECT wall_id, list(ord ORDER BY position, ord) AS o, list(position ORDER BY position, ord) AS p, list(score ORDER BY position, ord) AS s, count(*) AS n FROM ({SCORED}) GROUP BY wall_id),
+r AS (SELECT wall_id, 1 AS i, CAST([] AS BIGINT[]) AS gone FROM w UNION ALL
+  SELECT r.wall_id, i + 1, CASE WHEN list_contains(gone, i) THEN gone ELSE list_concat(gone, [j FOR j IN range(i + 1, n + 1) IF NOT list_contains(gone, j) AND abs(p[i] - p[j]) < 0.05 AND s[j] <= s[i]],
+    CASE WHEN len([j FOR j IN range(i + 1, n + 1) IF NOT list_contains(gone, j) AND abs(p[i] - p[j]) < 0.05 AND s[j] > s[i]]) > 0 THEN [CAST(i AS BIGINT)] ELSE CAST([] AS BIGINT[]) END) END FROM r JOIN w USING (wall_id) WHERE i <= n),
+k AS (SELECT w.*, unnest(range(1, n + 1)) AS i, gone FROM w JOIN r USING (wall_id) WHERE r.i = n + 1)
+SELECT wall_id, o[i] AS ord, p[i] AS position, s[i] AS score FROM k WHERE NOT list_contains(gone, i)""",
+    "quad_blocks": f"""SELECT plan_id, ord, 'a b' AS text, (x + x + w + x + w - tilt + x - tilt) / 4 AS cx, (y + y + tilt + y + tilt + 8 + y + 8) / 4 AS cy, x - tilt AS min_x, y AS min_y,
+x + w AS max_x, y + tilt + 8 AS max_y, confidence FROM ({QUADS})""",
+    "raw_document_errors": f"""WITH t AS ({TEXTS}), v AS (SELECT id, CASE WHEN json_valid(floorplan_data) THEN CAST(floorplan_data AS JSON) END AS j FROM t) SELECT id, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'document: not an object' ELSE concat_ws('; ',
+  CASE json_type(j, '$.project_id') WHEN 'NULL' THEN 'project_id: null' ELSE CASE WHEN json_type(j, '$.project_id') IS NULL THEN 'project_id: missing' WHEN json_type(j, '$.project_id') NOT IN ('VARCHAR') THEN 'project_id: not text' END END, CASE json_type(j, '$.rooms') WHEN 'NULL' THEN 'rooms: null' ELSE CASE WHEN json_type(j, '$.rooms') IS NULL THEN NULL WHEN json_type(j, '$.rooms') NOT IN ('ARRAY') THEN 'rooms: not a list' END END, CASE json_type(j, '$.walls[0].start.y') WHEN 'NULL' THEN 'walls.0.start.y: null' ELSE CASE WHEN json_type(j, '$.walls[0].start.y') IS NULL THEN 'walls.0.start.y: missing' WHEN json_type(j, '$.walls[0].start.y') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'walls.0.start.y: not a number' END END, CASE json_type(j, '$.doors[0].width') WHEN 'NULL' THEN 'doors.0.width: null' ELSE CASE WHEN json_type(j, '$.doors[0].width') IS NULL THEN 'doors.0.width: missing' WHEN json_type(j, '$.doors[0].width') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'doors.0.width: not a number' END END) END AS errors FROM v""",
     "wall_mask": f"WITH {_MASK} " + _RUNS.replace("{}", "wall"),
     "detail_mask": f"WITH {_MASK} " + _RUNS.replace("{}", "NOT wall"),
     "wall_thickness": f"""WITH {_PIXELS}, w AS (SELECT DISTINCT plan_id, orient, orient || '/' || CAST(perp AS BIGINT) || '/' || b0 || '/' || b1 AS wall_id, CAST(round_even((b0 + b1) / 2, 0) AS BIGINT) AS m, CAST(perp AS BIGINT) AS f FROM low),
