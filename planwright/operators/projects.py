@@ -82,3 +82,9 @@ def save_valid(projects: DataFrame, documents: DataFrame) -> DataFrame:
     told = validate(documents).select(F.col("project_id").alias("_p"), "is_valid", F.array_join("errors", "; ").alias("e"))
     rows = as_json(documents).join(told, F.col("project_id") == F.col("_p"))
     return save_documents(projects, rows.select(F.col("project_id").alias("id"), F.when(F.col("is_valid"), F.col("floorplan_data")).alias("floorplan_data"), F.when(~F.col("is_valid"), F.col("e")).alias("error")))
+
+
+def unknown(projects: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, error_code): 404 for each project_id of ``documents`` that is in no project; ``save_valid`` writes none of them."""
+    ids = documents.select(F.col("project_id").alias("id")).distinct()
+    return ids.join(projects.select(F.col("id").alias("_p")), F.col("id").eqNullSafe(F.col("_p")), "left_anti").select("id", F.lit(404).alias("error_code"))

@@ -19,56 +19,69 @@ REQUIRED = {
     "stairs": ("id", "polygon"), "dimensions": ("id", "start", "end", "value"), "furniture": ("id", "furniture_type", "position"),
 }
 # Fields that may be absent but not null, as they have a default.
-NEVER_NULL = ("source", "metadata", "wall_type", "rotation", "extra")
-KINDS = {"string": "text", "double": "a number", "int": "a whole number", "array": "a list", "struct": "an object", "map": "an object"}
+NEVER_NULL = ("units", *COLLECTIONS, "source", "metadata", "wall_type", "rotation", "extra")
+# What a value's type, as ``schema_of_variant`` names it, must look like, and what else it is called.
+FITS = {"string": ("^STRING$", "text"), "double": ("^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "a number"), "int": ("^BIGINT$", "a whole number"), "array": ("^ARRAY", "a list"), "struct": ("^OBJECT", "an object"), "map": ("^OBJECT", "an object")}
 
 
-def _is(kind: str, shape: Column) -> Column:
-    """Whether the type of a value, as ``schema_of_variant`` names it, fits."""
-    fits = {"string": shape == "STRING", "double": F.rlike(shape, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), "int": shape == "BIGINT", "array": shape.startswith("ARRAY"), "struct": shape.startswith("OBJECT"), "map": shape.startswith("OBJECT")}
-    return fits[kind]
+def _fields(t: T.StructType, needed: tuple, above: str = "") -> list[str]:
+    """What each field of a struct, and of the structs in it, must be, as SQL structs; inner fields count only where the outer one is an object."""
+    out = []
+    for f in t.fields:
+        kind = f.dataType.simpleString().split("<")[0]
+        fits, noun = FITS[kind]
+        required, nullable = f.name in needed, f.name not in (*needed, *NEVER_NULL)
+        out.append(f"struct('{above}{f.name}' AS name, '{above.removesuffix('.')}' AS above, '{fits}' AS fits, '{noun}' AS noun, {required} AS required, {nullable} AS nullable)")
+        if kind == "struct":
+            out += _fields(f.dataType, ("x", "y"), f"{above}{f.name}.")
+    return out
 
 
-def _kind(t: T.DataType) -> str:
-    return t.simpleString().split("<")[0]
+def _told(shape: str, loc: str, fits: str, noun: str, required: str, nullable: str) -> str:
+    """One error or null, by the type of a value; null for a value that is missing."""
+    return f"CASE WHEN {shape} IS NULL THEN IF({required}, {loc} || ': missing', NULL) WHEN {shape} = 'VOID' THEN IF({nullable}, NULL, {loc} || ': null') WHEN NOT {shape} RLIKE {fits} THEN {loc} || ': not ' || {noun} END"
 
 
-def _at(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+def _shape(value: str, path: str) -> str:
+    return f"schema_of_variant(try_variant_get({value}, {path}, 'variant'))"
 
 
-def _told(value: Column, loc: Column, kind: str, required: bool, nullable: bool) -> Column:
-    """One error at most, as an array: missing, null or not of its type."""
-    none = F.array().cast("array<string>")
-    say = lambda what: F.array(F.concat(loc, F.lit(f": {what}")))
-    absent = say("missing") if required else none
-    empty = none if nullable else say("null")
-    return F.when(value.isNull(), absent).when(F.is_variant_null(value), empty).when(_is(kind, F.schema_of_variant(value)), none).otherwise(say(f"not {KINDS[kind]}"))
+def _object(value: str, loc: str, fields: list[str]) -> str:
+    """The errors of the fields of an object."""
+    own = _told("s", f"{loc} || '.' || f.name", "f.fits", "f.noun", "f.required", "f.nullable").replace("'' || '.' || ", "")
+    counts = f"f.above = '' OR coalesce({_shape(value, chr(39) + '$.' + chr(39) + ' || f.above')} LIKE 'OBJECT%', false)"
+    shape = _shape(value, "'$.' || f.name")
+    return f"filter(transform(array({', '.join(fields)}), f -> IF({counts}, transform(array({shape}), s -> {own})[0], NULL)), e -> e IS NOT NULL)"
 
 
-def _errors(value: Column, loc: Column, t: T.DataType, required: bool, nullable: bool, needed=()) -> Column:
-    """The errors of a value and, where it has its type, of what it holds."""
-    kind = _kind(t)
-    own = _told(value, loc, kind, required, nullable)
-    if kind == "struct":
-        inner = [_errors(_at(value, f.name), F.concat(loc, F.lit(f".{f.name}")), f.dataType, f.name in needed or f.name in ("x", "y"), f.name not in (*needed, *NEVER_NULL, "x", "y")) for f in t.fields]
-        return F.when(F.size(own) > 0, own).when(value.isNull() | F.is_variant_null(value), own).otherwise(F.concat(*inner))
-    if kind == "array":
-        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-        each = F.transform(items, lambda e, i: _errors(e, F.concat(loc, F.lit("."), i.cast("string")), t.elementType, True, False, needed))
-        return F.when(F.size(own) > 0, own).otherwise(F.flatten(each))
-    return own
+def _items(value: str, path: str) -> str:
+    return f"coalesce(try_variant_get({value}, '$.{path}', 'array<variant>'), cast(array() AS array<variant>))"
 
 
-def shape_errors(document: Column) -> Column:
-    """The errors of a document (VARIANT) against the declared types: paths with what is wrong, in the order of the fields."""
-    parts = []
-    for f in T.StructType.fromDDL(DDL).fields:
+def _list(value: str, path: str, loc: str, item, k: str) -> str:
+    """The errors of the objects of a list; one that is no object has that error alone."""
+    here = f"{loc} || cast({k}i AS string)"
+    own = f"IF(schema_of_variant({k}) LIKE 'OBJECT%', {item(k, here)}, array({here} || IF(schema_of_variant({k}) = 'VOID', ': null', ': not an object')))"
+    return f"flatten(transform({_items(value, path)}, ({k}, {k}i) -> {own}))"
+
+
+def shape_errors(document: str) -> Column:
+    """The errors of a document (a VARIANT column) against the declared types: paths with what is wrong, lists after the plain fields."""
+    whole = T.StructType.fromDDL(DDL)
+    parts = [_object(document, "''", _fields(whole, ("project_id",)))]
+    for f in whole.fields:
         if f.name in COLLECTIONS:
-            parts.append(_errors(_at(document, f.name), F.lit(f.name), f.dataType, False, False, REQUIRED[f.name]))
-        else:
-            parts.append(_errors(_at(document, f.name), F.lit(f.name), f.dataType, f.name == "project_id", False))
-    return F.concat(*parts)
+            element = f.dataType.elementType
+
+            def item(e, loc, element=element, needed=REQUIRED[f.name]):
+                own = _object(e, loc, _fields(element, needed))
+                if "polygon" not in element.names:
+                    return own
+                corner = _fields(element["polygon"].dataType.elementType, ("x", "y"))
+                return f"concat({own}, {_list(e, 'polygon', loc + ' || ' + chr(39) + '.polygon.' + chr(39), lambda p, at: _object(p, at, corner), 'p')})"
+
+            parts.append(_list(document, f.name, f"'{f.name}.'", item, "e"))
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -80,7 +93,7 @@ def checked(rows: DataFrame) -> DataFrame:
         raise ValueError(f"columns exist already: {sorted(taken)}")
     v = F.try_parse_json("floorplan_data")
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    out = rows.withColumn("_v", v).withColumn("_s", F.when(is_object, shape_errors(F.col("_v"))).otherwise(F.array(F.lit("document: not an object"))))
+    out = rows.withColumn("_v", v).withColumn("_s", F.when(is_object, shape_errors("_v")).otherwise(F.array(F.lit("document: not an object"))))
     typed = out.withColumn("_d", F.when(F.size("_s") == 0, F.from_json("floorplan_data", DDL)))
     wide = typed.select(*rows.columns, "_s", "_d", *[F.col("_d")[n].alias(n) for n in fields])
     value = F.when(F.size("_f") > 0, F.col("_f")).otherwise(structural_errors())
