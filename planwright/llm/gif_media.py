@@ -153,6 +153,9 @@ def gif_of(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DE
     return b"".join(parts) + b"\x3b"
 
 
+EXPANSION = 4096  # samples that a byte of codes stands for at most, generously
+
+
 def frames_of(data: bytes):
     """(frame fields, indices' rectangle as RGB array) of each image, as played."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
@@ -184,7 +187,7 @@ def frames_of(data: bytes):
     shared = palette(flags) if flags & 0x80 else None
     back = shared[ground] if shared is not None else np.zeros(3, np.uint8)
     screen = np.broadcast_to(back, (H, W, 3)).copy()
-    disposal = delay = 0
+    disposal = delay = drawn_so_far = 0
     clear = -1
     while at < len(data):
         kind = data[at]
@@ -203,6 +206,9 @@ def frames_of(data: bytes):
                 raise ValueError("cut off in an image")
             left, top, w, h, bits = word(at), word(at + 2), word(at + 4), word(at + 6), data[at + 8]
             at += 9
+            drawn_so_far += w * h
+            if w * h > PIXELS or drawn_so_far > PIXELS + EXPANSION * len(data):
+                raise ValueError(f"image of over {PIXELS} pixels, or images of more than their codes can hold")
             colours = palette(bits) if bits & 0x80 else shared
             least = data[at] if at < len(data) else 0
             at += 1

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -45,7 +45,9 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 SCOPE = set("table td th caption button object html body".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+NAME_ENDS = re.compile(r"[\s/>]")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\r\n\f]+")
@@ -61,6 +63,53 @@ class Node:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /") else {}
 
 
+def positions(pattern: re.Pattern, page: str) -> list[int]:
+    return [m.start() for m in pattern.finditer(page)]
+
+
+def tokens(page: str):
+    """Comments and tags as (start, end, slash, name, attributes); name is None for comments and the like.  Send a place to go on from there.
+
+    A tag ends at the first ``>`` outside quotes.  Scans step from one ``>`` or quote to the next, and a step from
+    which no end was found is never tried again, so the time is linear in the page, tags or not."""
+    names, special = positions(NAME_ENDS, page), positions(SPECIAL, page)
+    pair, later = [len(special)] * len(special), {}
+    for k in range(len(special) - 1, -1, -1):
+        pair[k] = later.get(page[special[k]], len(special))
+        later[page[special[k]]] = k
+    hopeless = set()
+
+    def ends(at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 without one."""
+        k, way = bisect_left(special, at), []
+        while k < len(special) and k not in hopeless:
+            if page[special[k]] == ">":
+                return special[k]
+            way.append(k)
+            k = pair[k] + 1
+        hopeless.update(way)
+        return -1
+
+    at = 0
+    while m := OPENS.search(page, at):
+        at = start = m.start()
+        if page[start + 1] in "!?":
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            stop = page.find(mark, start + (4 if mark == "-->" else 2))
+            at = len(page) if stop < 0 else stop + len(mark)
+            at = (yield start, at, "", None, "") or at
+            continue
+        slash = page[start + 1] == "/"
+        k = bisect_left(names, start + 1 + slash)
+        after = names[k] if k < len(names) else len(page)
+        stop = ends(after)
+        if stop < 0:
+            at = start + 1
+            continue
+        at = stop + 1
+        at = (yield start, at, "/" * slash, page[start + 1 + slash : after], page[after:stop]) or at
+
+
 def parse(page: str) -> Node:
     root = Node("#root")
     stack, at, low = [root], 0, None
@@ -87,13 +136,19 @@ def parse(page: str) -> Node:
         if found:
             cut_to(min(found))
 
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    found, jump = tokens(page), None
+    while True:
+        try:
+            start, stop, slash, name, attrs = found.send(jump)
+        except StopIteration:
+            break
+        jump = None
+        text(page[at:start])
+        at = stop
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             i = nearest((tag,))
             # An end tag inside a cell closes nothing outside of it.
             if i and (tag in ("tr", "table", "tbody", "thead", "tfoot", "body", "html") or i >= nearest(("td", "th", "table"))):
@@ -107,7 +162,7 @@ def parse(page: str) -> Node:
             cut_to(len(stack) - 1)
         if stack[-1].tag == "head" and tag not in HIDDEN:
             cut_to(len(stack) - 1)
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].kids.append(node)
         if tag in RAW:
             low = low if low is not None else page.lower()  # same length for ASCII; else found again below
@@ -118,8 +173,8 @@ def parse(page: str) -> Node:
             elif tag == "xmp":
                 node.kids.append(page[at:stop])
             close = page.find(">", stop)
-            at = len(page) if close < 0 else close + 1
-        elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK:
+            at = jump = len(page) if close < 0 else close + 1
+        elif tag not in VOID and not attrs.endswith("/") or tag in BLOCK:
             if tag not in VOID:
                 places[tag].append(len(stack))
                 stack.append(node)

@@ -28,8 +28,8 @@ No candidate is dropped or capped, so no link between components is lost.  Links
 out and numbers of links do not.  Sets travel once a block, never once a pair.
 
 Edge cases: null and empty texts and those without words have the empty set and link with nothing; fewer
-than five words are one shingle; repeated rows are one class; null ids stand as the lowest id in
-comparisons and come back as null; an empty table gives an empty result; other columns are not looked at.
+than five words are one shingle; repeated rows are one class; rows with a null id link like others and come
+back with the least id of their component that is not null (null only if it has none); an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -403,13 +403,13 @@ def group_components(held: DataFrame) -> DataFrame:
 def placed(df: DataFrame) -> DataFrame:
     """(doc_id, mark, n, node, first, component) of every row of ``df`` (doc_id, text).
 
-    ``first`` is the least id of the row's component; ``component`` names it by one of its classes, so that
+    ``first`` is the least id of the row's component that is not null; ``component`` names it by one of its classes, so that
     components with equal least ids stay apart.  Rows without a set have neither."""
     rows = cut(sets(df))
     key = F.coalesce("doc_id", F.lit(LOWEST))
     # The least of the equal rows of a class stands for it.
-    classes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(key.alias("k"), "mark")).alias("row"), F.first("n").alias("n"))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "node", "n", F.col("row.k").alias("least"), "row.mark"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(key.alias("k"), "mark")).alias("row"), F.first("n").alias("n"), F.min("doc_id").alias("low"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "node", "n", F.col("row.k").alias("least"), "row.mark", "low"))
     name = classes.select("id", F.col("node").alias("c"))
     wide = rows.where("prefix is not null").join(name, F.col("node") == F.col("c")).dropDuplicates(["node"])
     over = Window.partitionBy("key")
@@ -433,17 +433,17 @@ def placed(df: DataFrame) -> DataFrame:
     again = df.join(small(member.select("least", "m"), LOOKUP), same, "left_semi")
     held = whole_sets(again).join(member, F.col("node") == F.col("c")).dropDuplicates(["node"]).select("id", "n", "group", "size", "shingles")
     joined = group_components(held).withColumnRenamed("node", "x")
-    least = joined.join(classes.select("id", "least"), F.col("x") == F.col("id")).select("x", "component", "least")
-    first = least.groupBy("component").agg(F.min("least").alias("first")).withColumnRenamed("component", "fc")
+    least = joined.join(classes.select("id", "low"), F.col("x") == F.col("id")).select("x", "component", "low")
+    first = least.groupBy("component").agg(F.min("low").alias("first")).withColumnRenamed("component", "fc")
     least = cut(least.join(first, F.col("component") == F.col("fc")).select("x", "component", "first"))
     full = classes.join(least, F.col("id") == F.col("x"), "left")
-    full = full.select(F.col("node").alias("o"), F.coalesce("first", "least").alias("first"), F.coalesce("component", "id").alias("component"))
+    full = full.select(F.col("node").alias("o"), F.coalesce("first", "low").alias("first"), F.coalesce("component", "id").alias("component"))
     return rows.select("doc_id", "mark", "n", "node").join(full, F.col("node") == F.col("o"), "left").drop("o")
 
 
 def linked(df: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``df`` (doc_id, text)."""
-    first = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("first"), F.lit(LOWEST)))
+    first = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first"))
     return placed(df).select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"))
 
 
@@ -479,13 +479,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+t AS (SELECT k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM d),
+s AS (SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM t),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) AS nx, any_value(b.n) AS ny FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT k, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS i, any_value(a.n) AS nx, any_value(b.n) AS ny FROM e a JOIN e b USING (g) WHERE a.k < b.k GROUP BY 1, 2),
 l AS (SELECT x, y FROM p WHERE 100 * i >= 80 * (nx + ny - i)),
-k AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
-r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT k.y, r.m FROM r JOIN k ON k.x = r.v)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(r.m) FROM r WHERE r.v = s.doc_id) AS component_id FROM s
+b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT k AS v, k AS m FROM d UNION SELECT b.y, r.m FROM r JOIN b ON b.x = r.v),
+c AS (SELECT r.v, min(d.doc_id) AS least FROM r JOIN d ON d.k = r.m GROUP BY r.v)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.least AS component_id FROM s JOIN c ON c.v = s.k
 """

@@ -56,6 +56,43 @@ def test_query_equals_sql(spark, name):
     compare(spark, name, QUERIES[name], ORACLES[name], SF)
 
 
+@pytest.mark.parametrize("name", ["op2_spot_signatures", "op3_ngram_join", "op4_source_mix", "op9_secret_scan"])
+def test_edge_rows_equal_sql(spark, folder, name):
+    compare(spark, name, QUERIES[name], ORACLES[name], folder)
+
+
+def test_null_ids_keep_components_apart(spark):
+    other = " ".join(WORDS[:80])
+    df = spark.createDataFrame([(None, BASE), (5, BASE + " x"), (None, other), (6, other), (None, "alone in the world with no id")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.linked(df).collect())
+    assert got == [("5", "5"), ("6", "6"), ("None", "5"), ("None", "6"), ("None", "None")]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="x ', "<a b='x ", "<a b=\"'", "<", "<a\"", "<!-", '<a b="x">', "</a", "<a<a\" "])
+def test_html_of_hostile_tags_takes_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    start = time.time()
+    html_text.parse(page)
+    assert time.time() - start < 20
+
+
+def test_html_tags_end_outside_quotes():
+    names = [(t[2], t[3], t[4]) for t in html_text.tokens("a<p x='>' y=\"'>\">b</P >< <1> <!-- <i> --><br/><q z='")]
+    assert names == [("", "p", " x='>' y=\"'>\""), ("/", "P", " "), ("", None, ""), ("", "br", "/")]
+    assert html_text.render("x < y <a b='c <i>z</i>") == "x < y <a b='c z"
+
+
+def test_gif_of_an_absurd_image_is_an_error(spark):
+    bomb = b"GIF89a\x01\0\x01\0\x80\0\0" + bytes(6) + b"\x2c\0\0\0\0\xff\xff\xff\xff\0\x02\0\x3b"
+    many = bomb[:19] + (b"\x2c\0\0\0\0\xff\xff\xff\x03\0\x02\0") * 40
+    for gif in (bomb, many):
+        with pytest.raises(ValueError, match="pixels"):
+            list(gif_media.frames_of(gif))
+    assert "pixels" in gif_media.decode(spark.createDataFrame([(1, bytearray(bomb))], "id int, media binary")).first().error
+
+
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "op8_html_text"))
 def test_edge_rows_and_empty_tables(spark, folder, tmp_path, name):
     n = QUERIES[name](spark, folder).count()
