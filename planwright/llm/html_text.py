@@ -45,7 +45,8 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 SCOPE = set("table td th caption button object html body".split())
-OPENS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+#: Where a token begins; a tag of usual size is read at once, with bounds on all of its parts.
+OPENS = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9-]{0,30}+(?=[\s/>]))((?:[^>\"']{0,200}+(?:\"[^\"]{0,500}+\"|'[^']{0,500}+')?+){0,8}+)>|/?[a-zA-Z]|[!?])")
 NAME_ENDS = re.compile(r"[\s/>]")
 SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -72,13 +73,17 @@ def tokens(page: str):
 
     A tag ends at the first ``>`` outside quotes.  Scans step from one ``>`` or quote to the next, and a step from
     which no end was found is never tried again, so the time is linear in the page, tags or not."""
-    names, special = positions(NAME_ENDS, page), positions(SPECIAL, page)
-    pair, later = [len(special)] * len(special), {}
-    for k in range(len(special) - 1, -1, -1):
-        pair[k] = later.get(page[special[k]], len(special))
-        later[page[special[k]]] = k
+    names = special = pair = None
     hopeless = set()
 
+    def prepare():
+        nonlocal names, special, pair
+        names, special = positions(NAME_ENDS, page), positions(SPECIAL, page)
+        pair, later = [len(special)] * len(special), {}
+        for k in range(len(special) - 1, -1, -1):
+            pair[k] = later.get(page[special[k]], len(special))
+            later[page[special[k]]] = k
+
     def ends(at: int) -> int:
         """The place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 without one."""
         k, way = bisect_left(special, at), []
@@ -93,12 +98,18 @@ def tokens(page: str):
     at = 0
     while m := OPENS.search(page, at):
         at = start = m.start()
+        if m[2]:
+            at = m.end()
+            at = (yield start, at, m[1], m[2], m[3]) or at
+            continue
         if page[start + 1] in "!?":
             mark = "-->" if page.startswith("<!--", start) else ">"
             stop = page.find(mark, start + (4 if mark == "-->" else 2))
             at = len(page) if stop < 0 else stop + len(mark)
             at = (yield start, at, "", None, "") or at
             continue
+        if names is None:
+            prepare()
         slash = page[start + 1] == "/"
         k = bisect_left(names, start + 1 + slash)
         after = names[k] if k < len(names) else len(page)

@@ -81,6 +81,8 @@ def test_html_of_hostile_tags_takes_linear_time(piece):
 def test_html_tags_end_outside_quotes():
     names = [(t[2], t[3], t[4]) for t in html_text.tokens("a<p x='>' y=\"'>\">b</P >< <1> <!-- <i> --><br/><q z='")]
     assert names == [("", "p", " x='>' y=\"'>\""), ("/", "P", " "), ("", None, ""), ("", "br", "/")]
+    long = f"<a x='{'>' * 900}'{' b' * 300}><b{'c' * 40}>"  # beyond the bounds of the quick way
+    assert [(t[3], len(t[4])) for t in html_text.tokens(long)] == [("a", 1505), ("b" + "c" * 40, 0)]
     assert html_text.render("x < y <a b='c <i>z</i>") == "x < y <a b='c z"
 
 
