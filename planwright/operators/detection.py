@@ -17,10 +17,10 @@ from .documents import assemble
 THINNEST = 2.5
 STAIR_CONFIDENCE = 0.5
 LEAST_SIDE = 800
+LOW_RESOLUTION = "The image is smaller than detection needs; at this resolution confidences are less to be trusted."
 # Fixed values of documents.
 VERSION = "phase2-tier2-v1"
 MATCHED, FALLBACK = "ocr_dimension_match", "fallback_default_assumption"
-LOW_RESOLUTION = "Source image was below the minimum usable resolution and was upscaled; detection confidence may be reduced."
 
 
 def oriented(raw: DataFrame) -> DataFrame:
