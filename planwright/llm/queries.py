@@ -1,9 +1,8 @@
 """The queries of this subpackage and their DuckDB SQL.
 
-Operators without SQL here (media, tokens, repeats, classifiers, extraction, the pipeline) are held
-against brute force, exact round trips or held-out accuracy in the tests."""
-
-import corpus_pipeline
+Operators without SQL here (media, tokens, repeats, classifiers, extraction, SimHash) are held against
+brute force, exact round trips or held-out accuracy in the tests.  The pipeline of five of them is in
+``corpus_pipeline.py``, which the driver's contract registers beside these."""
 
 from . import filter_audit, gif_media, html_text, mixing, ngram_join, pieces, quality, repeats, secret_scan, simhash, spelling, spot_signatures, toxicity
 
@@ -21,7 +20,6 @@ QUERIES = {
     "op11_filter_audit": filter_audit.op11,
     "op12_simhash": simhash.op12,
     "op13_spelling": spelling.op13,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -32,5 +30,3 @@ ORACLES = {
     "op11_filter_audit": filter_audit.OP11_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
