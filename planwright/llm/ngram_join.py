@@ -452,7 +452,7 @@ def distinct_documents(df: DataFrame) -> DataFrame:
 
     A row is known by its id and the hash of its text, so rows of one id with different texts go their own
     ways.  Of equal rows the least in its other columns stays.  Rows without a set are components of their
-    own and all stay.  The texts are shuffled only where more than LOOKUP rows go, and then once, and once
+    own and all stay.  Other columns may have any name: rows are carried as one struct.  The texts are shuffled only where more than LOOKUP rows go, and then once, and once
     more where as many rows of a least id differ in text."""
     own = [F.col(f"`{c}`") for c in df.columns]
     rows = cut(placed(df.select("doc_id", "text")).where("node is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("times")))
@@ -461,17 +461,17 @@ def distinct_documents(df: DataFrame) -> DataFrame:
     could = F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
     rows = cut(rows.join(many, F.col("component") == F.col("c")).select("component", F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "times", could.alias("could")))
     same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m"))
-    marked = df.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": mark()})
+    marked = df.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("_id"), mark().alias("_mark"), text_or_empty().alias("_t"))
     # Where rows of the least id differ in text, the texts decide.
     tied = rows.where("could").groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     tied = small(cut(rows.where("could").join(tied, "component", "left_semi").select("component", "_d", "_m")), LOOKUP)
-    texts = marked.select("_id", "_mark", text_or_empty().alias("_t")).join(tied, same)
+    texts = marked.select("_id", "_mark", "_t").join(tied, same)
     won = texts.groupBy("component").agg(F.min(F.struct("_t", "_mark")).alias("w")).select(F.col("component").alias("c"), F.col("w._mark").alias("won"))
     rows = rows.join(cut(won), F.col("component") == F.col("c"), "left").withColumn("stays", F.col("could") & F.coalesce(F.col("_m") == F.col("won"), F.lit(True)))
     told = small(cut(rows.where("not stays or times > 1").select("_d", "_m", F.col("stays").alias("_again"))), LOOKUP)
-    marked = marked.join(told, same, "left")
-    again = marked.where("_again").groupBy("_id", "_mark").agg(F.min_by(F.struct(*own), F.to_json(F.struct(*own))).alias("row")).select("row.*")
-    return marked.where("_again is null").select(*own).unionByName(again)
+    marked = marked.select("_row", "_id", "_mark").join(told, same, "left")
+    again = marked.where("_again").groupBy("_id", "_mark").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    return marked.where("_again is null").select("_row.*").unionByName(again)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

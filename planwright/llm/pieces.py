@@ -14,7 +14,8 @@ that is checked on probes when a task loads it.
 
 Scale: a map without a shuffle; texts come in Arrow batches and are worked on in slices of bounded size.
 Edge cases: null text is empty and has the begin and end ids only; an empty table gives an empty
-result; repeated rows have equal results; ``out`` columns that exist already are an error.
+result; repeated rows have equal results; result columns that exist already are an error, other
+columns may have any name without a dot, which ``mapInArrow`` does not take.
 """
 
 from __future__ import annotations
@@ -100,9 +101,12 @@ def sliced(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _over_texts(df: DataFrame, work, schema: str) -> DataFrame:
-    """``work(chunks, texts)`` gives columns; the other columns of ``df`` follow them."""
-    others = [c for c in df.columns if c != "_text"]
+def _over_texts(df: DataFrame, text: str, work, schema: str) -> DataFrame:
+    """The columns of ``df``, then those that ``work(chunks, texts)`` gives."""
+    others, held = df.columns, "_text"
+    while held in others:
+        held = f"_{held}"
+    df = df.withColumn(held, text_or_empty(text))
     names = [f.split()[0] for f in schema.split(",")]
     if clash := set(names) & set(others):
         raise ValueError(f"columns exist already: {sorted(clash)}")
@@ -112,13 +116,13 @@ def _over_texts(df: DataFrame, work, schema: str) -> DataFrame:
     def run(batches):
         chunks = None
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text"))
+            texts = b.column(b.schema.get_field_index(held))
             for lo, hi in sliced(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 chunks = chunks or work[0]()
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(b.schema.get_field_index(c)) for c in others] + work[1](chunks, texts.slice(lo, hi - lo).to_pylist()), names=others + names)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != held)
     return df.mapInArrow(run, ", ".join(x for x in (kept, schema) if x))
 
 
@@ -131,7 +135,7 @@ def encode(df: DataFrame, model: str = MODEL, text: str = "text", ids: str = "id
         flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(chunks.decode(raw), pa.string())]
 
-    return _over_texts(df.withColumn("_text", text_or_empty(text)), (lambda: Chunks(model), columns), f"{ids} array<int>, {decoded} string")
+    return _over_texts(df, text, (lambda: Chunks(model), columns), f"{ids} array<int>, {decoded} string")
 
 
 def digests(df: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
@@ -142,7 +146,7 @@ def digests(df: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([sha(r) for r in raw]), pa.array([sha(t.encode()) for t in chunks.decode(raw)])]
 
-    return _over_texts(df.withColumn("_text", text_or_empty(text)), (lambda: Chunks(model), columns), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _over_texts(df, text, (lambda: Chunks(model), columns), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,7 @@ RULES = BASE + MORE
 #: Character classes of up to so many characters are spelt out in a query.
 SPELL = 6
 CHUNK = 128
+PIECE = 256
 
 
 def trigram_query(regex: str) -> list[frozenset[str]] | None:
@@ -174,18 +175,28 @@ def shown(spans: Column, rules=RULES) -> Column:
 
 
 def redact(df: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
-    """``df`` with every span's characters replaced: overlapping spans by one mask; n_chars follows."""
+    """``df`` with every span's characters replaced: overlapping spans by one mask; n_chars follows.
+
+    Kept text is cut out of blocks of PIECE code points, so that a text of any length is walked through once."""
     if clash := {"_spans", "_new"} & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     scanned = scan(df.withColumn("text", text_or_empty()), rules, "_spans")
-    def masked(reach):
+
+    def masked(reach, blocks):
         # A span that starts behind all before it closes a piece of kept text.
         before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
         first = F.filter(F.zip_with("_spans", before, lambda x, b: F.struct(x["start"].alias("start"), b.alias("b"))), lambda x: x["start"] >= x["b"])
-        kept = F.transform(first, lambda x: F.concat(F.substring(F.col("text"), x["b"] + 1, x["start"] - x["b"]), F.lit(mask)))
+
+        def piece(b, end):
+            held = F.array_join(F.slice(blocks, F.floor(b / PIECE).cast("int") + 1, F.floor(end / PIECE).cast("int") - F.floor(b / PIECE).cast("int") + 1), "")
+            return F.substring(held, b % PIECE + 1, end - b)
+
+        kept = F.transform(first, lambda x: F.concat(piece(x["b"], x["start"]), F.lit(mask)))
         return F.concat(F.array_join(kept, ""), F.substring(F.col("text"), F.array_max(reach) + 1, F.length("text")))
 
-    done = bound(running(F.transform("_spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), masked)
+    reaches = running(F.transform("_spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = bound(F.struct(reaches.alias("r"), pieces.alias("p")), lambda x: bound(x["r"], lambda r: bound(x["p"], lambda p: masked(r, p))))
     out = scanned.withColumn("_new", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
     again = {"text": F.col("_new")} | ({"n_chars": F.when(F.size("_spans") > 0, F.char_length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in df.columns else {})
     return out.withColumns(again).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -389,3 +390,28 @@ def test_sum_of_squares_equals_the_double_sum():
 def test_gif_of_an_absurd_size_is_an_error():
     with pytest.raises(ValueError, match="pixels"):
         list(gif_media.frames_of(b"GIF89a\xff\xff\xff\xff\0\0\0"))
+
+
+def test_masks_of_one_long_text_are_linear(spark):
+    """Four times the matches in under three times the time, start of the jobs included; looking for every piece from the text's start took over seven times."""
+    took = []
+    for n in (8_000, 8_000, 32_000):  # the first compiles
+        t = "".join(f"é😀 k{k} token={'b' * 9}{k} " + ("\n" if k % 7 else "x" * 300) for k in range(n))
+        start = time.time()
+        masked = secret_scan.redact(spark.createDataFrame([(1, t)], "doc_id long, text string"), "#").first().text
+        took.append(time.time() - start)
+        assert masked == re.sub(r"token=[a-z0-9]+", "#", t)
+    assert took[2] < 3 * took[1], took
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_id", "_mark", "_again", "_t", "_row", "_text", "a.b"]
+    rows = [(k, BASE + ("" if k < 3 else " " + " ".join(WORDS[:150])), *[k * 100 + j for j in range(len(names))]) for k in (1, 2, 3)] + [(1, BASE, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    got = ngram_join.distinct_documents(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted([rows[3], rows[2]])
+    df, rows = df.drop("a.b"), {r[:-1] for r in rows}  # mapInArrow takes no names with dots
+    coded = pieces.encode(df)
+    assert coded.columns == [*df.columns, "ids", "decoded"]
+    assert {tuple(r)[: len(df.columns)] for r in coded.collect()} == rows and all(r.decoded == r.text for r in coded.collect())
