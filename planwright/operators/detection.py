@@ -133,7 +133,7 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     across = lambda h, v: F.when(flat, F.col(h)).otherwise(F.col(v))
     box = geometry.rectangle(across("a0", "p0"), across("p0", "a0"), across("a1", "p1"), across("p1", "a1"))
     parts |= element(numbered(stairs.withColumn("confidence", F.lit(STAIR_CONFIDENCE)), "stair", "id", "orient", "flight"), "stairs", ring(box).alias("polygon"), null("int", "step_count"), null("string", "direction"))
-    parts |= element(numbered(dims.where("value is not null").drop("ord"), "dim", "id", "y1", "x1", "label"), "dimensions", *span, F.col("value"), F.col("label"))
+    parts |= element(numbered(dims.where("value is not null"), "dim", "id", "y1", "x1", "label", "ord"), "dimensions", *span, F.col("value"), F.col("label"))
 
     documents = assemble(plans.select(F.col("plan_id").cast("string").alias("project_id"), F.lit("feet").alias("units")), parts)
     return documents.join(metadata(plans, scale, backend), "project_id")

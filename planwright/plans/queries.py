@@ -66,6 +66,16 @@ TEXTS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 19 = 0 THEN '[1]' WHE
   || CASE o_orderkey % 7 WHEN 0 THEN ',"rooms":null' WHEN 1 THEN ',"rooms":7' ELSE '' END || ',"walls":[{{"id":"w1","start":{{"x":1,"y":' || CASE o_custkey % 6 WHEN 0 THEN '"3"' WHEN 1 THEN 'null' ELSE '2.5' END || '}},"end":{{"x":4,"y":2}},"thickness":null}}]'
   || ',"doors":[{{"id":"d1","wall_id":"w1","position":0.5' || CASE o_custkey % 4 WHEN 0 THEN ',"width":null' WHEN 1 THEN ',"width":"3"' WHEN 2 THEN '' ELSE ',"width":3' END || '}}]}}' END AS floorplan_data FROM {orders}"""
 
+# Whole drawings: each part is a plan of walls, leaves off the axes and treads twelve pixels apart, with words and one outline.
+DRAWINGS = "SELECT p_partkey AS plan_id, p_name AS image, CAST(500 + p_partkey % 600 AS INT) AS width, CAST(900 - p_size AS INT) AS height FROM {part}"
+DRAWN = f"""SELECT plan_id, seg_id, thickness, src, CASE WHEN orient = 'h' THEN a0 ELSE perp END AS x1, CASE WHEN orient = 'h' THEN perp ELSE a0 END AS y1,
+  CASE WHEN leaf THEN CASE WHEN orient = 'h' THEN a0 ELSE perp END + 20 WHEN orient = 'h' THEN a1 ELSE perp END AS x2, CASE WHEN leaf THEN CASE WHEN orient = 'h' THEN perp ELSE a0 END + 20 WHEN orient = 'h' THEN perp ELSE a1 END AS y2
+  FROM (SELECT plan_id, seg_id, thickness, CASE WHEN part_of % 2 = 0 THEN 'detail' ELSE 'wall' END AS src, part_of % 8 = 0 AS leaf, CASE WHEN part_of % 2 = 0 AND part_of % 8 <> 0 THEN 'h' ELSE orient END AS orient,
+    CASE WHEN part_of % 2 = 0 AND part_of % 8 <> 0 THEN 400 + 12 * thickness ELSE perp END AS perp, CASE WHEN part_of % 2 = 0 AND part_of % 8 <> 0 THEN 600 + part_of % 3 ELSE a0 END AS a0, CASE WHEN part_of % 2 = 0 AND part_of % 8 <> 0 THEN 650 + part_of % 9 ELSE a1 END AS a1
+    FROM ({THICK.replace(" AS thickness", " AS thickness, l_orderkey * 10 + l_linenumber AS seg_id, l_suppkey AS part_of")}))"""
+WRITTEN = """SELECT l_partkey AS plan_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_discount) AS ord, CASE l_orderkey % 4 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' ft' WHEN 1 THEN 'Master Bedroom ' || CAST(l_linenumber AS STRING) WHEN 2 THEN 'Kitchen' ELSE 'note' END AS text,
+  CAST((l_orderkey * 7) % 400 AS DOUBLE) AS cx, CAST((l_orderkey * 11 + l_suppkey) % 330 AS DOUBLE) AS cy, CAST((l_orderkey * 7) % 400 - 12 AS DOUBLE) AS min_x, CAST((l_orderkey * 7) % 400 + 12 AS DOUBLE) AS max_x, l_discount * 8 AS confidence FROM {lineitem}"""
+
 
 def _segments(spark, sf_dir):
     return read(spark, sf_dir, SEGMENTS)
@@ -286,6 +296,29 @@ def ring_measures(spark, sf_dir):
     return _rings(spark, sf_dir).select("ring_id", F.round(geometry.area(p), 6).alias("area"), F.round(geometry.perimeter(p), 6).alias("perimeter"), geometry.bounds(p).alias("box")).select("ring_id", "area", "perimeter", "box.*")
 
 
+def detect_document(spark, sf_dir):
+    """Whole detection, its documents laid out by element: the places and sizes of each as v1 to v5, and a row for the document itself."""
+    found = detection.detect(read(spark, sf_dir, DRAWINGS), read(spark, sf_dir, DRAWN), _boxes(spark, sf_dir, PART_ROOMS), read(spark, sf_dir, WRITTEN))
+
+    def row(kind, id_, confidence, what, *v):
+        v = [*v, *[F.lit(None)] * (5 - len(v))]
+        return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), confidence.cast("double").alias("confidence"), what.cast("string").alias("what"), *[x.cast("double").alias(f"v{k}") for k, x in enumerate(v, 1)])
+
+    def rows(kind, what, *values):
+        return F.transform(kind + "s", lambda e: row(kind, e["id"], e["confidence"], what(e), *[f(e) for f in values]))
+
+    ends = [lambda e, a=a, c=c: e[a][c] for a in ("start", "end") for c in ("x", "y")]
+    corners = [lambda e, k=k, c=c: F.get(e["polygon"], F.lit(k))[c] for k in (0, 2) for c in ("x", "y")]
+    on_wall = [lambda e: e["position"], lambda e: e["width"]]
+    place = lambda e: F.concat_ws(" ", e["wall_id"], e["swing"])
+    parts = [
+        rows("room", lambda e: F.concat_ws("/", e["name"], e["room_type"]), *corners), rows("wall", lambda e: e["wall_type"], *ends, lambda e: e["thickness"]),
+        rows("door", place, *on_wall), rows("window", lambda e: e["wall_id"], *on_wall), rows("stair", lambda e: F.lit(None), *corners), rows("dimension", lambda e: e["label"], *ends, lambda e: e["value"]),
+        F.array(row("document", F.col("metadata.extra")["calibration_source"], F.lit(None), F.col("metadata.notes"))),
+    ]
+    return found.select("project_id", F.explode(F.concat(*parts)).alias("x")).select("project_id", "x.*")
+
+
 QUERIES = {
     "wall_runs": lambda spark, sf_dir: segments.wall_runs(_segments(spark, sf_dir)).drop("fixed"),
     "opening_candidates": lambda spark, sf_dir: openings.opening_candidates(_segments(spark, sf_dir)),
@@ -295,7 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (segment_geometry, event_sessions, cluster_1d, exterior_walls, openings_classified, opening_kinds, text_blocks, dimension_parse, room_type_classify, label_in_room, room_measures,
               nearest_line, calibration, room_boundary, room_confidence, duplicate_ids, dangling_refs, project_page, project_patch, doc_roundtrip, doc_summary, range_rules,
-              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures, wall_mask, detail_mask, wall_thickness, suppress_scored, quad_blocks, raw_document_errors)
+              segments_oriented, leaf_middles, plan_skew, ring_bounds, px_to_units, thin_walls, thick_walls, project_names, room_faces, ring_simplify, ring_measures, wall_mask, detail_mask, wall_thickness, suppress_scored, quad_blocks, raw_document_errors, detect_document)
 }
 
 _A = f"""a AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({RAW})), b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM a)"""
@@ -447,3 +480,49 @@ FROM part LEFT JOIN d ON d.plan_id = p_partkey LEFT JOIN x ON x.plan_id = p_part
 p AS (SELECT project_id, CASE WHEN units = 'cubits' THEN 1 ELSE 0 END + coalesce(bad, 0) AS bad, coalesce(again, 0) AS again FROM ({PROJECTS}) LEFT JOIN e USING (project_id))
 SELECT project_id, bad + again = 0 AS is_valid, CAST(CASE WHEN bad > 0 THEN bad ELSE again END AS BIGINT) AS n_errors FROM p""",
 }.items()}
+
+_SEEN = "SELECT plan_id, orient, perp, a0, a1, thickness FROM ori WHERE orient IS NOT NULL AND src = "
+_HALF_UP = "CAST(round(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)"  # of the decimal that is shown
+_UNIT = lambda c: _HALF_UP.replace("{}", f"({c}) / ppu")
+_THICK_W = _O.replace(SEGMENTS, _SEEN + "'wall'").replace("AS votes FROM r GROUP BY ALL", "AS votes, avg(thickness) AS thickness FROM r GROUP BY ALL HAVING avg(thickness) >= 2.5")
+_THICK_W = _THICK_W.replace(LEAVES, "SELECT plan_id, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM ori WHERE orient IS NULL AND src = 'detail'").replace("round(least(1.0::DOUBLE, greatest(", "(least(1.0::DOUBLE, greatest(").replace("(e - s))), 9) AS position", "(e - s)))) AS position")
+_ALONG = "CASE WHEN orient = 'h' THEN {} ELSE {} END"
+_ENDS = [_ALONG.format(h, v) for h, v in (("s", "fixed"), ("fixed", "s"), ("e", "fixed"), ("fixed", "e"))]
+_BOX = [_ALONG.format(h, v) for h, v in (("a0", "p0"), ("p0", "a0"), ("a1", "p1"), ("p1", "a1"))]
+_ROW = lambda kind, n, conf, what, v, rest: f"SELECT plan_id, '{kind}' AS kind, {n} AS id, {conf} AS confidence, {what} AS what, " + ", ".join(f"{x} AS v{k}" for k, x in enumerate([*v, *["NULL::DOUBLE"] * (5 - len(v))], 1)) + f" FROM {rest}"
+_NTH = lambda prefix, order: f"'{prefix}-' || row_number() OVER (PARTITION BY plan_id ORDER BY {order})"
+_STAIRS = ORACLES["stair_clusters"].replace(duck(SEGMENTS), _SEEN + "'detail'")
+_PARTS = " UNION ALL ".join([
+    _ROW("room", _NTH("room", "room_id"), "coalesce(c, 0.7::DOUBLE)", f"concat_ws('/', coalesce(label, 'Unnamed Room'), {_TYPE})", [_UNIT(c) for c in ("x0", "y0", "x1", "y1")], "room LEFT JOIN rc USING (plan_id, room_id) LEFT JOIN named USING (plan_id, room_id) JOIN scale USING (plan_id)"),
+    _ROW("wall", "wall_id", "confidence", "CASE WHEN exterior THEN 'exterior' ELSE 'interior' END", [_UNIT(c) for c in (*_ENDS, "thickness")], "wt JOIN scale USING (plan_id)"),
+    _ROW("door", _NTH("door", "wall_id, position"), "confidence", "concat_ws(' ', wall_id, CASE WHEN swing THEN 'left' END)", [_HALF_UP.replace("{}", "position"), _UNIT("width")], "kept JOIN scale USING (plan_id) WHERE kind = 'door'"),
+    _ROW("window", _NTH("window", "wall_id, position"), "confidence", "wall_id", [_HALF_UP.replace("{}", "position"), _UNIT("width")], "kept JOIN scale USING (plan_id) WHERE kind = 'window'"),
+    _ROW("stair", _NTH("stair", "orient, flight"), "0.5::DOUBLE", "NULL", [_UNIT(c) for c in _BOX], "stair JOIN scale USING (plan_id)"),
+    _ROW("dimension", _NTH("dim", "y1, x1, label, ord"), "confidence", "label", [*[_UNIT(c) for c in ("x1", "y1", "x2", "y2")], "value"], "dim JOIN scale USING (plan_id)"),
+    _ROW("document", "CASE WHEN how = 1 THEN 'ocr_dimension_match' ELSE 'fallback_default_assumption' END", "NULL::DOUBLE", "nullif(concat_ws(' ', CASE how WHEN 2 THEN 'No dimension text matched; scale estimated from the longest exterior wall.' WHEN 3 THEN 'Scale is uncalibrated: coordinates are pixels.' END, "
+         f"CASE WHEN width < 800 OR height < 800 THEN '{detection.LOW_RESOLUTION}' END), '')", [], "plan JOIN scale USING (plan_id)"),
+])
+ORACLES["detect_document"] = duck(f"""WITH RECURSIVE plan AS ({DRAWINGS}), drawn AS (SELECT *, degrees(atan2(y2 - y1, x2 - x1)) AS d FROM ({DRAWN})), tilt AS (SELECT *, CASE WHEN d < 0 THEN d + 180 WHEN d >= 180 THEN d - 180 ELSE d END AS m FROM drawn),
+way AS (SELECT *, CASE WHEN m <= 10 OR m >= 170 THEN 'h' WHEN m BETWEEN 80 AND 100 THEN 'v' END AS orient FROM tilt),
+ori AS MATERIALIZED (SELECT *, CASE orient WHEN 'h' THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS perp, CASE orient WHEN 'h' THEN least(x1, x2) ELSE least(y1, y2) END AS a0, CASE orient WHEN 'h' THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS a1 FROM way),
+{_THICK_W},
+wt AS MATERIALIZED (SELECT walls.* EXCLUDE (wall_id), thickness, {_NTH("wall", "orient, fixed, walls.s")} AS wall_id FROM walls JOIN runs USING (plan_id, orient, grp, run)),
+lines AS (SELECT plan_id, {_NTH("line", "orient, fixed, s")} AS line_id, {", ".join(f"{c} AS {n}" for c, n in zip(_ENDS, ("x1", "y1", "x2", "y2"), strict=True))} FROM (SELECT plan_id, orient, grp, run, min(a0) AS s, max(a1) AS e FROM r GROUP BY ALL HAVING avg(thickness) < 2.5) JOIN fx USING (plan_id, orient, grp)),
+op AS MATERIALIZED (SELECT opening.*, wt.wall_id, row_number() OVER (PARTITION BY plan_id, wall_id ORDER BY position, swing) AS i FROM opening JOIN wt USING (plan_id, orient, grp, run)),
+fold AS (SELECT plan_id, wall_id, i, 1 AS slot, position, swing FROM op WHERE i = 1 UNION ALL
+  SELECT o.plan_id, o.wall_id, o.i, f.slot + CASE WHEN abs(o.position - f.position) < 0.05 THEN 0 ELSE 1 END, CASE WHEN abs(o.position - f.position) < 0.05 AND (f.swing OR NOT o.swing) THEN f.position ELSE o.position END,
+  CASE WHEN abs(o.position - f.position) < 0.05 AND (f.swing OR NOT o.swing) THEN f.swing ELSE o.swing END FROM fold f JOIN op o ON o.plan_id = f.plan_id AND o.wall_id = f.wall_id AND o.i = f.i + 1),
+stay AS (SELECT plan_id, wall_id, arg_max(position, i) AS position, arg_max(swing, i) AS swing FROM fold GROUP BY plan_id, wall_id, slot),
+kept AS (SELECT * FROM op SEMI JOIN stay USING (plan_id, wall_id, position, swing)),
+stair AS ({_STAIRS}),
+told AS (SELECT plan_id, ord, label, cx, cy, max_x - min_x AS wide, confidence, {_VALUE} AS value, {_TYPE} AS type FROM (SELECT * RENAME (text AS label) FROM ({WRITTEN}))),
+span AS (SELECT * FROM told WHERE value IS NOT NULL),
+beside AS (SELECT t.plan_id, t.ord, l.line_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY t.plan_id, t.ord ORDER BY pow((x1 + x2) / 2 - cx, 2) + pow((y1 + y2) / 2 - cy, 2), line_id) AS nth FROM span t JOIN lines l ON l.plan_id = t.plan_id AND pow((x1 + x2) / 2 - cx, 2) + pow((y1 + y2) / 2 - cy, 2) < 1600),
+dim AS MATERIALIZED (SELECT t.plan_id, t.ord, t.label, t.value, line_id, coalesce(x1, cx - greatest(10, wide / 2)) AS x1, coalesce(y1, cy) AS y1, coalesce(x2, cx + greatest(10, wide / 2)) AS x2, coalesce(y2, cy) AS y2,
+  {_HALF_UP.replace("{}", "confidence * CASE WHEN line_id IS NULL THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END")} AS confidence FROM span t LEFT JOIN beside b ON b.plan_id = t.plan_id AND b.ord = t.ord AND b.nth = 1),
+scale AS MATERIALIZED (SELECT plan_id, coalesce(q, CASE WHEN w > 0 THEN w / 30 END, 1.0::DOUBLE) AS ppu, CASE WHEN q IS NOT NULL THEN 1 WHEN w > 0 THEN 2 ELSE 3 END AS how FROM (SELECT plan_id FROM plan)
+  LEFT JOIN (SELECT plan_id, median(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / value) AS q FROM dim WHERE line_id IS NOT NULL AND value > 0 GROUP BY plan_id) USING (plan_id) LEFT JOIN (SELECT plan_id, max(e - s) AS w FROM wt WHERE exterior GROUP BY plan_id) USING (plan_id)),
+{_EDGES.replace("JOIN walls w", "JOIN wt w")},
+rc AS (SELECT plan_id, room_id, floor((2 * sum(CAST(round(confidence * 1000) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000 AS c FROM bound JOIN wt USING (plan_id, wall_id) GROUP BY ALL),
+named AS (SELECT r.plan_id, room_id, arg_min(label, ord) AS label FROM room r JOIN told t ON t.plan_id = r.plan_id AND value IS NULL AND type IS NOT NULL AND cx > x0 AND cx < x1 AND cy > y0 AND cy < y1 GROUP BY ALL)
+SELECT CAST(plan_id AS VARCHAR) AS project_id, kind, id, confidence, what, v1, v2, v3, v4, v5 FROM ({_PARTS})""")
