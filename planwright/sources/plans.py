@@ -32,3 +32,13 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     return files.withColumn("error_code", F.when(~suffix.isin(*UPLOADS), 415).when(F.col("length") > MOST_BYTES, 413))
+
+
+def asked(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """Each row of ``paths`` (path) with what ``uploads`` tells of its file; error_code 404 where there is no such file.
+
+    A path matches with and without the scheme of local files; repeated paths are answered as often as asked."""
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    held = files.select(bare("path").alias("_path"), "modificationTime", "length", "error_code")
+    met = paths.select("path").join(held, bare("path") == F.col("_path"), "left")
+    return met.select("path", "modificationTime", "length", F.when(F.col("_path").isNull(), 404).otherwise(F.col("error_code")).alias("error_code"))

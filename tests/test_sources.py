@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planwright.operators import documents, openings, projects, raw_documents, rooms, validation
-from planwright.sources import uploads
+from planwright.sources import plans, uploads
 from planwright.streaming import status
 
 DOC = {
@@ -190,3 +190,11 @@ def test_documents_of_unknown_projects_are_told(spark):
     docs = documents.from_json(rows)
     assert [(r.id, r.error_code) for r in projects.unknown(p, docs).collect()] == [("Z", 404)]
     assert validation.validate(docs).where("is_valid").count() == 2 and projects.save_valid(p, docs).first().detection_status == "complete"
+
+
+def test_asked_files_that_are_missing_are_told(spark, tmp_path):
+    for name in ("a.png", "b.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    paths = [f"{tmp_path}/a.png", f"file://{tmp_path}/a.png", f"{tmp_path}/b.txt", f"{tmp_path}/c.png", f"{tmp_path}/c.png", None]
+    got = plans.asked(spark.createDataFrame([(p,) for p in paths], "path string"), plans.uploads(spark, str(tmp_path)))
+    assert sorted(((r.path, r.length, r.error_code) for r in got.collect()), key=str) == sorted(zip(paths, (1, 1, 1, None, None, None), (None, None, 415, 404, 404, 404), strict=True), key=str)
