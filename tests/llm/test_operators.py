@@ -218,7 +218,7 @@ def test_components_of_a_chain(spark):
 def test_mix_is_near_its_targets(spark, docs):
     big = docs.unionByName(spark.createDataFrame([(1000 + k, " ".join(WORDS[: k % 50 + 1]), "en", "abcd"[k % 4], 1, "x") for k in range(3000)], docs.schema))
     sized = mixing.sizes(big)
-    plan = {r.source: r for r in mixing.plan_mix(sized).collect()}
+    plan = {r.source: r for r in mixing.plan_mix(sized).collect()}  # targets are those of the source
     got = {r.source: r.n for r in mixing.mix(big).groupBy("source").agg(F.sum(mixing.words(F.coalesce("text", F.lit("")))).alias("n")).collect()}
     for s, r in plan.items():
         assert abs(got.get(s, 0) - r.target) <= max(400, 0.01 * r.target), s
@@ -226,6 +226,23 @@ def test_mix_is_near_its_targets(spark, docs):
     assert mixing.mix(big).groupBy(*big.columns).count().agg(F.max("count")).first()[0] <= 4  # a row twice, repeated rows too
 
 
+def test_mix_takes_longer_documents_more_often(spark):
+    rows = [(k, " ".join(WORDS[: 2 ** (k % 7)]), "ab"[k % 3 == 0]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs, taken = 12, {}
+    for seed in range(runs):
+        for r in mixing.mix(df, seed=seed).groupBy("doc_id").count().collect():
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r["count"]
+    plan = mixing.plan_mix(mixing.sizes(df)).collect()
+    assert all(len({r.p for r in plan if r.source == s}) > 1 for s in "ab")
+    size = {s: {} for s in "ab"}
+    for k, t, s in rows:
+        size[s].setdefault(len(t.split()).bit_length(), []).append(taken.get(k, 0) / runs)
+    for r in plan:
+        assert abs(np.mean(size[r.source][r.preference]) - (r.certain + r.p)) < 0.08, r
+        assert abs(sum(x.p * sum(len(t.split()) for _, t, s in rows if s == x.source and len(t.split()).bit_length() == x.preference) for x in plan if x.source == r.source) - r.rest) < 1e-6
+
+
 def test_pieces_equal_the_library(spark, docs):
     chunks = pieces.Chunks()
     texts = [t or "" for _, t, *_ in ROWS] + ["".join(rng.choice(" ▁ab\té\x00😀") for _ in range(rng.randrange(15))) for _ in range(2000)]
