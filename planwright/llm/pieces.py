@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_batches, text_or_empty
+from .common import documents, text_batches
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -84,9 +84,12 @@ class Chunks:
         return [b"".join((self.first, *map(get, c), self.last)) for c in cut]
 
     def decode(self, ids: list[bytes]) -> Iterator[str]:
-        """The texts one by one, so that the ids of one text at a time are Python numbers."""
+        """The texts one by one, so that the ids of one text at a time are Python numbers; copies are decoded once."""
+        done: dict[bytes, str] = {}
         for i in ids:
-            yield self.sp.decode(np.frombuffer(i, "<u4").tolist())
+            if i not in done:
+                done[i] = self.sp.decode(np.frombuffer(i, "<u4").tolist())
+            yield done[i]
 
 
 def sliced(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -103,10 +106,11 @@ def sliced(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
 
 def _over_texts(df: DataFrame, text: str, work, schema: str) -> DataFrame:
     """The columns of ``df``, then those that ``work(chunks, texts)`` gives."""
-    others, held = df.columns, "_text"
-    while held in others:
-        held = f"_{held}"
-    df = df.withColumn(held, text_or_empty(text))
+    others, held = df.columns, text
+    if dict(df.dtypes).get(text) != "string":  # else the column itself is read: texts go to Python once
+        while held in others:
+            held = f"_{held}"
+        df = df.withColumn(held, F.col(text).cast("string"))
     names = [f.split()[0] for f in schema.split(",")]
     if clash := set(names) & set(others):
         raise ValueError(f"columns exist already: {sorted(clash)}")
@@ -116,13 +120,13 @@ def _over_texts(df: DataFrame, text: str, work, schema: str) -> DataFrame:
     def run(batches):
         chunks = None
         for b in batches:
-            texts = b.column(b.schema.get_field_index(held))
-            for lo, hi in sliced(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+            texts = pc.fill_null(b.column(b.schema.get_field_index(held)), "")
+            for lo, hi in sliced(pc.utf8_length(texts).to_pylist()):
                 chunks = chunks or work[0]()
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(b.schema.get_field_index(c)) for c in others] + work[1](chunks, texts.slice(lo, hi - lo).to_pylist()), names=others + names)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != held)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in others)
     return df.mapInArrow(run, ", ".join(x for x in (kept, schema) if x))
 
 
