@@ -60,15 +60,21 @@ def _element_errors(kind: str):
 
 
 def structural_errors() -> Column:
-    """Repeated ids (each occurrence after the first, in the order of collections) and references to nothing."""
+    """Repeated ids (each occurrence after the first, in the order of collections) and references to nothing.
+
+    Sets (hashed, so linear in a document) tell whether an id repeats and which references lead nowhere; only
+    documents with such errors look for their places, among the ids or references in question."""
     ids = lambda kind: F.transform(F.coalesce(F.col(kind), F.array().cast(ELEMENTS[kind])), lambda e: F.struct(e["id"].alias("id"), F.lit(kind).alias("kind")))
     every = F.concat(*[ids(k) for k in COLLECTIONS])
     names = F.transform(every, lambda x: x["id"])
     again = F.filter(F.transform(every, lambda x, i: F.when(F.array_position(names, x["id"]) <= i, F.concat(F.lit("Duplicate element id '"), x["id"], F.lit("' found in '"), x["kind"], F.lit("'.")))), lambda s: s.isNotNull())
+    again = F.when(F.size(F.array_distinct(names)) < F.size(names), again).otherwise(F.array().cast("array<string>"))
 
     def dangling(kind, label, ref, to):
         known = F.transform(F.coalesce(F.col(to), F.array().cast(ELEMENTS[to])), lambda e: e["id"])
-        bad = F.filter(F.coalesce(F.col(kind), F.array().cast(ELEMENTS[kind])), lambda e: e[ref].isNotNull() & ~F.array_contains(known, e[ref]))
+        own = F.coalesce(F.col(kind), F.array().cast(ELEMENTS[kind]))
+        unknown = F.array_compact(F.array_except(F.transform(own, lambda e: e[ref]), known))
+        bad = F.when(F.size(unknown) > 0, F.filter(own, lambda e: F.array_contains(unknown, e[ref]))).otherwise(F.array().cast(ELEMENTS[kind]))
         return F.transform(bad, lambda e: F.concat(F.lit(f"{label} '"), e["id"], F.lit(f"' references unknown {ref} '"), e[ref], F.lit("'.")))
 
     return F.concat(again, dangling("doors", "Door", "wall_id", "walls"), dangling("windows", "Window", "wall_id", "walls"), dangling("furniture", "Furniture", "room_id", "rooms"))
