@@ -105,6 +105,27 @@ def test_validation(spark, tmp_path, change, error):
     assert got["is_valid"] == (error is None) and (error is None or any(error in e for e in got["errors"])), got
 
 
+def test_structure_equals_a_loop(spark):
+    """Repeated ids and lost references of random documents, against a loop; one has 20,000 walls and doors."""
+    rng = random.Random(5)
+    name = lambda: f"e{rng.randrange(9)}"
+    wall = lambda i: {"id": i, "start": {"x": 0.0, "y": 0.0}, "end": {"x": 1.0, "y": 0.0}}
+    door = lambda i, w: {"id": i, "wall_id": w, "position": 0.5, "width": 1.0}
+    rows = [{"project_id": f"p{k}", "walls": [wall(name()) for _ in range(rng.randrange(4))], "doors": [door(name(), name()) for _ in range(rng.randrange(4))]} for k in range(60)]
+    rows.append({"project_id": "large", "walls": [wall(f"w{i}") for i in range(20_000)], "doors": [door(f"d{i}", f"w{i}") for i in range(20_000)]})
+    rows.append({"project_id": "none"})
+    got = {r["project_id"]: r["errors"] for r in validation.validate(spark.createDataFrame(rows, DDL)).collect()}
+    for r in rows:
+        seen, want = set(), []
+        for kind in ("walls", "doors"):
+            for e in r.get(kind, []):
+                want += [f"Duplicate element id '{e['id']}' found in '{kind}'."] if e["id"] in seen else []
+                seen.add(e["id"])
+        known = {w["id"] for w in r.get("walls", [])}
+        want += [f"Door '{d['id']}' references unknown wall_id '{d['wall_id']}'." for d in r.get("doors", []) if d["wall_id"] not in known]
+        assert got[r["project_id"]] == want, r
+
+
 def test_failed_run_keeps_the_document(spark):
     p = spark.createDataFrame([("a", "old", "complete", None), ("b", None, "not_started", None)], "id string, floorplan_data string, detection_status string, detection_error string")
     d = spark.createDataFrame([("a", None, "broken")], "id string, floorplan_data string, error string")
