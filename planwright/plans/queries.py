@@ -268,11 +268,11 @@ def raw_document_errors(spark, sf_dir):
 
 
 def wall_mask(spark, sf_dir):
-    return runs.wall_mask(runs.drawn(read(spark, sf_dir, STROKES)))
+    return runs.wall_mask(runs.stroke_boxes(read(spark, sf_dir, STROKES)))
 
 
 def detail_mask(spark, sf_dir):
-    return runs.detail_mask(runs.drawn(read(spark, sf_dir, STROKES)))
+    return runs.detail_mask(runs.stroke_boxes(read(spark, sf_dir, STROKES)))
 
 
 def wall_thickness(spark, sf_dir):

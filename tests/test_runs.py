@@ -1,6 +1,7 @@
 """Runs of ink against loops over pixels."""
 
 import random
+import re
 
 import pytest
 
@@ -78,3 +79,23 @@ def test_thickness_counts_the_ink_across_the_middle(spark, ink):
 def test_drawn_strokes(spark):
     strokes = spark.createDataFrame([(1, "h", 10.0, 0.0, 3.0, 2.0), (1, "v", 5.0, 1.0, 3.0, 3.0), (1, "h", 1.0, 4.0, 4.0, 2.0)], "plan_id int, orient string, perp double, a0 double, a1 double, thickness double")
     assert pixels(rows(runs.drawn(strokes))) == {(1, x, y) for x in range(3) for y in (9, 10)} | {(1, x, y) for x in (4, 5, 6) for y in (1, 2)}
+
+
+BOXES = [(p, y := rng.randrange(40), y + rng.randrange(0, 14), x := rng.randrange(60), x + rng.randrange(0, 12)) for p in (1, 2, 3) for _ in range(40)]
+
+
+def test_masks_of_boxes_equal_a_loop_over_pixels(spark):
+    dots = {(p, x, y) for p, y0, y1, x0, x1 in BOXES for x in range(x0, x1) for y in range(y0, y1)}
+    boxes = spark.createDataFrame(BOXES, "plan_id int, y0 long, y1 long, x0 long, x1 long")
+    wall = long(dots, 1, 0) | long(dots, 0, 1)
+    assert rows(runs.wall_mask(boxes, LEAST)) == as_runs(wall)
+    assert rows(runs.detail_mask(boxes, LEAST)) == as_runs(dots - wall)
+
+
+@pytest.mark.parametrize("mask", [runs.wall_mask, runs.detail_mask])
+def test_masks_shuffle_nothing_but_strokes(spark, capsys, mask):
+    """All that follows the strokes, which are few against their lines, stays where they were dealt out by plan."""
+    strokes = spark.createDataFrame([(1, "v", 5.0, 1.0, 90.0, 3.0)], "plan_id int, orient string, perp double, a0 double, a1 double, thickness double")
+    mask(runs.stroke_boxes(strokes)).explain()
+    dealt = re.findall(r"Exchange (\w+)\((\w+)#.*?, (\w+),? ", capsys.readouterr().out)
+    assert dealt and {d[:2] for d in dealt} == {("hashpartitioning", "plan_id")} and {d[2] for d in dealt} == {"REPARTITION_BY_NUM"}, dealt
