@@ -156,17 +156,21 @@ def _middle(c: Column) -> Column:
 def thickness(walls: DataFrame, ink: DataFrame) -> DataFrame:
     """(plan_id, wall_id, thickness): the ink within PROBE pixels across the middle of each wall (plan_id, wall_id, orient, s, e, fixed).
 
-    Walls without any have UNMEASURED.  Probes and runs meet by line and bin of BIN pixels; a run is cut at bins, so
-    each of its pixels counts once."""
+    Walls without any have UNMEASURED.  Probes and boxes of ink meet by squares of BIN pixels and are cut at them, so
+    each pixel counts once.  Joins are by sorting: files tell too little of rows that multiply for one side to be sent to all."""
     along, across = _middle((F.col("s") + F.col("e")) / 2), _middle(F.col("fixed"))
-    flat = F.col("orient") == "h"
-    line = lambda y, a, b: F.struct(y.alias("y"), a.alias("p0"), b.alias("p1"))
-    lines = F.when(flat, F.transform(F.sequence(across - PROBE, across + PROBE), lambda y: line(y, along, along))).otherwise(F.array(line(along, across - PROBE, across + PROBE)))
-    probes = walls.select("plan_id", "wall_id", F.explode(lines).alias("p")).select("plan_id", "wall_id", "p.*")
-    probes = probes.withColumn("bin", F.explode(F.sequence(grid.cell(F.col("p0"), BIN), grid.cell(F.col("p1"), BIN))))
-    runs = union(ink).withColumn("b", F.explode(F.sequence(grid.cell(F.col("x0"), BIN), grid.cell(F.col("x1") - 1, BIN))))
-    runs = runs.select(F.col("plan_id").alias("p"), F.col("y").alias("line"), "b", F.greatest("x0", (F.col("b") * int(BIN))).alias("u0"), F.least(F.col("x1"), (F.col("b") + 1) * int(BIN)).alias("u1"))
-    met = probes.join(runs, (F.col("plan_id") == F.col("p")) & (F.col("y") == F.col("line")) & (F.col("bin") == F.col("b")))
-    inked = met.select(F.col("plan_id").alias("p"), F.col("wall_id").alias("w"), F.greatest(F.lit(0), F.least(F.col("u1") - 1, "p1") - F.greatest("u0", "p0") + 1).alias("n")).groupBy("p", "w").agg(F.sum("n").alias("n"))
-    out = walls.select("plan_id", "wall_id").join(inked, (F.col("plan_id") == F.col("p")) & (F.col("wall_id") == F.col("w")), "left")
+    pick = lambda h, v: F.when(F.col("orient") == "h", h).otherwise(v)
+    probes = walls.select("plan_id", "wall_id", pick(across - PROBE, along).alias("y0"), pick(across + PROBE, along).alias("y1"), pick(along, across - PROBE).alias("x0"), pick(along, across + PROBE).alias("x1"))
+    probes = grid.within(probes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), BIN)
+    size = int(BIN)
+    boxes = grid.within(_apart(ink), F.col("x0"), F.col("y0"), F.col("x1") - 1, F.col("y1") - 1, BIN)
+    boxes = boxes.select(
+        F.col("plan_id").alias("p"), F.col("gx").alias("bx"), F.col("gy").alias("by"), F.greatest("x0", F.col("gx") * size).alias("u0"), F.least(F.col("x1"), (F.col("gx") + 1) * size).alias("u1"),
+        F.greatest("y0", F.col("gy") * size).alias("v0"), F.least(F.col("y1"), (F.col("gy") + 1) * size).alias("v1"),
+    )
+    meet = (F.col("u0") <= F.col("x1")) & (F.col("u1") > F.col("x0")) & (F.col("v0") <= F.col("y1")) & (F.col("v1") > F.col("y0"))
+    met = probes.join(boxes.hint("merge"), (F.col("plan_id") == F.col("p")) & (F.col("gx") == F.col("bx")) & (F.col("gy") == F.col("by")) & meet)
+    side = lambda a0, a1, b0, b1: F.least(F.col(a1) - 1, b1) - F.greatest(a0, b0) + 1
+    inked = met.groupBy(F.col("plan_id").alias("p"), F.col("wall_id").alias("w")).agg(F.sum(side("u0", "u1", "x0", "x1") * side("v0", "v1", "y0", "y1")).alias("n"))
+    out = walls.select("plan_id", "wall_id").join(inked.hint("merge"), (F.col("plan_id") == F.col("p")) & (F.col("wall_id") == F.col("w")), "left")
     return out.select("plan_id", "wall_id", F.when(F.col("n") > 0, F.col("n").cast("double")).otherwise(UNMEASURED).alias("thickness"))

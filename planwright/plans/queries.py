@@ -279,7 +279,7 @@ def wall_thickness(spark, sf_dir):
     strokes = read(spark, sf_dir, STROKES)
     walls = strokes.select("plan_id", "orient", F.col("a0").alias("s"), F.col("a1").alias("e"), F.col("perp").alias("fixed")).distinct()
     walls = walls.withColumn("wall_id", F.concat_ws("/", "orient", *[F.col(c).cast("long").cast("string") for c in ("fixed", "s", "e")]))
-    return runs.thickness(walls, runs.drawn(strokes))
+    return runs.thickness(walls, runs.stroke_boxes(strokes))
 
 
 def _rings(spark, sf_dir):

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from planwright.operators import runs
 
@@ -99,3 +100,15 @@ def test_masks_shuffle_nothing_but_strokes(spark, capsys, mask):
     mask(runs.stroke_boxes(strokes)).explain()
     dealt = re.findall(r"Exchange (\w+)\((\w+)#.*?, (\w+),? ", capsys.readouterr().out)
     assert dealt and {d[:2] for d in dealt} == {("hashpartitioning", "plan_id")} and {d[2] for d in dealt} == {"REPARTITION_BY_NUM"}, dealt
+
+
+def test_thickness_sends_no_side_to_all(spark, tmp_path, capsys):
+    """Files of few bytes give many rows of ink and walls."""
+    strokes = spark.createDataFrame([(1, "h", 5.0, 1.0, 90.0, 3.0)], "plan_id int, orient string, perp double, a0 double, a1 double, thickness double")
+    strokes.write.parquet(str(tmp_path / "s"))
+    strokes = spark.read.parquet(str(tmp_path / "s"))
+    walls = strokes.select("plan_id", F.lit("w").alias("wall_id"), "orient", F.col("a0").alias("s"), F.col("a1").alias("e"), F.col("perp").alias("fixed"))
+    found = runs.thickness(walls, runs.drawn(strokes))
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert [r.thickness for r in found.collect()] == [3.0]
