@@ -49,16 +49,22 @@ def room_confidence(rooms: DataFrame, bounds: DataFrame, walls: DataFrame) -> Da
 def labels_by_box(rooms: DataFrame, labels: DataFrame) -> DataFrame:
     """Rooms with each label in a cell of ROOM_CELL pixels that their box meets."""
     box = rooms.select("plan_id", "room_id", "polygon", bounds(F.col("polygon")).alias("box")).select("plan_id", "room_id", "polygon", "box.*")
-    box = grid.within(box, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), ROOM_CELL).drop("x0", "y0", "x1", "y1")
+    box = grid.within(box, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), ROOM_CELL)
     t = grid.at(labels.select(F.col("plan_id").alias("p"), "ord", "label", "x", "y"), F.col("x"), F.col("y"), ROOM_CELL)
-    return box.join(t, (F.col("plan_id") == F.col("p")) & (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")))
+    met = (F.col("plan_id") == F.col("p")) & (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return box.join(t.hint("merge"), met).drop("x0", "y0", "x1", "y1")
 
 
 def label_in_room(rooms: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rooms with the first label (least ord) strictly inside; null without one."""
-    hit = labels_by_box(rooms, labels).where(inside(F.col("polygon"), F.col("x"), F.col("y")))
-    first = hit.groupBy("plan_id", "room_id").agg(F.min_by("label", "ord").alias("label"))
-    return rooms.select("plan_id", "room_id").join(first, ["plan_id", "room_id"], "left")
+    """Rooms with the first label (least ord) strictly inside; null without one.
+
+    Rooms of one outline have the same label, and of labels at one point only the first is ever taken, so outlines
+    meet points: copies of either multiply nothing."""
+    shapes = rooms.groupBy("plan_id", "polygon").agg(F.min("room_id").alias("room_id"))
+    points = labels.where("ord is not null").groupBy("plan_id", "x", "y").agg(F.min(F.struct("ord", "label")).alias("l")).select("plan_id", "x", "y", "l.*")
+    hit = labels_by_box(shapes, points).where(inside(F.col("polygon"), F.col("x"), F.col("y")))
+    first = hit.groupBy("plan_id", "polygon").agg(F.min_by("label", "ord").alias("label"))
+    return rooms.select("plan_id", "room_id", "polygon").join(first.hint("merge"), ["plan_id", "polygon"], "left").select("plan_id", "room_id", "label")
 
 
 def lines_by_cell(texts: DataFrame, lines: DataFrame) -> DataFrame:
