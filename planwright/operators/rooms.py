@@ -72,19 +72,22 @@ def lines_by_cell(texts: DataFrame, lines: DataFrame) -> DataFrame:
     mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     m = grid.near(lines.select(F.col("plan_id").alias("p"), "line_id", "x1", "y1", "x2", "y2", mx.alias("mx"), my.alias("my")), F.col("mx"), F.col("my"), NEAR_LINE)
     t = grid.at(texts, F.col("x"), F.col("y"), NEAR_LINE)
-    met = t.join(m, (F.col("plan_id") == F.col("p")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
+    met = t.join(m.hint("merge"), (F.col("plan_id") == F.col("p")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
     return met.withColumn("away", (F.col("mx") - F.col("x")) ** 2 + (F.col("my") - F.col("y")) ** 2)
 
 
 def nearest_line(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """Texts (plan_id, ord, x, y, width, confidence) with the line whose middle is nearest, under NEAR_LINE away; the least line_id of equals.
 
-    Without one the span is centred on the text, ten pixels to either side at least, at six tenths of the confidence."""
-    met = lines_by_cell(texts, lines).where(F.col("away") < NEAR_LINE**2)
-    near = met.groupBy("plan_id", "ord").agg(F.min_by(F.struct("line_id", "x1", "y1", "x2", "y2"), F.struct("away", "line_id")).alias("l"))
+    Without one the span is centred on the text, ten pixels to either side at least, at six tenths of the confidence.
+    The points of texts meet the middles of lines, each once and with its least line: copies of either multiply nothing."""
+    middle = {"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}
+    least = lines.withColumns(middle).groupBy("plan_id", "mx", "my").agg(F.min(F.struct("line_id", "x1", "y1", "x2", "y2")).alias("l")).select("plan_id", "l.*")
+    met = lines_by_cell(texts.select("plan_id", "x", "y").distinct(), least).where(F.col("away") < NEAR_LINE**2)
+    near = met.groupBy("plan_id", "x", "y").agg(F.min_by(F.struct("line_id", "x1", "y1", "x2", "y2"), F.struct("away", "line_id")).alias("l"))
     half = F.greatest(F.lit(10.0), F.col("width") / 2)
     at = lambda c, other: F.coalesce(F.col(f"l.{c}"), other)
-    return texts.join(near, ["plan_id", "ord"], "left").select(
+    return texts.join(near.hint("merge"), ["plan_id", "x", "y"], "left").select(
         "plan_id", "ord", F.col("l.line_id").alias("line_id"), at("x1", F.col("x") - half).alias("x1"), at("y1", F.col("y")).alias("y1"), at("x2", F.col("x") + half).alias("x2"), at("y2", F.col("y")).alias("y2"),
         F.round(F.col("confidence") * F.when(F.col("l").isNull(), 0.6).otherwise(1.0), 3).alias("confidence"), F.col("l").isNotNull().alias("matched"),
     )

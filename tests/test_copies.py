@@ -29,3 +29,12 @@ def test_copies_of_rooms_and_labels_meet_once(spark, monkeypatch):
     got = {r.room_id: r.label for r in rooms.label_in_room(boxes, labels).collect()}
     assert got == {k: "three" for k in range(N)} | {N: None}
     assert seen[0] < 10
+
+
+def test_copies_of_texts_and_lines_meet_once(spark, monkeypatch):
+    seen = counted(monkeypatch, "lines_by_cell")
+    texts = spark.createDataFrame([(1, k, 10.0, 10.0, 4.0, 0.5) for k in range(N)] + [(1, N, None, 0.0, 4.0, 0.5)], "plan_id int, ord int, x double, y double, width double, confidence double")
+    lines = spark.createDataFrame([(1, k, 0.0, 0.0, 20.0 + k % 2 * 2, 20.0) for k in range(N, 0, -1)], "plan_id int, line_id int, x1 double, y1 double, x2 double, y2 double")
+    got = {r.ord: (r.line_id, r.x2, r.matched) for r in rooms.nearest_line(texts, lines).collect()}
+    assert got == {k: (2, 20.0, True) for k in range(N)} | {N: (None, None, False)}
+    assert seen[0] < 10
