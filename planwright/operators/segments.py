@@ -1,13 +1,15 @@
 """Walls and stairs from line segments.
 
 A plan's segments are told apart by key columns, always first in the partitions of windows, so one
-exchange serves clustering, run merging and the aggregate over both.  Every window has a total order."""
+exchange by plan serves clustering, run merging, the aggregate over both and the box of the plan.  Every window has a total order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spreading import spread
+
 WALL_TOLERANCE, FRAGMENT_TOLERANCE, STAIR_TOLERANCE = 8.0, 3.0, 18.0
 MERGE_GAP, OPENING_GAP = 6.0, 160.0
 EXTERIOR_TOLERANCE = 12.0
@@ -35,8 +37,8 @@ def with_runs(df: DataFrame, keys: list[str], merge: float = MERGE_GAP, opening:
 
 
 def walls_of(segments: DataFrame) -> DataFrame:
-    """Segments (plan_id, orient, perp, a0, a1) with the group and run of their wall."""
-    return with_runs(cluster_1d(segments, ["plan_id", "orient"], "perp", WALL_TOLERANCE, ["a0", "a1"]), ["plan_id", "orient", "grp"])
+    """Segments (plan_id, orient, perp, a0, a1) with the group and run of their wall, dealt out by plan for all that follows."""
+    return with_runs(cluster_1d(spread(segments, "plan_id"), ["plan_id", "orient"], "perp", WALL_TOLERANCE, ["a0", "a1"]), ["plan_id", "orient", "grp"])
 
 
 def wall_runs(segments: DataFrame, gaps: bool = False) -> DataFrame:

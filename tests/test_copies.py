@@ -38,3 +38,11 @@ def test_copies_of_texts_and_lines_meet_once(spark, monkeypatch):
     got = {r.ord: (r.line_id, r.x2, r.matched) for r in rooms.nearest_line(texts, lines).collect()}
     assert got == {k: (2, 20.0, True) for k in range(N)} | {N: (None, None, False)}
     assert seen[0] < 10
+
+
+def test_walls_are_dealt_out_once(spark, capsys):
+    """By plan, in a fixed number of partitions: the bytes of a shuffle tell too little of the memory of its sort."""
+    s = spark.createDataFrame([(1, "h", 2.0, 0.0, 9.0)], "plan_id int, orient string, perp double, a0 double, a1 double")
+    segments.walls(s, gaps=True).explain()
+    out = capsys.readouterr().out
+    assert re.findall(r"Exchange \w+", out) == ["Exchange hashpartitioning"] and "REPARTITION_BY_NUM" in out, out
