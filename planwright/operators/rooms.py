@@ -23,11 +23,13 @@ def edges(rooms: DataFrame) -> DataFrame:
 
 
 def beside(rooms: DataFrame, walls: DataFrame) -> DataFrame:
-    """Edges of rooms with each wall of their direction that is less than BOUNDARY away, by bins of that width."""
+    """Edges of rooms with each wall of their direction that is less than BOUNDARY away, by bins of that width.
+
+    A room is twelve rows here, of which its file tells nothing, so the join is by sorting: neither side is sent to all."""
     w = walls.select(F.col("plan_id").alias("p"), F.col("orient").alias("o"), F.col("fixed").alias("f"), grid.cell(F.col("fixed"), BOUNDARY).alias("b"), "wall_id")
     own = grid.cell(F.col("fixed"), BOUNDARY)
     e = edges(rooms).withColumn("bin", F.explode(F.array(own - 1, own, own + 1)))
-    return e.join(w, (F.col("plan_id") == F.col("p")) & (F.col("orient") == F.col("o")) & (F.col("bin") == F.col("b"))).withColumn("away", F.abs(F.col("f") - F.col("fixed")))
+    return e.join(w.hint("merge"), (F.col("plan_id") == F.col("p")) & (F.col("orient") == F.col("o")) & (F.col("bin") == F.col("b"))).withColumn("away", F.abs(F.col("f") - F.col("fixed")))
 
 
 def boundary(rooms: DataFrame, walls: DataFrame) -> DataFrame:
@@ -40,10 +42,10 @@ def boundary(rooms: DataFrame, walls: DataFrame) -> DataFrame:
 
 
 def room_confidence(rooms: DataFrame, bounds: DataFrame, walls: DataFrame) -> DataFrame:
-    score = bounds.join(walls.select("plan_id", "wall_id", "confidence"), ["plan_id", "wall_id"]).groupBy("plan_id", "room_id").agg(F.sum(F.round(F.col("confidence") * 1000).cast("long")).alias("s"), F.count("*").alias("k"))
+    score = bounds.join(walls.select("plan_id", "wall_id", "confidence").hint("merge"), ["plan_id", "wall_id"]).groupBy("plan_id", "room_id").agg(F.sum(F.round(F.col("confidence") * 1000).cast("long")).alias("s"), F.count("*").alias("k"))
     # The mean in thousandths, half up, in whole numbers: the same on every plan of execution.
     score = score.select("plan_id", "room_id", (F.floor((2 * F.col("s") + F.col("k")) / (2 * F.col("k"))) / 1000).alias("c"))
-    return rooms.select("plan_id", "room_id").join(score, ["plan_id", "room_id"], "left").select("plan_id", "room_id", F.coalesce("c", F.lit(UNKNOWN)).alias("confidence"))
+    return rooms.select("plan_id", "room_id").join(score.hint("merge"), ["plan_id", "room_id"], "left").select("plan_id", "room_id", F.coalesce("c", F.lit(UNKNOWN)).alias("confidence"))
 
 
 def labels_by_box(rooms: DataFrame, labels: DataFrame) -> DataFrame:

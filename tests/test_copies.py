@@ -40,6 +40,16 @@ def test_copies_of_texts_and_lines_meet_once(spark, monkeypatch):
     assert seen[0] < 10
 
 
+def test_rooms_and_walls_meet_by_sorting(spark, tmp_path, capsys):
+    spark.createDataFrame([(1, 1, RING)], "plan_id int, room_id int, polygon array<struct<x:double,y:double>>").write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame([(1, "h", 2.0, "h-0", 0.9)], "plan_id int, orient string, fixed double, wall_id string, confidence double").write.parquet(str(tmp_path / "w"))
+    r, w = spark.read.parquet(str(tmp_path / "r")), spark.read.parquet(str(tmp_path / "w"))
+    found = rooms.room_confidence(r, rooms.boundary(r, w), w)
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert [x.confidence for x in found.collect()] == [0.9]
+
+
 def test_walls_are_dealt_out_once(spark, capsys):
     """By plan, in a fixed number of partitions: the bytes of a shuffle tell too little of the memory of its sort."""
     s = spark.createDataFrame([(1, "h", 2.0, 0.0, 9.0)], "plan_id int, orient string, perp double, a0 double, a1 double")
