@@ -42,13 +42,17 @@ def kept_corners(x: list[float], y: list[float], share: float) -> list[int]:
 
 
 def walked(x1: list[float], y1: list[float], x2: list[float], y2: list[float], way: list[int]) -> list[int]:
-    """The pieces of a region's outer border in order, from the topmost, leftmost that goes right; where two begin, the one to the right."""
+    """The pieces of a region's outer border in order, from the topmost, leftmost that goes right; where two begin, the one to the right.
+
+    A piece that goes straight on has no corner and is left out."""
     begins = {(x, y, w): k for k, (x, y, w) in enumerate(zip(x1, y1, way, strict=True))}
     first = k = min((k for k, w in enumerate(way) if w == RIGHT), key=lambda k: (y1[k], x1[k]))
     out = []
     while not out or k != first:
-        out.append(k)
-        turns = (begins.get((x2[k], y2[k], (way[k] + t) % 4)) for t in (1, 3))
+        if not out or way[k] != before:
+            out.append(k)
+        before = way[k]
+        turns = (begins.get((x2[k], y2[k], (before + t) % 4)) for t in (1, 0, 3))
         k = next(t for t in turns if t is not None)
     return out
 
@@ -71,10 +75,11 @@ def simplify(ring: Column, share: float = SIMPLIFY) -> Column:
 
 
 def outer_ring(border: Column) -> Column:
-    """The outer ring of the maximal border pieces (array of struct<x1, y1, x2, y2, way>) of a region, clockwise as seen."""
+    """The outer ring of the border pieces (array of struct<x1, y1, x2, y2, way>) of a region, clockwise as seen."""
 
     def run(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, way: pd.Series) -> pd.Series:
         return _each(walked, x1, y1, x2, y2, way)
 
-    order = F.pandas_udf(run, "array<int>")(*[border[c] for c in ("x1", "y1", "x2", "y2", "way")])  # a field of an array of structs is an array
+    # Not to be repeated: conditions on what it gives would be moved before it, with a call of their own.
+    order = F.pandas_udf(run, "array<int>").asNondeterministic()(*[border[c] for c in ("x1", "y1", "x2", "y2", "way")])  # a field of an array of structs is an array
     return F.transform(order, lambda i: F.struct(F.get(border, i)["x1"].alias("x"), F.get(border, i)["y1"].alias("y")))

@@ -244,7 +244,7 @@ def range_rules(spark, sf_dir):
 
 def _corners(ring):
     """A ring as text, in half pixels."""
-    return F.array_join(F.transform(ring, lambda p: F.concat_ws(",", F.round(2 * p["x"]).cast("long"), F.round(2 * p["y"]).cast("long"))), ";")
+    return F.array_join(F.transform(ring, lambda p: F.concat_ws(",", F.floor(2 * p["x"] + 0.5), F.floor(2 * p["y"] + 0.5))), ";")
 
 
 def room_faces(spark, sf_dir):

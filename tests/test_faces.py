@@ -80,6 +80,20 @@ def test_small_regions_and_the_ground_are_no_rooms(spark):
     assert none.count() == 0
 
 
+def test_copies_of_walls_are_one_bar_and_rings_are_walked_once(spark, capsys):
+    box = [("h", 100.0, 300.0, 100.0, 4.0), ("h", 100.0, 300.0, 300.0, 4.0), ("v", 100.0, 300.0, 100.0, 4.0), ("v", 100.0, 300.0, 300.0, 4.0)]
+    stubs = [("v", float(y), float(y + 6), 50.0, 4.0) for y in range(104, 290, 12)]  # beside the room, whose height they must not cut
+    rows = [(1, *w) for w in 60 * box + 9 * stubs] + [(1, "h", 100.0, 180.0, 100.0, 4.0), (1, "h", 180.0, 320.0, 100.0, 4.0)]
+    walls, plans = spark.createDataFrame(rows, WALLS), spark.createDataFrame([(1, 500, 400)], PLANS)
+    solid = faces.bars(walls, plans)
+    assert solid.count() == 4 + len(stubs)
+    assert faces.cells(solid).where("x0 = 102 and x1 = 298").count() == 1
+    found = faces.outlines(walls, plans)
+    found.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert [(r.room_id, r.area) for r in found.collect()] == [(1, 196.0 * 196)]
+
+
 def kept(points, share):
     n = len(points)
     if n < 4:
