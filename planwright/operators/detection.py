@@ -2,7 +2,8 @@
 
 Raw segments have plan_id, seg_id, x1, y1, x2, y2, thickness and src: ``wall`` for long strokes, ``detail`` for
 leaves and treads.  Walls, openings, spans and outlines are each written once to the checkpoint folder and read from
-there; joins are on the plan and, between neighbours in it, on cells of a grid."""
+there; joins are on the plan and, between neighbours in it, on cells of a grid.  All are by sorting: each side grows with the
+plans, and Spark would send one to all by what the file of the plans tells, through the memory of the driver."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from ..functions import geometry, text
 from . import faces, openings, rooms, runs, segments
 from .checkpoints import cut
 from .documents import assemble
+from .spreading import spread
 
 THINNEST = 2.5
 STAIR_CONFIDENCE = 0.5
@@ -47,7 +49,7 @@ def skew(plans: DataFrame, raw: DataFrame) -> DataFrame:
     """(plan_id, skew): the median angle of a plan's segments to the nearest axis, from -45 up to 45 degrees; 0 without segments."""
     off = F.pmod(geometry.angle(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]) + 45, F.lit(90.0)) - 45
     middle = raw.groupBy("plan_id").agg(F.median(off).alias("skew"))
-    return plans.select("plan_id").join(middle, "plan_id", "left").select("plan_id", F.coalesce("skew", F.lit(0.0)).alias("skew"))
+    return plans.select("plan_id").join(middle.hint("merge"), "plan_id", "left").select("plan_id", F.coalesce("skew", F.lit(0.0)).alias("skew"))
 
 
 def to_units(pixels: Column, per_unit: Column) -> Column:
@@ -85,30 +87,30 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     if ink is not None:
         keys = ["plan_id", "orient", "grp", "run"]
         every = cut(every.drop("thickness").withColumn("wall_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys[1:]])))
-        every = every.join(runs.thickness(every, ink), ["plan_id", "wall_id"]).drop("wall_id")
+        every = every.join(runs.thickness(every, ink).hint("merge"), ["plan_id", "wall_id"]).drop("wall_id")
     walls, thin = split_walls(cut(every))
     walls = cut(ends(numbered(walls, "wall", "wall_id", "orient", "fixed", "s")))
     if outlines is None:
         outlines = faces.simplified(faces.outlines(walls, plans)).select("plan_id", "room_id", "polygon")
-    outlines = cut(outlines)
+    outlines = cut(spread(outlines, "plan_id"))  # a small file is few tasks, and a room is twelve rows later
     found = cut(openings.classified(walls, leaves(raw.where("src = 'detail'")), "wall_id"))
     # Of a bunch of openings on a wall one stays.
     stays = openings.suppress(found.select("plan_id", "wall_id", "position", "swing"), ["plan_id", "wall_id"])
-    found = found.join(stays, ["plan_id", "wall_id", "position", "swing"], "left_semi")
+    found = found.join(stays.hint("merge"), ["plan_id", "wall_id", "position", "swing"], "left_semi")
     stairs = segments.stair_clusters(oriented(raw.where("src = 'detail'")).select("plan_id", "orient", "perp", "a0", "a1"))
 
     lines = ends(numbered(thin, "line", "line_id", "orient", "fixed", "s")).select("plan_id", "line_id", "x1", "y1", "x2", "y2")
     told = texts.withColumns({"kind": text.kind(F.col("text")), "value": text.dimension_value(F.col("text"))})
     spans = told.where("kind = 'dimension'").select("plan_id", "ord", F.col("cx").alias("x"), F.col("cy").alias("y"), (F.col("max_x") - F.col("min_x")).alias("width"), "confidence")
     values = told.select("plan_id", "ord", "value", F.col("text").alias("label"))
-    dims = rooms.nearest_line(spans, lines).join(values, ["plan_id", "ord"])
+    dims = rooms.nearest_line(spans, lines).join(values.hint("merge"), ["plan_id", "ord"])
     dims = dims.withColumn("pixels", geometry.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     dims = cut(dims)
     scale = cut(rooms.calibration(plans, dims, walls))
 
     labels = told.where("kind = 'room_label'").select("plan_id", "ord", F.col("text").alias("label"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     score = rooms.room_confidence(outlines, rooms.boundary(outlines, walls), walls)
-    named = outlines.join(rooms.label_in_room(outlines, labels), ["plan_id", "room_id"]).join(score, ["plan_id", "room_id"])
+    named = outlines.join(rooms.label_in_room(outlines, labels).hint("merge"), ["plan_id", "room_id"]).join(score.hint("merge"), ["plan_id", "room_id"])
 
     per = scale.select("plan_id", F.col("pixels_per_unit").alias("ppu"))
     unit = lambda c: F.round(to_units(c, F.col("ppu")), 3)
@@ -119,7 +121,7 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     empty = F.create_map().cast("map<string,string>").alias("metadata")
 
     def element(df, kind, *own):
-        got = df.join(per, "plan_id").select(F.col("plan_id").cast("string").alias("project_id"), "ord", F.struct(F.col("id"), F.col("confidence").cast("double").alias("confidence"), detected, empty, *own).alias("element"))
+        got = df.join(per.hint("merge"), "plan_id").select(F.col("plan_id").cast("string").alias("project_id"), "ord", F.struct(F.col("id"), F.col("confidence").cast("double").alias("confidence"), detected, empty, *own).alias("element"))
         return {kind: got}
 
     span = (point(F.col("x1"), F.col("y1")).alias("start"), point(F.col("x2"), F.col("y2")).alias("end"))
@@ -136,7 +138,7 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     parts |= element(numbered(dims.where("value is not null"), "dim", "id", "y1", "x1", "label", "ord"), "dimensions", *span, F.col("value"), F.col("label"))
 
     documents = assemble(plans.select(F.col("plan_id").cast("string").alias("project_id"), F.lit("feet").alias("units")), parts)
-    return documents.join(metadata(plans, scale, backend), "project_id")
+    return documents.join(metadata(plans, scale, backend).hint("merge"), "project_id")
 
 
 def metadata(plans: DataFrame, scale: DataFrame, backend: str) -> DataFrame:
@@ -147,4 +149,4 @@ def metadata(plans: DataFrame, scale: DataFrame, backend: str) -> DataFrame:
         F.lit(None).cast("string").alias("building_name"), F.lit(VERSION).alias("detection_version"), F.col("image").alias("source_image_reference"), F.nullif(F.concat_ws(" ", note, low), F.lit("")).alias("notes"),
         F.create_map(F.lit("calibration_source"), F.when(F.col("source") == MATCHED, MATCHED).otherwise(FALLBACK), F.lit("ocr_backend"), F.lit(backend)).alias("extra"),
     )
-    return plans.join(scale, "plan_id").select(F.col("plan_id").cast("string").alias("project_id"), own.alias("metadata"))
+    return plans.join(scale.hint("merge"), "plan_id").select(F.col("plan_id").cast("string").alias("project_id"), own.alias("metadata"))

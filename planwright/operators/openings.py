@@ -31,7 +31,7 @@ def classified(walls: DataFrame, leaves: DataFrame, *kept: str) -> DataFrame:
     o = grid.at(o, F.col("px"), F.col("py"), LEAF_RADIUS)
     near = grid.near(leaves.select(F.col("plan_id").alias("p"), "mx", "my"), F.col("mx"), F.col("my"), LEAF_RADIUS)
     dist = (F.col("mx") - F.col("px")) ** 2 + (F.col("my") - F.col("py")) ** 2
-    met = o.join(near, (F.col("plan_id") == F.col("p")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")), "left")
+    met = o.join(near.hint("merge"), (F.col("plan_id") == F.col("p")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")), "left")
     out = met.groupBy(*own, "gap_start", "gap_end").agg(F.coalesce(F.bool_or(dist <= LEAF_RADIUS**2), F.lit(False)).alias("swing"))
     middle = (F.col("gap_start") + F.col("gap_end")) / 2
     place = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (middle - F.col("s")) / (F.col("e") - F.col("s"))))

@@ -101,7 +101,7 @@ def calibration(plans: DataFrame, dimensions: DataFrame, walls: DataFrame, typic
     by_wall = walls.where("exterior").groupBy("plan_id").agg(F.max(F.col("e") - F.col("s")).alias("w"))
     wall = F.when(F.col("w") > 0, F.col("w") / typical)
     source = F.when(F.col("m").isNotNull(), "ocr_dimension_match").when(wall.isNotNull(), "longest_wall_fallback").otherwise("uncalibrated")
-    return plans.select("plan_id").distinct().join(by_text, "plan_id", "left").join(by_wall, "plan_id", "left").select("plan_id", F.coalesce("m", wall, F.lit(1.0)).alias("pixels_per_unit"), source.alias("source"))
+    return plans.select("plan_id").distinct().join(by_text.hint("merge"), "plan_id", "left").join(by_wall.hint("merge"), "plan_id", "left").select("plan_id", F.coalesce("m", wall, F.lit(1.0)).alias("pixels_per_unit"), source.alias("source"))
 
 
 def text_blocks(words: DataFrame, line: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import re
 
-from planwright.operators import rooms, segments
+from planwright.operators import detection, rooms, segments
 
 N = 60
 RING = [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)]
@@ -50,6 +50,20 @@ def test_rooms_and_walls_meet_by_sorting(spark, tmp_path, capsys):
     assert [x.confidence for x in found.collect()] == [0.9]
 
 
+def test_detection_sends_no_side_to_all(spark, tmp_path, monkeypatch, capsys):
+    """Plans and outlines grow with the input, however small their files are; no step is run here."""
+    spark.createDataFrame([("1", None, 900, 900)], "plan_id string, image string, width int, height int").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("1", 1, RING)], "plan_id string, room_id int, polygon array<struct<x:double,y:double>>").write.parquet(str(tmp_path / "o"))
+    raw = spark.createDataFrame([], "plan_id string, seg_id int, x1 double, y1 double, x2 double, y2 double, thickness double, src string")
+    texts = spark.createDataFrame([], "plan_id string, ord int, text string, cx double, cy double, min_x double, max_x double, confidence double")
+    parts = []
+    monkeypatch.setattr(detection, "cut", lambda df: parts.append(df) or spark.createDataFrame([], df.schema))
+    parts.append(detection.detect(spark.read.parquet(str(tmp_path / "p")), raw, spark.read.parquet(str(tmp_path / "o")), texts))
+    for df in parts:
+        df.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_walls_are_dealt_out_once(spark, capsys):
     """By plan, in a fixed number of partitions: the bytes of a shuffle tell too little of the memory of its sort."""
     s = spark.createDataFrame([(1, "h", 2.0, 0.0, 9.0)], "plan_id int, orient string, perp double, a0 double, a1 double")
