@@ -1,9 +1,11 @@
 """From raw segments, words and room outlines to plan documents.
 
 Raw segments have plan_id, seg_id, x1, y1, x2, y2, thickness and src: ``wall`` for long strokes, ``detail`` for
-leaves and treads.  Walls, openings, spans and outlines are each written once to the checkpoint folder and read from
-there; joins are on the plan and, between neighbours in it, on cells of a grid.  All are by sorting: each side grows with the
-plans, and Spark would send one to all by what the file of the plans tells, through the memory of the driver."""
+leaves and treads.  Inputs are dealt out by plan; texts, walls, openings, spans and outlines are each written once to the
+checkpoint folder, as dealt, and read from there, until the last step that needs them.  So joins, on the plan and, between
+neighbours in it, on cells of a grid, move no rows, however often these multiply, and a step leaves no shuffle on the disks.  All
+are by sorting: each side grows with the plans, and Spark would send one to all by what the file of the plans tells, through the
+memory of the driver."""
 
 from __future__ import annotations
 
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from . import faces, openings, rooms, runs, segments
-from .checkpoints import cut
+from .checkpoints import cut_in_place as cut
+from .checkpoints import drop
 from .documents import assemble
 from .spreading import spread
 
@@ -83,34 +86,40 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     With ``ink`` (runs of the image's ink) walls are as thick as the ink across their middle; raw segments need no thickness then.
     Plans without any element give a document with empty collections.  Heights, step counts and directions cannot
     be seen from above and are null; dimensions without a value are left out."""
-    every = segments.walls(oriented(raw.where("src = 'wall'")), gaps=True)
+    plans = cut(spread(plans, "plan_id"))
+    # Not dealt out in this step: texts may come from a shuffle for their order, and the disk would hold both.
+    told = texts.withColumns({"kind": text.kind(F.col("text")), "value": text.dimension_value(F.col("text"))}).where("kind in ('dimension', 'room_label')")
+    told = cut(told.select("plan_id", "ord", "value", F.col("text").alias("label"), F.col("cx").alias("x"), F.col("cy").alias("y"), *[F.when(F.col("value").isNotNull(), c).alias(n) for n, c in (("width", F.col("max_x") - F.col("min_x")), ("confidence", F.col("confidence")))]))
+    every = segments.walls(oriented(raw.where("src = 'wall'")), gaps=True).drop("votes", "n", "openings", "exterior")
     if ink is not None:
         keys = ["plan_id", "orient", "grp", "run"]
-        every = cut(every.drop("thickness").withColumn("wall_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys[1:]])))
-        every = every.join(runs.thickness(every, ink).hint("merge"), ["plan_id", "wall_id"]).drop("wall_id")
-    walls, thin = split_walls(cut(every))
-    walls = cut(ends(numbered(walls, "wall", "wall_id", "orient", "fixed", "s")))
-    if outlines is None:
-        outlines = faces.simplified(faces.outlines(walls, plans)).select("plan_id", "room_id", "polygon")
-    outlines = cut(spread(outlines, "plan_id"))  # a small file is few tasks, and a room is twelve rows later
-    found = cut(openings.classified(walls, leaves(raw.where("src = 'detail'")), "wall_id"))
-    # Of a bunch of openings on a wall one stays.
-    stays = openings.suppress(found.select("plan_id", "wall_id", "position", "swing"), ["plan_id", "wall_id"])
-    found = found.join(stays.hint("merge"), ["plan_id", "wall_id", "position", "swing"], "left_semi")
-    stairs = segments.stair_clusters(oriented(raw.where("src = 'detail'")).select("plan_id", "orient", "perp", "a0", "a1"))
+        bare = cut(every.drop("thickness").withColumn("wall_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys[1:]])))
+        every = bare.join(runs.thickness(bare, ink).hint("merge"), ["plan_id", "wall_id"]).drop("wall_id")
+    every = cut(every)
+    walls, thin = split_walls(every)
 
     lines = ends(numbered(thin, "line", "line_id", "orient", "fixed", "s")).select("plan_id", "line_id", "x1", "y1", "x2", "y2")
-    told = texts.withColumns({"kind": text.kind(F.col("text")), "value": text.dimension_value(F.col("text"))})
-    spans = told.where("kind = 'dimension'").select("plan_id", "ord", F.col("cx").alias("x"), F.col("cy").alias("y"), (F.col("max_x") - F.col("min_x")).alias("width"), "confidence")
-    values = told.select("plan_id", "ord", "value", F.col("text").alias("label"))
-    dims = rooms.nearest_line(spans, lines).join(values.hint("merge"), ["plan_id", "ord"])
-    dims = dims.withColumn("pixels", geometry.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    dims = cut(dims)
+    dims = rooms.nearest_line(spread(told.where("value is not null"), "plan_id"), lines, "value", "label")
+    dims = cut(dims.withColumn("pixels", geometry.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))))
+    walls = cut(numbered(walls, "wall", "wall_id", "orient", "fixed", "s"))
+    drop(every)
+    walls = ends(walls)
     scale = cut(rooms.calibration(plans, dims, walls))
 
-    labels = told.where("kind = 'room_label'").select("plan_id", "ord", F.col("text").alias("label"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    score = rooms.room_confidence(outlines, rooms.boundary(outlines, walls), walls)
-    named = outlines.join(rooms.label_in_room(outlines, labels).hint("merge"), ["plan_id", "room_id"]).join(score.hint("merge"), ["plan_id", "room_id"])
+    if outlines is None:
+        outlines = faces.simplified(faces.outlines(walls, plans)).select("plan_id", "room_id", "polygon")
+    outlines = cut(spread(outlines, "plan_id"))  # a small file is few tasks, and a room is twelve rows later
+    labels = spread(told.where("value is null").select("plan_id", "ord", "label", "x", "y"), "plan_id")
+    score = cut(rooms.room_confidence(outlines, rooms.boundary(outlines, walls), walls))
+    named = cut(outlines.join(rooms.label_in_room(outlines, labels).hint("merge"), ["plan_id", "room_id"]).join(score.hint("merge"), ["plan_id", "room_id"]))
+    drop(told, outlines, score)
+
+    seen = cut(openings.classified(walls, spread(leaves(raw.where("src = 'detail'")), "plan_id"), "wall_id"))
+    # Of a bunch of openings on a wall one stays.
+    stays = openings.suppress(seen.select("plan_id", "wall_id", "position", "swing"), ["plan_id", "wall_id"])
+    found = cut(seen.join(stays.hint("merge"), ["plan_id", "wall_id", "position", "swing"], "left_semi"))
+    drop(seen)
+    stairs = cut(segments.stair_clusters(spread(oriented(raw.where("src = 'detail'")).select("plan_id", "orient", "perp", "a0", "a1"), "plan_id")))
 
     per = scale.select("plan_id", F.col("pixels_per_unit").alias("ppu"))
     unit = lambda c: F.round(to_units(c, F.col("ppu")), 3)
@@ -121,7 +130,7 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     empty = F.create_map().cast("map<string,string>").alias("metadata")
 
     def element(df, kind, *own):
-        got = df.join(per.hint("merge"), "plan_id").select(F.col("plan_id").cast("string").alias("project_id"), "ord", F.struct(F.col("id"), F.col("confidence").cast("double").alias("confidence"), detected, empty, *own).alias("element"))
+        got = df.join(per.hint("merge"), "plan_id").select("plan_id", "ord", F.struct(F.col("id"), F.col("confidence").cast("double").alias("confidence"), detected, empty, *own).alias("element"))
         return {kind: got}
 
     span = (point(F.col("x1"), F.col("y1")).alias("start"), point(F.col("x2"), F.col("y2")).alias("end"))
@@ -137,16 +146,16 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     parts |= element(numbered(stairs.withColumn("confidence", F.lit(STAIR_CONFIDENCE)), "stair", "id", "orient", "flight"), "stairs", ring(box).alias("polygon"), null("int", "step_count"), null("string", "direction"))
     parts |= element(numbered(dims.where("value is not null"), "dim", "id", "y1", "x1", "label", "ord"), "dimensions", *span, F.col("value"), F.col("label"))
 
-    documents = assemble(plans.select(F.col("plan_id").cast("string").alias("project_id"), F.lit("feet").alias("units")), parts)
-    return documents.join(metadata(plans, scale, backend).hint("merge"), "project_id")
+    documents = assemble(plans.select("plan_id", F.lit("feet").alias("units")), parts, "plan_id").join(metadata(plans, scale, backend).hint("merge"), "plan_id")
+    return documents.select(F.col("plan_id").cast("string").alias("project_id"), *documents.columns[1:])
 
 
 def metadata(plans: DataFrame, scale: DataFrame, backend: str) -> DataFrame:
-    """(project_id, metadata): where the scale comes from, and what to mind about it and the image."""
+    """(plan_id, metadata): where the scale comes from, and what to mind about it and the image."""
     note = F.when(F.col("source") == "longest_wall_fallback", "No dimension text matched; scale estimated from the longest exterior wall.").when(F.col("source") == "uncalibrated", "Scale is uncalibrated: coordinates are pixels.")
     low = F.when((F.col("width") < LEAST_SIDE) | (F.col("height") < LEAST_SIDE), LOW_RESOLUTION)
     own = F.struct(
         F.lit(None).cast("string").alias("building_name"), F.lit(VERSION).alias("detection_version"), F.col("image").alias("source_image_reference"), F.nullif(F.concat_ws(" ", note, low), F.lit("")).alias("notes"),
         F.create_map(F.lit("calibration_source"), F.when(F.col("source") == MATCHED, MATCHED).otherwise(FALLBACK), F.lit("ocr_backend"), F.lit(backend)).alias("extra"),
     )
-    return plans.join(scale.hint("merge"), "plan_id").select(F.col("plan_id").cast("string").alias("project_id"), own.alias("metadata"))
+    return plans.join(scale.hint("merge"), "plan_id").select("plan_id", own.alias("metadata"))

@@ -9,17 +9,17 @@ from ..sources.plans import DDL, ELEMENTS
 from .validation import COLLECTIONS
 
 
-def assemble(projects: DataFrame, elements: dict[str, DataFrame]) -> DataFrame:
-    """One document a project (project_id, units); ``elements[kind]`` has project_id, ord and a struct ``element``.
+def assemble(projects: DataFrame, elements: dict[str, DataFrame], key: str = "project_id") -> DataFrame:
+    """One document a project (``key``, units); ``elements[kind]`` has ``key``, ord and a struct ``element``.
 
     Elements of a kind stand in order of ord; kinds without rows are empty arrays.  Joins are by sorting, as projects
     are as many as documents, of whose number and width their file tells little."""
-    out = projects.select("project_id", "units")
+    out = projects.select(key, "units")
     for kind in COLLECTIONS:
         none = F.array().cast(ELEMENTS[kind])
         if kind in elements:
-            got = elements[kind].groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "element")), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda x: x["element"]).alias(kind))
-            out = out.join(got.hint("merge"), "project_id", "left").withColumn(kind, F.coalesce(F.col(kind).cast(ELEMENTS[kind]), none))
+            got = elements[kind].groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "element")), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda x: x["element"]).alias(kind))
+            out = out.join(got.hint("merge"), key, "left").withColumn(kind, F.coalesce(F.col(kind).cast(ELEMENTS[kind]), none))
         else:
             out = out.withColumn(kind, none)
     return out

@@ -78,8 +78,8 @@ def lines_by_cell(texts: DataFrame, lines: DataFrame) -> DataFrame:
     return met.withColumn("away", (F.col("mx") - F.col("x")) ** 2 + (F.col("my") - F.col("y")) ** 2)
 
 
-def nearest_line(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Texts (plan_id, ord, x, y, width, confidence) with the line whose middle is nearest, under NEAR_LINE away; the least line_id of equals.
+def nearest_line(texts: DataFrame, lines: DataFrame, *kept: str) -> DataFrame:
+    """Texts (plan_id, ord, x, y, width, confidence, and columns ``kept``) with the line whose middle is nearest, under NEAR_LINE away; the least line_id of equals.
 
     Without one the span is centred on the text, ten pixels to either side at least, at six tenths of the confidence.
     The points of texts meet the middles of lines, each once and with its least line: copies of either multiply nothing."""
@@ -91,7 +91,7 @@ def nearest_line(texts: DataFrame, lines: DataFrame) -> DataFrame:
     at = lambda c, other: F.coalesce(F.col(f"l.{c}"), other)
     return texts.join(near.hint("merge"), ["plan_id", "x", "y"], "left").select(
         "plan_id", "ord", F.col("l.line_id").alias("line_id"), at("x1", F.col("x") - half).alias("x1"), at("y1", F.col("y")).alias("y1"), at("x2", F.col("x") + half).alias("x2"), at("y2", F.col("y")).alias("y2"),
-        F.round(F.col("confidence") * F.when(F.col("l").isNull(), 0.6).otherwise(1.0), 3).alias("confidence"), F.col("l").isNotNull().alias("matched"),
+        F.round(F.col("confidence") * F.when(F.col("l").isNull(), 0.6).otherwise(1.0), 3).alias("confidence"), F.col("l").isNotNull().alias("matched"), *kept,
     )
 
 
