@@ -87,9 +87,10 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     Plans without any element give a document with empty collections.  Heights, step counts and directions cannot
     be seen from above and are null; dimensions without a value are left out."""
     plans = cut(spread(plans, "plan_id"))
-    # Not dealt out in this step: texts may come from a shuffle for their order, and the disk would hold both.
-    told = texts.withColumns({"kind": text.kind(F.col("text")), "value": text.dimension_value(F.col("text"))}).where("kind in ('dimension', 'room_label')")
-    told = cut(told.select("plan_id", "ord", "value", F.col("text").alias("label"), F.col("cx").alias("x"), F.col("cy").alias("y"), *[F.when(F.col("value").isNotNull(), c).alias(n) for n, c in (("width", F.col("max_x") - F.col("min_x")), ("confidence", F.col("confidence")))]))
+    # By kind, and not dealt out in these steps: texts may come from a shuffle for their order, and the disk holds that beside what is written.
+    told = texts.withColumns({"kind": text.kind(F.col("text")), "value": text.dimension_value(F.col("text")), "label": F.col("text"), "x": F.col("cx"), "y": F.col("cy")})
+    spans = cut(told.where("kind = 'dimension'").select("plan_id", "ord", "label", "x", "y", "value", (F.col("max_x") - F.col("min_x")).alias("width"), "confidence"))
+    labels = cut(told.where("kind = 'room_label'").select("plan_id", "ord", "label", "x", "y"))
     every = segments.walls(oriented(raw.where("src = 'wall'")), gaps=True).drop("votes", "n", "openings", "exterior")
     if ink is not None:
         keys = ["plan_id", "orient", "grp", "run"]
@@ -99,8 +100,9 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     walls, thin = split_walls(every)
 
     lines = ends(numbered(thin, "line", "line_id", "orient", "fixed", "s")).select("plan_id", "line_id", "x1", "y1", "x2", "y2")
-    dims = rooms.nearest_line(spread(told.where("value is not null"), "plan_id"), lines, "value", "label")
+    dims = rooms.nearest_line(spread(spans, "plan_id"), lines, "value", "label")
     dims = cut(dims.withColumn("pixels", geometry.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))))
+    drop(spans)
     walls = cut(numbered(walls, "wall", "wall_id", "orient", "fixed", "s"))
     drop(every)
     walls = ends(walls)
@@ -109,10 +111,9 @@ def detect(plans: DataFrame, raw: DataFrame, outlines: DataFrame | None, texts:
     if outlines is None:
         outlines = faces.simplified(faces.outlines(walls, plans)).select("plan_id", "room_id", "polygon")
     outlines = cut(spread(outlines, "plan_id"))  # a small file is few tasks, and a room is twelve rows later
-    labels = spread(told.where("value is null").select("plan_id", "ord", "label", "x", "y"), "plan_id")
     score = cut(rooms.room_confidence(outlines, rooms.boundary(outlines, walls), walls))
-    named = cut(outlines.join(rooms.label_in_room(outlines, labels).hint("merge"), ["plan_id", "room_id"]).join(score.hint("merge"), ["plan_id", "room_id"]))
-    drop(told, outlines, score)
+    named = cut(outlines.join(rooms.label_in_room(outlines, spread(labels, "plan_id")).hint("merge"), ["plan_id", "room_id"]).join(score.hint("merge"), ["plan_id", "room_id"]))
+    drop(labels, outlines, score)
 
     seen = cut(openings.classified(walls, spread(leaves(raw.where("src = 'detail'")), "plan_id"), "wall_id"))
     # Of a bunch of openings on a wall one stays.
